@@ -192,6 +192,25 @@ def assign_rank_bins(screened: DataFrame, bins: int | None = None, *, target_row
         "bin", rank_bin(F.col("rank") - 1, F.col("n_accepted"), F.col("bins")))
 
 
+def rank_bin_edges(screened: DataFrame, bins: int | None = None, *, target_rows: int | None = None) -> DataFrame:
+    """The last frame of every rank bin but the worst, as one sorted array per capture.
+
+    At most 15 edges describe a capture, so :func:`bin_from_edges` bins frames where
+    they are read; the frames themselves are never shuffled to meet their rank.
+    """
+    binned = assign_rank_bins(screened, bins, target_rows=target_rows)
+    last = binned.groupBy(KEY, "bins", "bin").agg(
+        F.max(F.struct((-F.col("quality")).alias("q"), F.col("frame_index").alias("i"))).alias("edge"))
+    inner = F.when(F.col("bin") < F.col("bins") - 1, F.col("edge"))
+    return last.groupBy(KEY).agg(F.array_sort(F.collect_list(inner)).alias("edges"))
+
+
+def bin_from_edges() -> Column:
+    """Rank bin of a frame after a join with :func:`rank_bin_edges` on the capture."""
+    here = F.struct((-F.col("quality")).alias("q"), F.col("frame_index").alias("i"))
+    return F.size(F.filter("edges", lambda e: e < here)).cast("long")
+
+
 def per_point_best(scores: DataFrame, keys: list[str], point: str, count: int, *, bins: int = 0,
                    target_rows: int | None = None) -> DataFrame:
     """Each alignment point's best ``count`` frames, optionally with their equal-count rank bin."""

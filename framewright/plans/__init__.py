@@ -6,7 +6,7 @@ import importlib
 
 from framewright.plans.registry import QUERIES, Query
 
-AREAS = ("screening",)
+AREAS = ("screening", "frames")
 
 
 def catalogue() -> dict[str, Query]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +35,23 @@ def shared_folder(spark: SparkSession) -> str:
     context_dir = spark.sparkContext.getCheckpointDir()
     if context_dir:
         return os.path.dirname(context_dir.rstrip("/"))
-    return tempfile.mkdtemp(prefix="framewright-")
+    context = spark.sparkContext
+    if not hasattr(context, "_framewright_folder"):
+        context._framewright_folder = tempfile.mkdtemp(prefix="framewright-")
+    return context._framewright_folder
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a small derived table to the shared folder and read it back.
+
+    The files give the optimizer the true size: below the broadcast threshold it
+    is joined where the large side is read, above it the join is an ordinary
+    shuffle with skew handling. Frames with pixels are therefore not shuffled to
+    meet a per-capture table that turned out to be small.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -43,3 +60,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the running application (once)."""
+    context = spark.sparkContext
+    if getattr(context, "_framewright_shipped", False):
+        return
+    import shutil
+
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="framewright-"), "framewright"), "zip",
+                                  root_dir=os.path.dirname(package), base_dir=os.path.basename(package))
+    context.addPyFile(archive)
+    context._framewright_shipped = True
