@@ -69,7 +69,7 @@ def _student_975(dof: Column) -> Column:
     g2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96
     g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
     g4 = (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160
-    n = dof.cast("double")
+    n = F.greatest(dof, F.lit(1)).cast("double")
     series = z + g1 / n + g2 / (n * n) + g3 / (n * n * n) + g4 / (n * n * n * n)
     # Fixed values where the series is not accurate to five digits.
     table = {1: 12.706204736432095, 2: 4.302652729911275, 3: 3.182446305284263, 4: 2.7764451051977987,

@@ -7,9 +7,10 @@ and a small table of per-segment totals carries ranks, running sums and lags
 from one segment to the next. Results are exact: the quantiles only decide
 where to cut.
 
-Groups below ``target_rows`` form one segment. When no group is oversized the
-quantile branch is empty and adaptive execution drops it, so an ordinary
-window over (group, 0) is all that remains.
+Groups below ``target_rows`` form one segment, and a segment branch that turns
+out empty is dropped by adaptive execution. When the statistics of the scans
+prove at planning time that the whole input is small, no group can be oversized
+and a plain window is planned instead.
 """
 
 from __future__ import annotations
@@ -25,12 +26,28 @@ TARGET_ROWS = 1 << 20
 CUTS = 256
 STRIDE = 16
 ACCURACY = 10_000
+PLAIN_INPUT_BYTES = 64 << 20
 
 
 def _setting(spark: SparkSession, name: str, default: int) -> int:
     return int(spark.conf.get(f"framewright.{name}", str(default)))
 
 
+def input_is_small(df: DataFrame) -> bool:
+    """True when the files and local rows below ``df`` together stay under the plain-window limit.
+
+    Sizes come from the relations themselves, so nothing is run; a relation of
+    unknown size counts as large.
+    """
+    limit = _setting(df.sparkSession, "plainWindow.maxInputBytes", PLAIN_INPUT_BYTES)
+    try:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        total = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    except AttributeError:  # a remote session has no local plan
+        return False
+    return total <= limit
+
+
 def _lower_bound(cuts: Column, coarse: Column, value: Column) -> Column:
     """How many ascending ``cuts`` lie below ``value``, looking at every STRIDE-th one first."""
     block = F.size(F.filter(coarse, lambda c: c < value))
@@ -115,6 +132,9 @@ def rank_rows(
 ) -> DataFrame:
     """Exact 1-based rank of every row in its group; (order, tie) must be a total order."""
     keys = list(keys)
+    if target_rows is None and input_is_small(df):
+        whole = Window.partitionBy(*keys).orderBy(_direction(order, descending), _direction(tie, tie_descending))
+        return df.withColumn(name, F.row_number().over(whole).cast("long"))
     seg = with_segments(df, keys, order, tie, descending=descending, tie_descending=tie_descending,
                         target_rows=target_rows)
     offsets = _carry(seg, keys, [F.count(F.lit(1)).alias("_n")],
@@ -140,6 +160,9 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive running sum of ``value`` along (order, tie) in each group."""
     keys = list(keys)
+    if target_rows is None and input_is_small(df):
+        whole = Window.partitionBy(*keys).orderBy(order, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(name, F.sum(value).over(whole))
     seg = with_segments(df.withColumn("_value", value), keys, order, tie, target_rows=target_rows)
     offsets = _carry(seg, keys, [F.sum("_value").alias("_total")], [F.sum("_total").over(_before(keys)).alias("_offset")])
     window = (Window.partitionBy(*keys, SEGMENT).orderBy(order, tie)
@@ -164,17 +187,19 @@ def previous_row(
 ) -> DataFrame:
     """``value`` of the row before this one along (order, tie) in each group, null for the first."""
     keys = list(keys)
+    if target_rows is None and input_is_small(df):
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(order, tie)))
     seg = with_segments(df, keys, order, tie, target_rows=target_rows)
     last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(order, tie)).alias("_last")
     carried = _carry(seg, keys, [last],
-                     [F.lag("_last").over(Window.partitionBy(*keys).orderBy(SEGMENT)).alias("_previous")])
+                     [F.lag("_last").over(Window.partitionBy(*keys).orderBy(SEGMENT)).alias("_carried")])
     window = Window.partitionBy(*keys, SEGMENT).orderBy(order, tie)
     return (
         seg.withColumn("_first", F.row_number().over(window) == 1)
         .withColumn(name, F.lag(value).over(window))
         .join(carried, keys + [SEGMENT], "left")
-        .withColumn(name, F.when(F.col("_first"), F.col("_previous.v")).otherwise(F.col(name)))
-        .drop(SEGMENT, "_cut", "_first", "_previous")
+        .withColumn(name, F.when(F.col("_first"), F.col("_carried.v")).otherwise(F.col(name)))
+        .drop(SEGMENT, "_cut", "_first", "_carried")
     )
 
 
@@ -192,6 +217,10 @@ def quantiles(
     before anything is ordered; null and NaN values are left out.
     """
     keys = list(keys)
+    if target_rows is None and input_is_small(df):
+        v = F.col(value).cast("double")
+        usable = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        return usable.groupBy(*keys).agg(*[F.percentile("_v", float(share)).alias(n) for n, share in shares.items()])
     counted = (
         df.select(*keys, F.col(value).cast("double").alias("_v"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))

@@ -6,7 +6,7 @@ import importlib
 
 from framewright.plans.registry import QUERIES, Query
 
-AREAS = ("screening", "frames")
+AREAS = ("screening", "frames", "evaluation", "timing", "geometry")
 
 
 def catalogue() -> dict[str, Query]:

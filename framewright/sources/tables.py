@@ -7,7 +7,7 @@ groups frames, ``frame_index`` orders them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,11 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
+def micros(column: str) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp read in the session zone (UTC)."""
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def measurements(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as measured frames: one supplier is one capture."""
     tax = F.round(F.col("l_tax") * 100).cast("int")
@@ -68,7 +73,7 @@ def timed_frames(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "events").select(
         F.col("user_id").alias("capture_id"),
         F.col("event_id").alias("frame_index"),
-        (F.unix_micros("ts") * 10 + F.lit(621_355_968_000_000_000)).alias("ts_ticks"),
+        (micros("ts") * 10 + F.lit(621_355_968_000_000_000)).alias("ts_ticks"),
         F.col("value").alias("quality"),
         F.col("event_type"),
         F.col("props"),
