@@ -42,7 +42,7 @@ def input_is_small(df: DataFrame) -> bool:
     limit = _setting(df.sparkSession, "plainWindow.maxInputBytes", PLAIN_INPUT_BYTES)
     try:
         leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        total = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+        total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except AttributeError:  # a remote session has no local plan
         return False
     return total <= limit

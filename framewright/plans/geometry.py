@@ -154,15 +154,18 @@ b6 AS (SELECT light, 70 + CASE WHEN use THEN gx ELSE sx END AS x, 70 - CASE WHEN
 b7 AS (SELECT light, floor(y)::BIGINT + cy AS y, floor(x)::BIGINT + cx AS x, (CASE WHEN cy = 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) *
               (CASE WHEN cx = 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS wt FROM b6, (SELECT unnest([0, 1]) AS cy), (SELECT unnest([0, 1]) AS cx))
 SELECT y // 10 AS y, x // 10 AS x, round(sum(wt * light) / sum(wt), 3) AS value, round(sum(wt), 4) AS coverage
-FROM b7 WHERE y BETWEEN 0 AND 139 AND x BETWEEN 0 AND 139 AND wt > 1e-9 GROUP BY 1, 2""")
+FROM b7 WHERE y BETWEEN 0 AND 139 AND x BETWEEN 0 AND 139 AND wt > 0 GROUP BY 1, 2""")
 def globe_backprojection(spark, folder):
     from framewright.operators.pixels import scatter
 
     seventy = F.lit(70.0)
     src = {"cx": F.lit(0.0), "cy": F.lit(0.0), "angle": F.lit(0.0), "t": F.col("t")}
     ref = {"cx": seventy, "cy": seventy, "angle": F.lit(0.0), "t": F.lit(900.0)}
-    df = G.with_globe_map(rays(spark, folder).withColumn("dy", -F.col("sy")), GLOBE, "sx", "dy", src, ref).where("valid")
-    pixels = scatter(df.withColumn("all", F.lit(1)), ["all"], F.col("ref_y"), F.col("ref_x"), F.col("light"), 140, 140)
+    df = G.with_globe_map(rays(spark, folder).withColumn("dy", -F.col("sy")), GLOBE, "sx", "dy", src, ref)
+    # Invalid samples get no weight: a filter would be pushed below the map and repeat its expressions.
+    used = F.when(F.col("valid"), F.lit(1.0)).otherwise(F.lit(0.0))
+    pixels = scatter(df.withColumn("all", F.lit(1)), ["all"], F.col("ref_y"), F.col("ref_x"), F.col("light"), 140, 140,
+                     used).where("sum_w > 0")
     blocks = pixels.groupBy(F.floor(F.col("y") / 10).cast("long").alias("y"), F.floor(F.col("x") / 10).cast("long").alias("x")).agg(
         F.sum("sum_wv").alias("wv"), F.sum("sum_w").alias("w"))
     return blocks.select("y", "x", F.round(F.col("wv") / F.col("w"), 3).alias("value"), F.round("w", 4).alias("coverage"))

@@ -39,12 +39,13 @@ def frame_intervals(spark, folder):
 
 @query("capture_timing", "AGG-23", TIMED + """
 SELECT capture_id, CASE WHEN count(*) FILTER (WHERE ts_ticks < before) = 0 AND (count(*) = 1 OR max(ts_ticks) > min(ts_ticks)) THEN 'available' ELSE 'invalid' END AS status,
-       count(*) AS n_frames, round(max(t_s), 6) AS duration_s, round(median(ts_ticks - before) / 1e7::DOUBLE, 6) AS median_cadence_s,
+       count(*) AS n_frames, round(max(t_s), 6) AS duration_s, round(median(ts_ticks - before) / 1e7::DOUBLE, 4) AS median_cadence_s,
        count(*) FILTER (WHERE ts_ticks = before) AS duplicate_intervals, round(min(ts_ticks - before) / 1e7::DOUBLE, 6) AS minimum_interval_s,
        round(max(ts_ticks - before) / 1e7::DOUBLE, 6) AS maximum_interval_s FROM s GROUP BY 1""")
 def capture_timing(spark, folder):
     out = TM.capture_timing(timed(spark, folder))
-    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    digits = {"median_cadence_s": 4}
+    return out.select(*[F.round(c, digits.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 @query("time_reversals", "S18 (reversed times)", """
