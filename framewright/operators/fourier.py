@@ -315,9 +315,13 @@ def noise_variance(expected: Column, read_rms: float = C.READ_NOISE_E) -> Column
 def band_powers(frames: DataFrame, keys: Sequence[str], bands: dict[str, Column]) -> DataFrame:
     """Spectral power per named set of frequency positions, plus the total, summed inside each row."""
     cell = F.transform(F.arrays_zip("re", "im"), lambda c, i: F.struct(i.alias("i"), (c["re"] * c["re"] + c["im"] * c["im"]).alias("p")))
-    total = lambda cells: F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + c["p"])
-    return frames.select(*keys, total(cell).alias("total"), *[
-        total(F.filter(cell, lambda c, b=positions: F.array_contains(b, c["i"]))).alias(name) for name, positions in bands.items()])
+    def total(cells: Column) -> Column:
+        return F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + c["p"])
+
+    def within(positions: Column) -> Column:
+        return F.filter(cell, lambda c: F.array_contains(positions, c["i"]))
+
+    return frames.select(*keys, total(cell).alias("total"), *[total(within(p)).alias(name) for name, p in bands.items()])
 
 
 def relative_high_band(frames: DataFrame, keys: Sequence[str], mask: list[float]) -> DataFrame:

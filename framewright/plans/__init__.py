@@ -6,7 +6,7 @@ import importlib
 
 from framewright.plans.registry import QUERIES, Query
 
-AREAS = ("screening", "frames", "evaluation", "timing", "geometry")
+AREAS = ("screening", "frames", "fourier", "evaluation", "timing", "geometry", "records")
 
 
 def catalogue() -> dict[str, Query]:
