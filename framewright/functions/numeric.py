@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from framewright import constants as C
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times inside array expressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def finite(column: Column) -> Column:
     """True for a value that is neither null, NaN nor infinite."""
     return F.coalesce(column.isNotNull() & ~F.isnan(column) & (F.abs(column) < F.lit(math.inf)), F.lit(False))

@@ -102,11 +102,12 @@ def banded_slope(samples: DataFrame, keys: Sequence[str], band: Column, x: Colum
     """Slope of y on x after removing each band's own means.
 
     Only second moments per band are needed, so the demeaning never goes back to
-    the samples: one aggregate per band, one per group.
+    the samples: one aggregate per band, one per group. A sample with a null x or
+    y is left out, which needs no filter below the geometry expressions.
     """
     keys = list(keys)
     per_band = samples.select(*keys, band.alias("_band"), x.alias("_x"), y.alias("_y")).groupBy(*keys, "_band").agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop("_x").alias("vx"), F.var_pop("_y").alias("vy"), F.covar_pop("_x", "_y").alias("vxy"))
+        F.count(F.col("_x") + F.col("_y")).alias("n"), F.var_pop("_x").alias("vx"), F.var_pop("_y").alias("vy"), F.covar_pop("_x", "_y").alias("vxy"))
     used = per_band.where(F.col("n") >= min_band).groupBy(*keys).agg(
         F.sum("n").alias("pixels"), F.sum(F.col("n") * F.col("vx")).alias("sxx"),
         F.sum(F.col("n") * F.col("vy")).alias("syy"), F.sum(F.col("n") * F.col("vxy")).alias("sxy"))

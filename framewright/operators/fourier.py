@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from framewright import constants as C
 from framewright.functions import kernels as K
+from framewright.functions.numeric import let
 
 RINGS = int(round(C.RING_LIMIT / C.RING_STEP)) + 1
 
@@ -100,15 +101,17 @@ def non_increasing(values: Column) -> Column:
     The fit at i is min over starts a <= i of max over ends b >= i of mean(a..b),
     which equals pooling adjacent violators; an array holds at most 16 bins.
     """
-    zero = F.lit(0.0)
-    prefix = F.transform(F.sequence(F.lit(0), F.size(values)), lambda n: F.aggregate(F.slice(values, 1, n), zero, lambda a, x: a + x))
-    n = F.size(values)
+    def fit(prefix: Column) -> Column:
+        n = F.size(prefix) - 1
 
-    def best_end(a: Column, i: Column) -> Column:
-        return F.array_max(F.transform(F.sequence(i, n - 1), lambda b: (F.get(prefix, b + 1) - F.get(prefix, a)) / (b - a + 1)))
+        def best_end(a: Column, i: Column) -> Column:
+            return F.array_max(F.transform(F.sequence(i, n - 1), lambda b: (F.get(prefix, b + 1) - F.get(prefix, a)) / (b - a + 1)))
 
-    return F.transform(F.sequence(F.lit(0), n - 1),
-                       lambda i: F.array_min(F.transform(F.sequence(F.lit(0), i), lambda a: best_end(a, i))))
+        return F.transform(F.sequence(F.lit(0), n - 1),
+                           lambda i: F.array_min(F.transform(F.sequence(F.lit(0), i), lambda a: best_end(a, i))))
+
+    running = F.aggregate(values, F.array(F.lit(0.0)), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
+    return let(running, fit)
 
 
 def _moment(points: Column, f) -> Column:
@@ -122,25 +125,34 @@ def quadratic_log_trend(ranks: Column, values: Column) -> Column:
     than three points are fitted by a line or kept.
     """
     top = F.greatest(F.array_max(ranks), F.lit(1)).cast("double")
-    n = F.size(ranks).cast("double")
-    mean = F.aggregate(ranks, F.lit(0.0), lambda a, r: a + r / top) / n
-    points = F.zip_with(ranks, values, lambda r, v: F.struct((r / top - mean).alias("x"), F.ln(v).alias("y")))
-    s2 = _moment(points, lambda p: p["x"] * p["x"])
-    s3 = _moment(points, lambda p: p["x"] * p["x"] * p["x"])
-    s4 = _moment(points, lambda p: p["x"] * p["x"] * p["x"] * p["x"])
-    sy = _moment(points, lambda p: p["y"])
-    sxy = _moment(points, lambda p: p["x"] * p["y"])
-    sx2y = _moment(points, lambda p: p["x"] * p["x"] * p["y"])
-    # With sum x = 0 the unknowns are y = c + b x + a x^2.
-    q2 = s4 - s2 * s2 / n
-    rhs = sx2y - s2 * sy / n
-    det = s2 * q2 - s3 * s3
-    quadratic = (F.size(ranks) >= 3) & (F.abs(det) > 1e-300)
-    a = F.when(quadratic, (s2 * rhs - s3 * sxy) / det).otherwise(0.0)
-    b = F.when(quadratic, (q2 * sxy - s3 * rhs) / det).otherwise(F.when(s2 > 0, sxy / s2).otherwise(0.0))
-    c = (sy - a * s2) / n
-    fitted = F.transform(points, lambda p: F.exp(c + b * p["x"] + a * p["x"] * p["x"]))
-    return F.when(F.size(ranks) >= 2, fitted).otherwise(values)
+    scaled = F.zip_with(ranks, values, lambda r, v: F.struct((r / top).alias("x"), F.ln(v).alias("y")))
+
+    def coefficients(points: Column) -> Column:
+        n = F.size(points).cast("double")
+        mean = _moment(points, lambda p: p["x"]) / n
+        d = lambda p: p["x"] - mean
+        sums = F.struct(
+            n.alias("n"), mean.alias("mean"), _moment(points, lambda p: d(p) * d(p)).alias("s2"), _moment(points, lambda p: d(p) * d(p) * d(p)).alias("s3"),
+            _moment(points, lambda p: d(p) * d(p) * d(p) * d(p)).alias("s4"), _moment(points, lambda p: p["y"]).alias("sy"),
+            _moment(points, lambda p: d(p) * p["y"]).alias("sxy"), _moment(points, lambda p: d(p) * d(p) * p["y"]).alias("sx2y"))
+        return let(sums, _solve_centred)
+
+    def evaluate(points: Column) -> Column:
+        return let(coefficients(points), lambda k: F.transform(points, lambda p: F.exp(
+            k["c"] + k["b"] * (p["x"] - k["mean"]) + k["a"] * (p["x"] - k["mean"]) * (p["x"] - k["mean"]))))
+
+    return F.when(F.size(ranks) >= 2, let(scaled, evaluate)).otherwise(values)
+
+
+def _solve_centred(s: Column) -> Column:
+    """Coefficients of y = c + b d + a d^2 from centred moments (sum d = 0)."""
+    q2 = s["s4"] - s["s2"] * s["s2"] / s["n"]
+    rhs = s["sx2y"] - s["s2"] * s["sy"] / s["n"]
+    det = s["s2"] * q2 - s["s3"] * s["s3"]
+    quadratic = (s["n"] >= 3) & (F.abs(det) > 1e-300)
+    a = F.when(quadratic, (s["s2"] * rhs - s["s3"] * s["sxy"]) / det).otherwise(0.0)
+    b = F.when(quadratic, (q2 * s["sxy"] - s["s3"] * rhs) / det).otherwise(F.when(s["s2"] > 0, s["sxy"] / s["s2"]).otherwise(0.0))
+    return F.struct(a.alias("a"), b.alias("b"), ((s["sy"] - a * s["s2"]) / s["n"]).alias("c"), s["mean"].alias("mean"))
 
 
 def ring_weights(measured: DataFrame, keys: Sequence[str], power: float) -> DataFrame:

@@ -179,9 +179,10 @@ e AS (SELECT capture_id, any_value(p0) AS p, sqrt(avg((dy - p0 * dx) * (dy - p0
 SELECT capture_id, pixels, CASE WHEN pixels >= 50 THEN round(least(greatest(p0, 0), 3), 6) ELSE 0 END AS power, CASE WHEN pixels >= 50 THEN round(rms, 6) END AS rms,
        CASE WHEN pixels >= 50 THEN 'fitted' ELSE 'unmeasured' END AS origin FROM f JOIN e USING (capture_id)""")
 def limb_slope(spark, folder):
-    df = hits(spark, folder).where((F.col("on_globe")) & (F.col("mu") >= 0.5) & (F.col("light") > 0))
+    df = hits(spark, folder)
+    mu = F.when(F.col("on_globe") & (F.col("mu") >= 0.5) & (F.col("light") > 0), F.col("mu"))
     band = F.floor(F.col("lat") / math.radians(10)).cast("long")
-    out = fits.banded_slope(df, ["capture_id"], band, F.ln("mu"), F.ln(F.col("light") * F.pow("mu", F.lit(0.6))), min_band=5, min_total=50)
+    out = fits.banded_slope(df, ["capture_id"], band, F.ln(mu), F.ln(F.col("light") * F.pow(mu, F.lit(0.6))), min_band=5, min_total=50)
     return out.select("capture_id", "pixels", *_r("power", "rms"), "origin")
 
 
