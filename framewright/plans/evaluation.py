@@ -23,7 +23,7 @@ SELECT {key}, label, n, round(median, 10) AS median, round(p16, 10) AS p16, roun
 
 
 def _rounded(df, *keep, digits=8):
-    return df.select(*keep, *[F.round(c, 10).alias(c) for c, t in df.dtypes if t == "double" and c not in keep])
+    return df.select(*keep, *[F.round(c, digits).alias(c) for c, t in df.dtypes if t == "double" and c not in keep])
 
 
 @query("classify_gaps", "AGG-18 AGG-19 S12 S13 S14", f"WITH g AS ({T.GAPS_SQL})" + GAP_CLASS.format(key="regime"))
