@@ -84,3 +84,12 @@ def kolmogorov_psd(fx: Column, fy: Column, r0: float) -> Column:
 def kolmogorov_structure(rho: Column, r0: float) -> Column:
     """Phase structure function 6.88 (rho / r0)^(5/3)."""
     return F.lit(6.88) * F.pow(rho / F.lit(float(r0)), F.lit(5.0 / 3.0))
+
+
+def zernike_order(j: Column) -> tuple[Column, Column]:
+    """Radial and azimuthal order (n, m) of a one-based mode number; even numbers are cosines (m > 0)."""
+    n = F.ceil((F.sqrt(8.0 * j + 1.0) - 3.0) / 2.0 - 1e-9).cast("long")
+    place = j - (n * (n + 1) / 2).cast("long")  # 1-based place inside its radial order
+    size = F.when(F.pmod(n, F.lit(2)) == 0, F.floor(place / 2) * 2).otherwise(F.floor((place - 1) / 2) * 2 + 1).cast("long")
+    m = F.when(size == 0, F.lit(0)).when(F.pmod(j, F.lit(2)) == 0, size).otherwise(-size)
+    return n, m.cast("long")

@@ -44,7 +44,9 @@ def bin_planes(accumulated: DataFrame, keys: Sequence[str]) -> DataFrame:
     pick = lambda h, c: F.max(F.when(F.col("half") == h, F.col(c)))
     pairs = halves.groupBy(*keys, "bin").agg(*[pick(h, f"h_{c}").alias(f"h{h}_{c}") for h in (0, 1) for c in ("wv", "w")])
     whole = accumulated.groupBy(*keys, "pos").agg(F.sum("sum_wv").alias("sum_wv"), F.sum("sum_w").alias("sum_w"))
-    return pairs.join(gather(whole, keys, "all"), keys)
+    joined = pairs.join(gather(whole, keys, "all"), keys)
+    empty = F.transform("all_w", lambda v: v * 0)  # a half without frames contributes nothing
+    return joined.withColumns({c: F.coalesce(c, empty) for c in ("h0_wv", "h0_w", "h1_wv", "h1_w")})
 
 
 def _divide(total: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -160,8 +162,9 @@ def ring_weights(measured: DataFrame, keys: Sequence[str], power: float) -> Data
 
     ``measured`` has one row per (key, bin) with transfer, residual and depth. T is
     smoothed over rings and made non-increasing over rank, V follows a quadratic
-    trend over rank; an unmeasured bin borrows its nearest measured neighbour, and a
-    band without measurable transfer keeps equal weights.
+    trend over rank; an unmeasured bin borrows its nearest measured neighbour. A
+    band without measurable transfer keeps equal weights, as does every band of a
+    key where no bin could be measured.
     """
     keys = list(keys)
     smoothed = measured.where("transfer is not null").select(
@@ -180,10 +183,12 @@ def ring_weights(measured: DataFrame, keys: Sequence[str], power: float) -> Data
         r["bin"].alias("bin"), F.when(peak > 0, r["w"] / F.greatest(peak, F.lit(1e-300))).otherwise(F.lit(1.0)).alias("w")))
     known = weighted.select(*keys, "band", scaled.alias("w"))
     bins = measured.select(*keys, "bin")
+    unmeasured = bins.join(known.select(*keys).distinct(), keys, "left_anti").select(
+        *keys, "bin", F.explode(F.sequence(F.lit(0), F.lit(RINGS - 1))).alias("band"), F.lit(1.0).alias("weight"))
     pairs = known.join(bins, keys)
     nearest = F.array_min(F.transform("w", lambda r: F.struct(
         F.abs(r["bin"] - F.col("bin")).alias("gap"), r["bin"].alias("at"), r["w"].alias("weight"))))
-    return pairs.select(*keys, "bin", "band", nearest["weight"].alias("weight"))
+    return pairs.select(*keys, "bin", "band", nearest["weight"].alias("weight")).unionByName(unmeasured)
 
 
 def combine_bins(planes: DataFrame, weights: DataFrame, keys: Sequence[str], height: int, width: int) -> DataFrame:
@@ -345,3 +350,66 @@ def relative_high_band(frames: DataFrame, keys: Sequence[str], mask: list[float]
     total = lambda part: F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + c[part])
     per_row = frames.select(*keys, total("n").alias("n"), total("d").alias("d"))
     return per_row.groupBy(*keys).agg(F.when(F.sum("d") > 0, F.sum("n") / F.sum("d")).otherwise(F.lit(float("inf"))).alias("e_h"))
+
+
+def constrained_estimate(sums: DataFrame, keys: Sequence[str], lam: float, support: np.ndarray, *, smoothing: float = 0.0,
+                         iterations: int = 512, tolerance: float = 1e-8) -> DataFrame:
+    """Non-negative, band-limited estimate per key from the same Wiener sums.
+
+    The frames enter only through the distributed sums; what is left is a problem
+    of one plane per key, solved by accelerated projected gradient steps. With
+    ``smoothing`` an isotropic, rounded total variation is added.
+    """
+    keys = list(keys)
+    height, width = support.shape
+    gathered = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "num_re", "num_im", "power"))).alias("c"))
+    part = lambda n: F.transform("c", lambda c: c[n])
+
+    @F.arrow_udf("array<double>")
+    def solve(re: pa.Array, im: pa.Array, power: pa.Array) -> pa.Array:
+        out = []
+        for row in zip(re, im, power):
+            r, i, p = (np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=float).reshape(height, width) for v in row)
+            out.append(_projected_solution(r + 1j * i, p + lam, support, smoothing, iterations, tolerance).ravel().tolist())
+        return pa.array(out, type=pa.list_(pa.float64()))
+
+    return gathered.select(*keys, solve(part("num_re"), part("num_im"), part("power")).alias("pixels"))
+
+
+def project_feasible(plane: np.ndarray, support: np.ndarray, rounds: int = 256, tolerance: float = 1e-12) -> np.ndarray:
+    """Nearest plane that is both non-negative and limited to ``support`` in frequency (Dykstra's alternation)."""
+    x, p, q = plane, np.zeros_like(plane), np.zeros_like(plane)
+    for _ in range(rounds):
+        y = np.maximum(x + p, 0.0)
+        p = x + p - y
+        z = np.fft.ifft2(np.fft.fft2(y + q) * support).real
+        q = y + q - z
+        if np.linalg.norm(z - x) <= tolerance * max(np.linalg.norm(z), 1e-30):
+            return z
+        x = z
+    return x
+
+
+def _variation_slope(plane: np.ndarray, rounding: float = 1.0) -> np.ndarray:
+    dx, dy = np.roll(plane, -1, 1) - plane, np.roll(plane, -1, 0) - plane
+    size = np.sqrt(dx * dx + dy * dy + rounding * rounding)
+    ux, uy = dx / size, dy / size
+    return -(ux - np.roll(ux, 1, 1)) - (uy - np.roll(uy, 1, 0))
+
+
+def _projected_solution(numerator, power, support, smoothing, iterations, tolerance) -> np.ndarray:
+    step = 1.0 / (power.max() + 8.0 * smoothing)
+    x = project_feasible(np.fft.ifft2(numerator / np.maximum(power, C.DENOMINATOR_FLOOR)).real, support)
+    ahead, momentum = x, 1.0
+    for _ in range(iterations):
+        slope = np.fft.ifft2(power * np.fft.fft2(ahead) - numerator).real
+        if smoothing:
+            slope = slope + smoothing * _variation_slope(ahead)
+        following = project_feasible(ahead - step * slope, support, rounds=48, tolerance=1e-9)
+        grown = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
+        ahead = following + (momentum - 1) / grown * (following - x)
+        done = np.linalg.norm(following - x) <= tolerance * max(np.linalg.norm(following), 1e-30)
+        x, momentum = following, grown
+        if done:
+            break
+    return project_feasible(x, support)

@@ -84,6 +84,13 @@ def wiener_estimate(spark, folder):
         KEY, F.col("pos").cast("long").alias("pos"), (F.round("value", 6) + 0.0).alias("value"))
 
 
+@query("constrained_estimate", "NUM-5 NUM-6 SUP-21 (non-negative, band-limited)")
+def constrained_estimate(spark, folder):
+    support = np.hypot(np.fft.fftfreq(8)[:, None], np.fft.fftfreq(8)[None, :]) <= 0.5
+    image = FO.constrained_estimate(FO.wiener_sums(transfers(spark, folder), [KEY]), [KEY], 0.03, support, iterations=64)
+    return image.select(KEY, F.posexplode("pixels").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
 @query("data_residual", "AGG-17 NUM-11", WIENER + """
 , o AS (SELECT capture_id, f, nr / (p + 0.03) AS orr, ni / (p + 0.03) AS oi FROM s)
 SELECT h.capture_id, count(DISTINCT frame_index) AS frames, round(sum(((h.h * orr - h.re) * (h.h * orr - h.re) + (h.h * oi - h.im) * (h.h * oi - h.im)) / s2) / 64 / count(DISTINCT frame_index), 6) AS residual
@@ -122,6 +129,17 @@ def band_powers(spark, folder):
     return out.select(KEY, "frame_index", *[F.round(c, 6).alias(c) for c in ("total", "high", "mid")])
 
 
+@query("high_band_amplitude", "PRJ-12", DFT + """
+SELECT capture_id, frame_index, round(avg(sqrt(re * re + im * im)), 8) AS mean_amplitude
+FROM dft JOIN (SELECT f, sqrt(fy * fy + fx * fx) / 0.5 AS r FROM fq) USING (f) WHERE r BETWEEN 0.5 AND 1 GROUP BY 1, 2""")
+def high_band_amplitude(spark, folder):
+    rho = (np.hypot(np.fft.fftfreq(8)[:, None], np.fft.fftfreq(8)[None, :]) / 0.5).ravel()
+    inside = F.array(*[F.lit(int(i)) for i in np.flatnonzero((rho >= C.HIGH_BAND[0]) & (rho <= C.HIGH_BAND[1]))])
+    size = F.transform(inside, lambda i: F.hypot(F.get("re", i), F.get("im", i)))
+    mean = F.aggregate(size, F.lit(0.0), lambda a, v: a + v) / F.size(inside)
+    return with_spectrum(T.frames(spark, folder)).select(KEY, "frame_index", F.round(mean, 8).alias("mean_amplitude"))
+
+
 def bin_values(spark, folder):
     """Per supplier: mean price by line number, best first - seven bins of a rank trend."""
     item = T.load(spark, folder, "lineitem")

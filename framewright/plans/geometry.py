@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from framewright.functions import geometry as G
-from framewright.functions.numeric import kolmogorov_psd, kolmogorov_structure, smoothstep
+from framewright.functions.numeric import kolmogorov_psd, kolmogorov_structure, smoothstep, zernike_order
 from framewright.operators import fits
 from framewright.operators import screening
 from framewright.plans.registry import query
@@ -254,3 +254,15 @@ def turbulence_models(spark, folder):
     return T.load(spark, folder, "part").select(
         F.col("p_partkey").alias("part"), F.round(kolmogorov_psd(size * 0.5, F.col("p_retailprice") / 100, 0.1), 9).alias("psd"),
         F.round(kolmogorov_structure(size, 0.1), 4).alias("structure"), F.round(smoothstep(size / 40), 8).alias("step"))
+
+
+@query("zernike_orders", "FN-16", """
+WITH n AS (SELECT unnest(range(0, 80)) AS n), m AS (SELECT n, unnest(range(n % 2, n + 1, 2)) AS am FROM n),
+e AS (SELECT n, am, CASE WHEN am = 0 THEN 1 ELSE 2 END AS c FROM m),
+s AS (SELECT n, am, c, sum(c) OVER (ORDER BY n, am) - c + 1 AS first FROM e),
+j AS (SELECT n, am, first AS j FROM s UNION ALL SELECT n, am, first + 1 FROM s WHERE c = 2)
+SELECT p_partkey AS part, n, CASE WHEN am = 0 THEN 0 WHEN j % 2 = 0 THEN am ELSE -am END AS m FROM part JOIN j ON j.j = p_partkey % 3000 + 1""")
+def zernike_orders(spark, folder):
+    j = F.col("p_partkey") % 3000 + 1
+    n, m = zernike_order(j)
+    return T.load(spark, folder, "part").select(F.col("p_partkey").alias("part"), n.alias("n"), m.alias("m"))

@@ -142,3 +142,25 @@ def test_noise_of_a_known_scene(spark):
     frame = np.rint(K.gaussian(disc[None], 2.0)[0] + rng.normal(0, 8, disc.shape))
     row = from_arrays(spark, "n", frame[None]).withColumn("n", FR.frame_noise()).first().n
     assert row.noise == pytest.approx(8, rel=0.1) and row.signal == pytest.approx(2000, rel=0.1)
+
+
+def test_feasible_projection_meets_both_constraints():
+    rng = np.random.default_rng(8)
+    support = np.hypot(np.fft.fftfreq(16)[:, None], np.fft.fftfreq(16)[None, :]) <= 0.3
+    plane = rng.normal(1, 1, (16, 16))
+    x = FO.project_feasible(plane, support, rounds=4000)
+    assert x.min() > -1e-6 and np.allclose(np.fft.fft2(x) * ~support, 0, atol=1e-9)
+    feasible = np.full((16, 16), 2.0)
+    assert np.allclose(FO.project_feasible(feasible, support), feasible)
+
+
+def test_constrained_estimate_keeps_a_feasible_scene(spark):
+    support = np.hypot(np.fft.fftfreq(16)[:, None], np.fft.fftfreq(16)[None, :]) <= 0.4
+    y, x = np.indices((16, 16))
+    truth = 3 + np.cos(2 * np.pi * x / 16) + np.sin(2 * np.pi * y / 8)
+    spectrum = np.fft.fft2(truth)
+    rows = [(1, k, float(v.real), float(v.imag), 1.0) for k, v in enumerate(spectrum.ravel())]
+    sums = spark.createDataFrame(rows, "k int, pos int, num_re double, num_im double, power double")
+    for smoothing in (0.0, 1e-9):
+        got = np.array(FO.constrained_estimate(sums, ["k"], 0.0, support, smoothing=smoothing).first().pixels).reshape(16, 16)
+        assert np.allclose(got, truth, atol=1e-4)
