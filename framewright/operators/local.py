@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright import constants as C
@@ -34,9 +34,20 @@ def reference_planes(frames: DataFrame) -> DataFrame:
 def registered_stack(frames: DataFrame, references: DataFrame, *, max_shift: float, keys: Sequence[str] = (KEY,)) -> DataFrame:
     """Quality-weighted sums of frames pulled onto their capture's reference; wide shifts are left out."""
     moved = frames.join(references, KEY).withColumn("s", FR.translation_to(F.col("reference"))).drop("reference")
-    near = finite(F.col("s.dx")) & finite(F.col("s.dy")) & (F.abs("s.dx") <= max_shift) & (F.abs("s.dy") <= max_shift)
-    dx, dy = F.col("s.dx"), F.col("s.dy")
-    return ST.stack(moved.where(near), keys, FR.shifted(dx, dy), F.greatest("quality", F.lit(C.MIN_WEIGHT)), FR.shifted_support(dx, dy))
+    share, dx, dy = bounded_shift(F.col("s"), max_shift)
+    weight = share * F.greatest("quality", F.lit(C.MIN_WEIGHT))
+    return ST.stack(moved, keys, FR.shifted(dx, dy), weight, FR.shifted_support(dx, dy))
+
+
+def bounded_shift(shift: Column, max_shift: float) -> tuple[Column, Column, Column]:
+    """(1 or 0, dx, dy): a shift beyond the limit weighs nothing.
+
+    A weight instead of a filter, because a filter on the matching UDF would run it
+    a second time below the projection.
+    """
+    near = (finite(shift["dx"]) & finite(shift["dy"]) & (F.abs(shift["dx"]) <= max_shift) & (F.abs(shift["dy"]) <= max_shift))
+    at = lambda c: F.when(near, shift[c]).otherwise(F.lit(0.0))
+    return F.when(near, F.lit(1.0)).otherwise(F.lit(0.0)), at("dx"), at("dy")
 
 
 def refined_reference(frames: DataFrame, *, passes: int, max_shift: float) -> DataFrame:

@@ -9,6 +9,7 @@ from framewright import constants as C
 from framewright.functions.numeric import finite, half_of, luminance
 from framewright.operators import frames as FR
 from framewright.operators import pixels as PX
+from framewright.operators import quality as Q
 from framewright.operators import selection as SEL
 from framewright.operators import stacking as ST
 from framewright.plans.registry import query
@@ -338,3 +339,27 @@ def finite_frames(spark, folder):
     good = F.forall("pixels", lambda v: finite(v))
     return T.frames(spark, folder).where(good).groupBy(KEY).agg(
         F.count(F.lit(1)).alias("frames"), F.sum(F.size("pixels").cast("long")).alias("samples"))
+
+
+@query("stack_snr", "AGG-10 PRJ-13 SRT-5 (single-frame SNR scaled to the stack)")
+def stack_snr(spark, folder):
+    frames = scored(spark, folder).withColumn("accepted", F.lit(True))
+    summary = Q.stack_summary(frames.drop("pixels"), frames.drop("pixels"))
+    picks = SEL.evenly_spaced(frames.select(KEY, "frame_index"), [KEY], "frame_index", C.NOISE_SAMPLES)
+    sampled = frames.join(materialise(picks, "noise-samples"), [KEY, "frame_index"]).withColumn("n", FR.frame_noise(minimum=4))
+    measured = sampled.select(KEY, "n.signal", "n.noise").where("noise is not null")
+    out = Q.snr_summary(measured, summary)
+    return out.select(KEY, "frames_sampled", *[F.round(c, 6).alias(c) for c in ("signal", "noise", "snr", "snr_gain", "estimated_snr")])
+
+
+@query("masked_shifts", "REG-6 FLT-10 (masked correlation against the mean of all frames)")
+def masked_shifts(spark, folder):
+    from framewright.operators import drift as D
+
+    frames = T.frames(spark, folder)
+    mean = ST.normalise(ST.stack(frames.withColumn("all", F.lit(0)), ["all"], F.col("pixels"), F.lit(1.0)))
+    reference = np.array([r.value for r in mean.orderBy("pos").collect()]).reshape(8, 8)  # one plane
+    mask = np.zeros((8, 8), dtype=bool)
+    mask[1:-1, 1:-1] = True
+    found = frames.select(KEY, "frame_index", D.masked_displacement(reference, mask).alias("d"))
+    return found.select(KEY, "frame_index", F.col("d").isNotNull().alias("matched"), F.round("d.dx", 5).alias("dx"), F.round("d.dy", 5).alias("dy"))

@@ -86,9 +86,9 @@ def stack(spark: SparkSession, path: str, screened: DataFrame, settings: Setting
     else:
         references = materialise(reference, "references")
         moved = registered.join(references, KEY).withColumn("s", FR.translation_to(F.col("reference"))).drop("reference")
-        near = moved.where((F.abs("s.dx") <= settings.max_shift_px) & (F.abs("s.dy") <= settings.max_shift_px))
-        near = near.withColumn("pixels", F.col("original"))
-        dx, dy = F.col("s.dx"), F.col("s.dy")
+        near = moved.withColumn("pixels", F.col("original"))
+        share, dx, dy = LO.bounded_shift(F.col("s"), settings.max_shift_px)
+        weight = share * weight
         if pattern in C.BAYER_PATTERNS:
             total = ST.stack(near, [KEY], FR.colour_scatter(pattern, dx, dy), weight, FR.colour_support(pattern, dx, dy))
         elif settings.fourier_power:
