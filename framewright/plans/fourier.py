@@ -207,7 +207,7 @@ def fourier_weighted_stack(spark, folder):
     return combined.select(KEY, F.posexplode("weighted").alias("pos", "value")).withColumn("value", F.round("value", 8))
 
 
-@query("registration_shifts", "REG-1 FLT-7 JN-12", SCORE_SQL + """
+SHIFTS = SCORE_SQL + """
 , best AS (SELECT capture_id, frame_index AS ref FROM score QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY quality DESC, frame_index) = 1),
 c AS (SELECT px.*, v - avg(v) OVER (PARTITION BY frame_index) AS u FROM px),
 dft AS (SELECT capture_id, frame_index, f, sum(u * cos(2 * pi() * ((f // 8) * y + (f % 8) * x) / 8)) AS re, -sum(u * sin(2 * pi() * ((f // 8) * y + (f % 8) * x) / 8)) AS im
@@ -220,9 +220,13 @@ s AS (SELECT capture_id, frame_index, k, sum(xr * cos(2 * pi() * ((f // 8) * (k
 p AS (SELECT capture_id, frame_index, arg_max(k, c) AS k, max(c) AS c0 FROM s GROUP BY 1, 2),
 n AS (SELECT p.*, u.c AS up, d.c AS dn, l.c AS lf, r.c AS rt FROM p
       JOIN s u ON u.frame_index = p.frame_index AND u.k = ((p.k // 8 + 7) % 8) * 8 + p.k % 8 JOIN s d ON d.frame_index = p.frame_index AND d.k = ((p.k // 8 + 1) % 8) * 8 + p.k % 8
-      JOIN s l ON l.frame_index = p.frame_index AND l.k = (p.k // 8) * 8 + (p.k % 8 + 7) % 8 JOIN s r ON r.frame_index = p.frame_index AND r.k = (p.k // 8) * 8 + (p.k % 8 + 1) % 8)
-SELECT capture_id, frame_index, round(CASE WHEN k % 8 < 4 THEN k % 8 ELSE k % 8 - 8 END + CASE WHEN lf - 2 * c0 + rt < 0 THEN least(greatest(0.5 * (lf - rt) / (lf - 2 * c0 + rt), -0.5), 0.5) ELSE 0 END, 5) + 0.0 AS dx,
-       round(CASE WHEN k // 8 < 4 THEN k // 8 ELSE k // 8 - 8 END + CASE WHEN up - 2 * c0 + dn < 0 THEN least(greatest(0.5 * (up - dn) / (up - 2 * c0 + dn), -0.5), 0.5) ELSE 0 END, 5) + 0.0 AS dy FROM n""")
+      JOIN s l ON l.frame_index = p.frame_index AND l.k = (p.k // 8) * 8 + (p.k % 8 + 7) % 8 JOIN s r ON r.frame_index = p.frame_index AND r.k = (p.k // 8) * 8 + (p.k % 8 + 1) % 8),
+shifts AS (SELECT capture_id, frame_index, CASE WHEN k % 8 < 4 THEN k % 8 ELSE k % 8 - 8 END + CASE WHEN lf - 2 * c0 + rt < 0 THEN least(greatest(0.5 * (lf - rt) / (lf - 2 * c0 + rt), -0.5), 0.5) ELSE 0 END AS dx,
+       CASE WHEN k // 8 < 4 THEN k // 8 ELSE k // 8 - 8 END + CASE WHEN up - 2 * c0 + dn < 0 THEN least(greatest(0.5 * (up - dn) / (up - 2 * c0 + dn), -0.5), 0.5) ELSE 0 END AS dy FROM n)
+"""
+
+
+@query("registration_shifts", "REG-1 FLT-7 JN-12", SHIFTS + "SELECT capture_id, frame_index, round(dx, 5) + 0.0 AS dx, round(dy, 5) + 0.0 AS dy FROM shifts")
 def registration_shifts(spark, folder):
     frames = scored(spark, folder)
     references = materialise(LO.reference_planes(frames), "references")
@@ -230,7 +234,15 @@ def registration_shifts(spark, folder):
     return shifts.select(KEY, "frame_index", (F.round("s.dx", 5) + 0.0).alias("dx"), (F.round("s.dy", 5) + 0.0).alias("dy"))
 
 
-@query("registered_stack", "SUP-1 REG-1 REG-13 AGG-1 (translation stack)")
+@query("registered_stack", "SUP-1 REG-1 REG-13 AGG-1 (translation stack)", SHIFTS + """
+, near AS (SELECT capture_id, frame_index, CASE WHEN abs(dx) < 1e-10 THEN 0 ELSE dx END AS dx, CASE WHEN abs(dy) < 1e-10 THEN 0 ELSE dy END AS dy, greatest(quality, 1e-12) AS q
+           FROM shifts JOIN score USING (capture_id, frame_index) WHERE abs(dx) <= 2 AND abs(dy) <= 2),
+put AS (SELECT px.capture_id, q, v, y - floor(dy)::BIGINT - cy AS ty, x - floor(dx)::BIGINT - cx AS tx,
+               (CASE WHEN cy = 0 THEN 1 - (dy - floor(dy)) ELSE dy - floor(dy) END) * (CASE WHEN cx = 0 THEN 1 - (dx - floor(dx)) ELSE dx - floor(dx) END) AS wt
+        FROM px JOIN near USING (capture_id, frame_index), (SELECT unnest([0, 1]) AS cy), (SELECT unnest([0, 1]) AS cx)),
+a AS (SELECT capture_id, ty AS y, tx AS x, sum(q * wt * v) AS wv, sum(q * wt) AS w FROM put WHERE ty BETWEEN 0 AND 7 AND tx BETWEEN 0 AND 7 GROUP BY 1, 2, 3)
+SELECT g.capture_id, g.y, g.x, round(CASE WHEN w > 0 THEN wv / w ELSE 0 END, 6) AS value, coalesce(w > 0, false) AS valid
+FROM (SELECT DISTINCT capture_id, y, x FROM px) g LEFT JOIN a USING (capture_id, y, x)""")
 def registered_stack(spark, folder):
     frames = scored(spark, folder)
     total = LO.registered_stack(frames, materialise(LO.reference_planes(frames), "references"), max_shift=2.0)
@@ -244,12 +256,22 @@ def refined_reference(spark, folder):
     return out.select(KEY, F.posexplode("reference").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
-@query("local_quality", "REG-4 WIN-4 UDF-7")
+@query("local_quality", "REG-4 WIN-4 UDF-7", PX_SQL + """
+, t AS (SELECT o, exp(-0.5 * o * o / 2.25::DOUBLE) / (SELECT sum(exp(-0.5 * q * q / 2.25::DOUBLE)) FROM (SELECT unnest(range(-6, 7)) AS q)) AS w FROM (SELECT unnest(range(-6, 7)) AS o)),
+m AS (SELECT i, least(greatest(i + o, 0), 7) AS j, sum(w) AS w FROM (SELECT unnest(range(8)) AS i), t GROUP BY 1, 2),
+sm AS (SELECT q.capture_id, q.frame_index, a.i AS y, b.i AS x, sum(a.w * b.w * q.v) AS v FROM px q JOIN m a ON a.j = q.y JOIN m b ON b.j = q.x GROUP BY 1, 2, 3, 4),
+lp AS (SELECT c.capture_id, c.frame_index, c.y, c.x, c.v, CASE WHEN c.y BETWEEN 1 AND 6 AND c.x BETWEEN 1 AND 6 THEN sum(n.v) - 5 * c.v ELSE 0 END AS l
+       FROM sm c JOIN sm n ON n.frame_index = c.frame_index AND abs(n.y - c.y) + abs(n.x - c.x) <= 1 GROUP BY 1, 2, 3, 4, 5),
+pt AS (SELECT * FROM (VALUES (0, 2, 2), (1, 2, 5), (2, 5, 2), (3, 5, 5)) p(point, cy, cx)),
+sc AS (SELECT capture_id, frame_index, point, sum(g * l * l) / sum(g) / greatest(power(sum(g * v) / sum(g), 2), 1e-30) AS score
+       FROM (SELECT *, exp(-0.5 * ((y - cy) * (y - cy) + (x - cx) * (x - cx)) / 4.0::DOUBLE) AS g FROM lp, pt) GROUP BY 1, 2, 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY capture_id, point ORDER BY score DESC, frame_index) AS rank, least(20, count(*) OVER (PARTITION BY capture_id, point)) AS kept FROM sc)
+SELECT capture_id, point, frame_index, rank, least((rank - 1) * 4 // kept, 3) AS bin, round(ln(score), 4) AS score FROM rk WHERE rank <= kept""")
 def local_quality(spark, folder):
     frames = scored(spark, folder)
     scores = LO.local_scores(frames, [(2, 2), (2, 5), (5, 2), (5, 5)], sigma=2.0)
     best = SEL.per_point_best(scores, [KEY], "point", 20, bins=4)
-    return best.select(KEY, "point", "frame_index", "rank", "bin", F.round("score", 6).alias("score"))
+    return best.select(KEY, "point", "frame_index", "rank", "bin", F.round(F.ln("score"), 4).alias("score"))
 
 
 @query("bin_planes", "D8 AGG-4 (planes)", BINNED + """

@@ -145,7 +145,14 @@ def colour_stack(spark, folder):
     return ST.place(ST.normalise(total), 8, 8, "RGB")
 
 
-@query("colour_site_stack_shifted", "AGG-2 PRJ-15 (half-pixel registered)")
+@query("colour_site_stack_shifted", "AGG-2 PRJ-15 (half-pixel registered)", PX_SQL + f"""
+, sh AS (SELECT *, (frame_index % 3) * 0.5::DOUBLE AS dx, (frame_index % 2) * 1.0::DOUBLE AS dy, {CFA} AS channel FROM px),
+put AS (SELECT capture_id, channel, v, y - floor(dy)::BIGINT - cy AS ty, x - floor(dx)::BIGINT - cx AS tx,
+               (CASE WHEN cy = 0 THEN 1 - (dy - floor(dy)) ELSE dy - floor(dy) END) * (CASE WHEN cx = 0 THEN 1 - (dx - floor(dx)) ELSE dx - floor(dx) END) AS wt
+        FROM sh, (SELECT unnest([0, 1]) AS cy), (SELECT unnest([0, 1]) AS cx)),
+s AS (SELECT capture_id, ty AS y, tx AS x, channel, sum(wt * v) AS wv, sum(wt) AS w FROM put WHERE ty BETWEEN 0 AND 7 AND tx BETWEEN 0 AND 7 GROUP BY ALL),
+grid AS (SELECT DISTINCT capture_id, px.y, px.x, c AS channel FROM px, (SELECT unnest(['R', 'G', 'B']) AS c))
+SELECT capture_id, y, x, channel, round(CASE WHEN w > 0 THEN wv / w ELSE 0 END, 8) AS value FROM grid LEFT JOIN s USING (capture_id, y, x, channel)""")
 def colour_site_stack_shifted(spark, folder):
     dx, dy = (F.col("frame_index") % 3) * 0.5, (F.col("frame_index") % 2) * 1.0
     total = ST.stack(T.frames(spark, folder), [KEY], FR.colour_scatter("RGGB", dx, dy), F.lit(1.0),
@@ -322,7 +329,17 @@ def layer_coverage(spark, folder):
     return out.select("y", "x", F.round("bright", 6).alias("bright"), F.round("dark", 6).alias("dark"))
 
 
-@query("frame_noise", "PRJ-13 AGG-10")
+NOISE = """
+, r AS (SELECT a.capture_id, a.frame_index, a.k, abs(sum(b.v * CASE abs(a.y - b.y) + abs(a.x - b.x) WHEN 0 THEN 4 WHEN 1 THEN -2 ELSE 1 END)) / 6 AS resp, avg(b.v) AS lev
+        FROM (SELECT * FROM px WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6) a JOIN px b ON a.frame_index = b.frame_index AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3),
+q AS (SELECT frame_index, quantile_cont(lev, 0.05) AS bg, quantile_cont(lev, 0.995) AS top FROM r GROUP BY 1),
+n AS (SELECT capture_id, frame_index, count(*) AS c, avg(lev) - any_value(bg) AS signal, 1.4826 * median(resp) AS noise FROM r JOIN q USING (frame_index)
+      WHERE top > bg AND lev > bg + 0.5::DOUBLE * (top - bg) GROUP BY 1, 2)
+"""
+
+
+@query("frame_noise", "PRJ-13 AGG-10", PX_SQL + NOISE + """
+SELECT capture_id, frame_index, round(signal, 8) AS signal, round(noise, 8) AS noise FROM n WHERE c >= 4 AND noise > 0""")
 def frame_noise(spark, folder):
     frames = T.frames(spark, folder).withColumn("n", FR.frame_noise(minimum=4))
     return frames.where("n is not null").select(KEY, "frame_index", F.round("n.signal", 8).alias("signal"), F.round("n.noise", 8).alias("noise"))
@@ -341,7 +358,13 @@ def finite_frames(spark, folder):
         F.count(F.lit(1)).alias("frames"), F.sum(F.size("pixels").cast("long")).alias("samples"))
 
 
-@query("stack_snr", "AGG-10 PRJ-13 SRT-5 (single-frame SNR scaled to the stack)")
+@query("stack_snr", "AGG-10 PRJ-13 SRT-5 (single-frame SNR scaled to the stack)", SCORE_SQL + NOISE + """
+, o AS (SELECT capture_id, frame_index, row_number() OVER (PARTITION BY capture_id ORDER BY frame_index) - 1 AS pos, count(*) OVER (PARTITION BY capture_id) AS total FROM score),
+pick AS (SELECT DISTINCT capture_id, frame_index FROM o JOIN (SELECT unnest(range(8)) AS j) ON j < least(total, 8)
+         AND pos = round_even(j * ((total - 1) / greatest(least(total, 8) - 1, 1)::DOUBLE), 0)),
+m AS (SELECT capture_id, count(*) AS frames_sampled, median(signal) AS signal, median(noise) AS noise FROM n JOIN pick USING (capture_id, frame_index) WHERE c >= 4 AND noise > 0 GROUP BY 1),
+e AS (SELECT capture_id, sqrt(sum(greatest(quality, 1e-12)) * sum(greatest(quality, 1e-12)) / sum(greatest(quality, 1e-12) * greatest(quality, 1e-12))) AS gain FROM score GROUP BY 1)
+SELECT capture_id, frames_sampled, round(signal, 6) AS signal, round(noise, 6) AS noise, round(signal / noise, 6) AS snr, round(gain, 6) AS snr_gain, round(signal / noise * gain, 6) AS estimated_snr FROM e JOIN m USING (capture_id)""")
 def stack_snr(spark, folder):
     frames = scored(spark, folder).withColumn("accepted", F.lit(True))
     summary = Q.stack_summary(frames.drop("pixels"), frames.drop("pixels"))
