@@ -265,3 +265,8 @@ def limb_taper(mu: Column, width: float) -> Column:
 def exposure_motion(radius: float, field_rate: Column, surface_rate: Column, exposure_s: Column) -> Column:
     """Limb motion during one exposure in pixels."""
     return (F.abs(field_rate) + F.abs(surface_rate)) * radius * exposure_s
+
+
+def planetocentric(latitude: Column, flattening: float) -> Column:
+    """Planetocentric latitude of a planetodetic one."""
+    return F.atan2(F.sin(latitude) * (1 - flattening) ** 2, F.cos(latitude))

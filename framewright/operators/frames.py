@@ -266,3 +266,13 @@ def translation_to(reference: Column) -> Column:
         return pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["dx", "dy"])
 
     return run(*FRAME, reference)
+
+
+def fourier_shifted(dx: Column, dy: Column) -> Column:
+    """The frame moved by (dx, dy) with a linear phase (periodic)."""
+    return frame_plane(K.fourier_shift, extras=2)(*FRAME, dx, dy)
+
+
+def colour_luminance(pattern: str) -> Column:
+    """Luminance of the demosaiced frame, used to register site-pattern captures in all colours."""
+    return frame_plane(lambda p: K.colour_to_luminance(K.demosaic(p, pattern)))(*FRAME)

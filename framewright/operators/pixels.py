@@ -93,3 +93,27 @@ def raw_residual(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_frame.groupBy(*keys).agg(
         F.sum("n").alias("samples"), F.count_if(F.col("n") > 0).alias("frames"),
         F.sqrt(F.sum("error") / F.greatest(F.sum("energy"), F.lit(1e-20))).alias("relative_rms"))
+
+
+def centroids(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Brightness-weighted centre of each group of pixel rows, relative to the middle of the grid given by y and x."""
+    w = F.abs("value")
+    return rows.groupBy(*keys).agg((F.sum(w * F.col("x")) / F.sum(w)).alias("cx"), (F.sum(w * F.col("y")) / F.sum(w)).alias("cy"))
+
+
+def place_blocks(pixels: DataFrame, keys: Sequence[str], size: int, *, brightness: float, texture: float, floor: float) -> DataFrame:
+    """Blocks of a reference that are bright and textured enough to align on.
+
+    A block needs a share of the largest pixel in brightness, and a share of the
+    median block texture with an absolute floor.
+    """
+    from framewright.operators.ordering import medians
+
+    keys = list(keys)
+    blocks = pixels.groupBy(*keys, F.floor(F.col("y") / size).cast("long").alias("block_y"), F.floor(F.col("x") / size).cast("long").alias("block_x")).agg(
+        F.avg("value").alias("level"), F.stddev_pop("value").alias("texture"))
+    peaks = pixels.groupBy(*keys).agg(F.max("value").alias("peak"))
+    bright = blocks.join(peaks, keys).where(F.col("level") >= brightness * F.col("peak"))
+    middle = medians(bright, keys, {"typical": "texture"})
+    return bright.join(middle, keys).where(
+        (F.col("texture") >= texture * F.col("typical")) & (F.col("texture") > floor * F.abs("peak"))).drop("peak", "typical")
