@@ -107,8 +107,8 @@ def test_equal_bin_weights_reproduce_the_ordinary_stack(spark):
                                    "capture_id int, bin int, half int, pixels array<double>")
     acc = ST.stack(frames, ["capture_id", "bin", "half"], F.col("pixels"), F.lit(1.0)).cache()
     planes = FO.bin_planes(acc, ["capture_id"])
-    weights = spark.range(4).selectExpr("1 AS capture_id", "cast(id AS int) AS bin").crossJoin(
-        spark.range(FO.RINGS).selectExpr("cast(id AS int) AS band")).withColumn("weight", F.lit(1.0))
+    weights = spark.range(4).selectExpr("1 AS capture_id", "cast(id AS int) AS bin", f"explode(sequence(0, {FO.RINGS - 1})) AS band",
+                                        "1.0D AS weight")
     got = FO.combine_bins(planes, weights, ["capture_id"], 8, 8).first().weighted
     total = acc.groupBy("pos").agg((F.sum("sum_wv") / F.sum("sum_w")).alias("v")).orderBy("pos").toPandas().v
     assert np.allclose(got, total)
