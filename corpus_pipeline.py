@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, decontam, exact, language
+from framewright.llm import bpe, decontam, exact, language, minhash
 from framewright.llm.common import table
 from framewright.session import shared_folder, ship_package
 
@@ -37,6 +37,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact.deduplicated(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of documents linked by near-equal sets of five-word shingles."""
+    ship_package(spark)
+    return minhash.deduplicated(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which one word in twenty or more stands in a benchmark passage."""
     ship_package(spark)
@@ -54,6 +60,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", identify_language),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
     ("byte_bpe", tokenize),
 ]

@@ -8,12 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, decontam, exact, language
+from framewright.llm import bpe, decontam, exact, language, minhash
 from framewright.llm.common import fold_of, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.grouped(table(spark, folder, "documents"), size=2)[0]
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+                             ELSE list_distinct([w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))]) END AS s FROM words),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS c
+           FROM flat x JOIN flat y ON x.g = y.g AND x.doc_id < y.doc_id
+           WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY 1, 2, 3, 4),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 80 * (na + nb - c)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, s.b FROM reached r JOIN steps s ON r.other = s.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least_id AS component_id, doc_id = least_id AS kept
+FROM sets JOIN (SELECT doc_id, min(other) AS least_id FROM reached GROUP BY 1) USING (doc_id)"""
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.decided(table(spark, folder, "documents"))
 
@@ -76,6 +97,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Plan, str | None]] = {
+    "op1_minhash_dedup": (op1_minhash_dedup, OP1_SQL),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
     "op7_language_id": (op7_language_id, None),
     "op8_decontamination": (op8_decontamination, OP8_SQL),
