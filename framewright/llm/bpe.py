@@ -45,14 +45,19 @@ class Codec:
 
     def merged(self, raw: bytes) -> list[int]:
         """Plain merging, the lowest rank first and of equal ones the leftmost."""
-        ranks = self.ranks
-        if len(raw) <= self.leaf_bytes:
+        ranks, none = self.ranks, 1 << 60
+        if len(raw) <= 4 * self.leaf_bytes:
             parts = [raw[i : i + 1] for i in range(len(raw))]
-            while len(parts) > 1:
-                rank, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-                if rank == 1 << 60:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+            while pairs and (rank := min(pairs)) < none:
+                at = pairs.index(rank)
+                part = parts[at] + parts[at + 1]
+                parts[at : at + 2] = [part]
+                del pairs[at]
+                if at:
+                    pairs[at - 1] = ranks.get(parts[at - 1] + part, none)
+                if at < len(pairs):
+                    pairs[at] = ranks.get(part + parts[at + 1], none)
             return [ranks[p] for p in parts]
         after = list(range(1, len(raw) + 1))  # where the part that starts here ends; 0: no part starts here
         before = list(range(-1, len(raw) - 1))
