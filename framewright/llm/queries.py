@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, chat, decontam, exact, language, minhash, warc
+from framewright.llm import bpe, chat, decontam, exact, language, minhash, quality, substring, urls, warc
 from framewright.llm.common import fold_of, table
 from framewright.session import shared_folder
 
@@ -65,6 +65,27 @@ SELECT page_id, n::BIGINT AS payload_bytes, b32 AS payload_digest, CASE WHEN pag
 FROM p JOIN named USING (d) JOIN heads USING (d)"""
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "quality").where(fold_of("doc_id", 5) != 0)
+    score = quality.score(docs, quality.learn(docs, labels))
+    held = F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False))
+    return docs.select("doc_id", held.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each repeated passage of a document, the first occurrence included; other documents have none."""
+    found = substring.repeats(table(spark, folder, "documents")).select("doc_id", F.explode("spans").alias("s"))
+    return found.select("doc_id", F.col("s.start").alias("start_byte"), F.col("s.stop").alias("stop_byte"), "s.first_doc_id", "s.kept")
+
+
+RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages"), RULES)
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     fold = fold_of("doc_id", 3)
@@ -161,6 +182,9 @@ QUERIES: dict[str, tuple[Plan, str | None]] = {
     "op1_minhash_dedup": (op1_minhash_dedup, OP1_SQL),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
     "op3_warc": (op3_warc, OP3_SQL),
+    "op4_quality": (op4_quality, None),
+    "op5_substring_dedup": (op5_substring_dedup, None),
+    "op6_url_filter": (op6_url_filter, None),
     "op7_language_id": (op7_language_id, None),
     "op8_decontamination": (op8_decontamination, OP8_SQL),
     "op9_chat_windows": (op9_chat_windows, OP9_SQL),
