@@ -12,8 +12,8 @@ two exponential gaps of ``average`` bytes together: of 320 bytes (some 51 words)
 192 bytes asked for, of 400 bytes 99.9 %.
 
 Defined results: null, empty and short texts have no passages. Rows that repeat a doc_id are one
-document, so copies under one id are not reported. The first occurrence (smallest doc_id, then
-place) is kept, later ones are marked for removal. Rows with a null doc_id are not looked at.
+document, so copies under one id are not reported. The document of the smallest id keeps a
+passage, in all others it is marked for removal. Rows with a null doc_id are not looked at.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from framewright.session import materialise
 
 GEAR = (_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 PART = 1 << 20
-WINDOWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("key", pa.int64())])
+SIZE = 1 << 20  # 20 bits for the length: a place is start * SIZE + length
+WINDOWS = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("key", pa.int64())])
 SPAN = T.ArrayType(T.StructType().add("start", T.LongType()).add("stop", T.LongType()).add("first_doc_id", T.LongType()).add("kept", T.BooleanType()))
 
 
@@ -69,17 +70,13 @@ def passages(raw: bytes, reach: int, **options) -> list[tuple[int, int, int]]:
 def _windows(reach: int, options: dict):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, stops, keys = [], [], [], []
+            ids, places, keys = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found = passages((text or "").encode("utf-8", "surrogatepass"), reach, **options)
-                if found:
-                    a, b, k = zip(*found)
-                    ids += [doc_id] * len(found)
-                    starts += a
-                    stops += b
-                    keys += k
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()),
-                                              pa.array(np.array(keys, np.uint64).view(np.int64))], schema=WINDOWS)
+                ids += [doc_id] * len(found)
+                places += [a * SIZE + b - a for a, b, _ in found]
+                keys += [k for _, _, k in found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], schema=WINDOWS)
 
     return windows
 
@@ -109,11 +106,12 @@ def repeats(docs: DataFrame, text: str = "text", reach: int = 64, least_bytes: i
     """(doc_id, spans): for each document with repeated passages their byte spans, the first document and whether it is kept here."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with batches_of(docs.sparkSession, 2000):
-        windows = materialise(rows.mapInArrow(_windows(reach, options), "doc_id long, start long, stop long, key long"), "windows")
-    seen = windows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
-    again = seen.where("first.doc_id < last").select("key", "first")
-    here = F.col("first").eqNullSafe(F.struct("doc_id", "start"))
-    found = windows.join(again, "key").select("doc_id", F.struct("start", "stop", F.col("first.doc_id").alias("first_doc_id"), here.alias("kept")).alias("w"))
+        windows = materialise(rows.mapInArrow(_windows(reach, options), "doc_id long, place long, key long"), "windows")
+    seen = windows.groupBy("key").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
+    again = seen.where("first_doc_id < last").select("key", "first_doc_id")
+    start = F.shiftright("place", 20)
+    w = F.struct(start.alias("start"), (start + F.col("place") % SIZE).alias("stop"), "first_doc_id", (F.col("doc_id") == F.col("first_doc_id")).alias("kept"))
+    found = windows.join(again, "key").select("doc_id", w.alias("w"))
     # Windows of rows that repeat a doc_id are equal and vanish in the set.
     spans = found.groupBy("doc_id").agg(F.collect_set("w").alias("w")).select("doc_id", _merged(least_bytes)(F.col("w")).alias("spans"))
     return spans.where(F.size("spans") > 0)
@@ -135,7 +133,7 @@ def _cut(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
 
 
 def deduplicated(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with every passage left only where it occurs first."""
+    """``docs`` with every passage left only in the document of the smallest id."""
     cuts = repeats(docs, text, **options).select(F.col("doc_id").alias("cut_id"), F.filter("spans", lambda s: ~s.kept).alias("cut")).where(F.size("cut") > 0)
     cuts = materialise(cuts.select("cut_id", F.col("cut.start").alias("cut_start"), F.col("cut.stop").alias("cut_stop")), "cuts")
     joined = docs.alias("d").join(cuts.alias("c"), F.col("d.doc_id") == F.col("c.cut_id"), "left")
