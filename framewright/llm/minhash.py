@@ -147,8 +147,9 @@ def _linked(size: int, share: int):
 class _Rounds:
     """Classes whose tables are known, their texts, and what the comparisons have shown so far."""
 
-    def __init__(self, buckets: DataFrame, texts: DataFrame, size: int, share: int):
-        self.buckets, self.texts, self.linked = buckets, texts, _linked(size, share)
+    def __init__(self, classes: DataFrame, buckets: DataFrame, texts: DataFrame, size: int, share: int):
+        self.classes, self.buckets, self.texts, self.linked = classes, buckets, texts, _linked(size, share)
+        self.size, self.share = size, share
         self.links, self.checked, self.labels = None, None, None
 
     def compare(self, pairs: DataFrame) -> None:
@@ -179,16 +180,85 @@ class _Rounds:
         return self.label(self.label(pairs, "a", "a_label"), "b", "b_label").where("a_label <> b_label").select("a", "b")
 
     def remaining(self) -> DataFrame:
-        """Pairs of one table and two components: only tables with several, by way of their pairs of components."""
-        rows = self.label(self.buckets.select("key", "cid"), "cid", "label")
+        """Pairs of one table and two components that may be links; three exact bounds spare the others.
+
+        A class of whose shingles too many are in no other class here has no link. Of two classes,
+        neither's own shingles are shared; and parity bitmaps differ in no more places than the sets do.
+        Tables that share a key of the first collection are met together, so a pair is not met once a table.
+        """
+        rows = self._mixed(self.label(self.buckets.select("key", "cid"), "cid", "label"))
+        texts = self.texts.join(rows.select("cid").distinct(), "cid", "left_semi")
+        with batches_of(texts.sparkSession, 1000):
+            sets = materialise(texts.select("cid", _sets(self.size)(F.col("text")).alias("s")).select("cid", "s.*").dropDuplicates(["cid"]), "sets")
+        tokens = sets.select("cid", F.explode("hashes").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cid").alias("cid"))
+        own = tokens.where("df = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
+        share = self.share
+        facts = sets.select("cid", "bits", F.size("hashes").cast("bigint").alias("n")).join(own, "cid", "left").fillna(0, ["own"])
+        facts = materialise(facts.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * share), "facts")
+        rows = self.label(facts.join(self.classes, "cid"), "cid", "label").withColumn("key", F.explode("a")).drop("a")
+        rows = materialise(self._mixed(rows), "mixed")
+        rows = rows.withColumn("spare", (F.col("n") - F.col("own")) * 100 - F.col("n") * share)
+        kinds = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.max("spare").alias("spare"), F.min("own").alias("own"),
+                                                 F.max("n").alias("n"), F.first("bits").alias("bits"), F.max("cid").alias("cid"), F.first("b").alias("b"))
+        kind = lambda p: kinds.select("key", F.col("label").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("c", "spare", "own", "n", "bits", "cid", "b")))
+        alone = (F.col("x_c") == 1) & (F.col("y_c") == 1)
+        both = kind("x").alias("x").join(kind("y").alias("y"), (F.col("x.key") == F.col("y.key"))
+                                         & ((F.col("x_c") < F.col("y_c")) | ((F.col("x_c") == F.col("y_c")) & (F.col("x") < F.col("y"))))
+                                         & (F.col("x_spare") >= F.col("y_own") * share) & (F.col("y_spare") >= F.col("x_own") * share)
+                                         & (~alone | (F.arrays_overlap("x_b", "y_b") & self._near("x_", "y_")))).select(F.col("x.key").alias("key"), "x", "y", "x_cid", "y_cid", alone.alias("alone"))
+        both = materialise(both, "kinds")
+        side = lambda label, p: rows.select("key", F.col("label").alias(label), *(F.col(c).alias(p + c) for c in ("cid", "n", "own", "spare", "bits", "b")))
+        near, far = both.where("not alone").select("key", "x", "y").join(side("x", "i_"), ["key", "x"]).alias("near"), side("y", "j_").alias("far")
+        met = near.join(far, (F.col("near.key") == F.col("far.key")) & (F.col("near.y") == F.col("far.y"))
+                        & (F.col("i_spare") >= F.col("j_own") * share) & (F.col("j_spare") >= F.col("i_own") * share) & F.arrays_overlap("i_b", "j_b") & self._near("i_", "j_"))
+        met = met.select("i_cid", "j_cid").unionByName(both.where("alone").select(F.col("x_cid").alias("i_cid"), F.col("y_cid").alias("j_cid")))
+        return met.select(F.greatest("i_cid", "j_cid").alias("a"), F.least("i_cid", "j_cid").alias("b")).distinct()
+
+    def _near(self, x: str, y: str):
+        """The bitmaps of two sets do not rule out a link."""
+        n = F.col(f"{x}n") + F.col(f"{y}n")
+        return (n - _apart(f"{x}bits", f"{y}bits")) * (100 + self.share) >= n * 2 * self.share
+
+    def _mixed(self, rows: DataFrame) -> DataFrame:
+        """The rows of tables in which several components meet."""
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        rows = materialise(rows.join(mixed, "key").select("key", "cid", "label"), "mixed")
-        kinds = rows.select("key", "label").distinct()
-        left = kinds.withColumnRenamed("label", "x")
-        both = left.join(kinds.withColumnRenamed("label", "y"), "key").where("x < y")
-        side = lambda label, cid: rows.select("key", F.col("label").alias(label), F.col("cid").alias(cid))
-        met = both.join(side("x", "i"), ["key", "x"]).join(side("y", "j"), ["key", "y"])
-        return met.select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct()
+        return rows.join(mixed, "key", "left_semi")
+
+
+SET = T.StructType().add("hashes", T.ArrayType(T.LongType())).add("bits", T.ArrayType(T.LongType()))
+
+
+def _sets(size: int):
+    @F.arrow_udf(SET)
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for text in texts.to_pylist():
+                own = shingles(text, size)
+                words = 4
+                while words * 32 < len(own):  # about two bits for each shingle
+                    words *= 2
+                flips = np.bincount((own % np.uint64(words * 64)).astype(np.int64), minlength=words * 64) & 1
+                out.append((own.view(np.int64), np.packbits(flips.astype(np.uint8)).view(np.int64)))
+            hashes, bits = zip(*out) if out else ((), ())
+            longs = pa.list_(pa.int64())
+            yield pa.StructArray.from_arrays([pa.array(hashes, longs), pa.array(bits, longs)], ["hashes", "bits"])
+
+    return sets.asNondeterministic()
+
+
+def _apart(left: str, right: str):
+    """In how many places two parity bitmaps differ; the longer is folded to the other's length."""
+    x, y = F.col(left), F.col(right)
+
+    def folded(bits, length):
+        return F.transform(F.sequence(F.lit(0), length - 1), lambda k: F.aggregate(
+            F.sequence(k, F.size(bits) - 1, length), F.lit(0).cast("bigint"), lambda acc, at: acc.bitwiseXOR(F.get(bits, at))))
+
+    def differ(p, q):
+        return F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, k: acc + k)
+
+    return F.when(F.size(x) == F.size(y), differ(x, y)).when(F.size(x) > F.size(y), differ(folded(x, F.size(y)), y)).otherwise(differ(x, folded(y, F.size(x))))
 
 
 def grouped(docs: DataFrame, text: str = "text", size: int = 5, share: int = 80, bands: int = 12, rows: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -208,7 +278,7 @@ def grouped(docs: DataFrame, text: str = "text", size: int = 5, share: int = 80,
     texts = docs.join(involved, F.col("doc_id") == F.col("cid"))
     if repeated:
         texts = texts.withColumn("own", sketch(F.col("text")).d).where("own = d")
-    rounds = _Rounds(buckets, materialise(texts.select("cid", "text"), "texts"), size, share)
+    rounds = _Rounds(alone.select("cid", "a", "b"), buckets, materialise(texts.select("cid", "text"), "texts"), size, share)
     rounds.compare(rounds.smallest_met())
     rounds.compare(rounds.table_heads())
     rounds.compare(rounds.remaining())
