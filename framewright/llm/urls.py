@@ -112,10 +112,12 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], seeds: Sequence[s
     host_words = materialise(host_words.select("host", "block", "allow", F.concat(F.lit("h:"), "word").alias("word")), "host_words")
     path_words = paths.select("path", "block", "allow", F.explode(_words(F.col("path"))).alias("word"))
     path_words = path_words.select("path", "block", "allow", F.concat(F.lit("p:"), F.regexp_replace("word", "^[0-9]+$", "#")).alias("word"))
-    seed = pages.sparkSession.createDataFrame([(f"{kind}:{w}", SEED_WEIGHT, 0) for w in seeds for kind in "hp"] or [("", 0, 0)], "word string, block long, allow long")
-    counted = host_words.select("word", "block", "allow").unionByName(path_words.select("word", "block", "allow")).unionByName(seed)
+    counted = host_words.select("word", "block", "allow").unionByName(path_words.select("word", "block", "allow"))
     counted = materialise(counted.groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")), "word_classes")
     block, allow, size = (x or 0 for x in counted.agg(F.sum("block"), F.sum("allow"), F.count(F.lit(1))).first())
+    # Seeds raise their own count only, not the sums; a word of neither class says nothing.
+    more = F.when(F.substring("word", 3, 1 << 20).isin(*seeds), SEED_WEIGHT).otherwise(0) if seeds else F.lit(0)
+    counted = counted.withColumn("block", F.col("block") + more).where("block + allow > 0")
     weight = (F.log((F.col("block") + smoothing) / (block + smoothing * size)) - F.log((F.col("allow") + smoothing) / (allow + smoothing * size))).alias("weight")
     weights = counted.select("word", weight)
     n_block, n_allow = (x or 0 for x in hosts.agg(F.sum("block"), F.sum("allow")).first())
