@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +17,22 @@ def fold_of(key: str, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
 
 
-def batch_columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Python lists of the named columns of each batch, by position when no name is given."""
-    for batch in batches:
-        if batch.num_rows:
-            yield tuple(batch.column(n).to_pylist() for n in names)
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers take whole texts in Arrow batches of ``rows`` at most; Spark's default suits narrow rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+BROADCAST_ROWS = 200_000
+
+
+def sized(small: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow keys, to be broadcast where its counted rows allow (some 20 MB at most) and shuffled beyond.
+
+    Whole texts then stay where they are read while the keys are few.
+    """
+    return F.broadcast(small) if small.count() <= most_rows else small
 
 
 class Memo(dict):

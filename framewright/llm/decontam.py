@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.llm.common import text_batches
+
 # A-Z in lower case; other ASCII except digits and a-z separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -105,6 +107,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def scanned(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 13, block_bytes: int = 8 << 20) -> Column:
     """A struct column of type FOUND for a text column of ``docs``; spans alternate start and end in words."""
+    text_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

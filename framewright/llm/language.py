@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.common import text_batches
+
 LENGTHS = (1, 2, 3)
 BUCKETS = 1 << 16
 BLOCK = 400_000  # code points scored at once
@@ -92,6 +94,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang", max_languages: int = 400, smoothing: float = 0.5) -> dict:
     """The model of all ``rows`` whose language is not null; over ``max_languages`` of them is an error."""
+    text_batches(rows.sparkSession)
     rows = rows.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     langs = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
     if len(langs) > max_languages:
@@ -123,6 +126,7 @@ def scored(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarray
 
 def identified(docs: DataFrame, model: dict, text: str = "text") -> Column:
     """A struct column ``lang_pred``, ``score`` for a text column of ``docs``."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

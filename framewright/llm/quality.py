@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import Memo
+from framewright.llm.common import Memo, text_batches
 
 WORDS, SHAPES, DIM, SHAPE_DIM, TERMS = 1 << 14, 1 << 12, 64, 32, 4
 BLOCK = 256  # word numbers whose sums travel together
@@ -105,6 +105,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """WORDS unit vectors: the mean neighbour of each word, less that of all words."""
+    text_batches(docs.sparkSession)
     ddl = "block long, sums binary"
     parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_sums, ddl).repartition("block").mapInArrow(_merge, ddl).collect()
     sums = np.zeros((WORDS, DIM + 1))

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.minhash import _mixed, batches_of
+from framewright.llm.common import text_batches
+from framewright.llm.minhash import _mixed
 from framewright.session import materialise
 
 GEAR = (_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -105,8 +106,8 @@ def _merged(least_bytes: int):
 def repeats(docs: DataFrame, text: str = "text", reach: int = 64, least_bytes: int = 192, **options) -> DataFrame:
     """(doc_id, spans): for each document with repeated passages their byte spans, the first document and whether it is kept here."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    with batches_of(docs.sparkSession, 2000):
-        windows = materialise(rows.mapInArrow(_windows(reach, options), "doc_id long, place long, key long"), "windows")
+    text_batches(docs.sparkSession)
+    windows = materialise(rows.mapInArrow(_windows(reach, options), "doc_id long, place long, key long"), "windows")
     seen = windows.groupBy("key").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
     again = seen.where("first_doc_id < last").select("key", "first_doc_id")
     start = F.shiftright("place", 20)
