@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import Memo
+from framewright.llm.common import Memo, text_batches
 
 LEAF_CHARS = 1 << 16
 LEAF_BYTES = 40
@@ -152,18 +152,20 @@ def codec(raw: bytes, pattern: str) -> Codec:
 
 
 def coders(df: DataFrame, vocabulary: str, pattern: str):
-    """Two column functions: a text to its ids, and ids to their bytes."""
+    """Column functions: a text to its ids, ids to their bytes, and a text to both."""
+    text_batches(df.sparkSession)
     with open(vocabulary, "rb") as file:
         shared = df.sparkSession.sparkContext.broadcast(file.read())
 
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(shared.value, pattern)
         for texts in batches:
-            parts = [own.encode(t) for t in texts.to_pylist()]
-            ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield lists([own.encode(t) for t in texts.to_pylist()])
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -172,14 +174,27 @@ def coders(df: DataFrame, vocabulary: str, pattern: str):
             flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
             yield pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.binary())
 
-    return encode.asNondeterministic(), decode.asNondeterministic()
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(shared.value, pattern)
+        for texts in batches:
+            parts = [own.encode(t) for t in texts.to_pylist()]
+            yield pa.StructArray.from_arrays([lists(parts), pa.array([own.decode(p.tolist()) for p in parts], pa.binary())], ["ids", "decoded"])
+
+    return encode.asNondeterministic(), decode.asNondeterministic(), both.asNondeterministic()
 
 
 def coded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` of every text and the bytes ``decoded`` from them (columns of these names are replaced)."""
-    encode, decode = coders(docs, vocabulary, pattern)
-    rest = [F.col(c) for c in docs.columns if c.lower() not in ("ids", "decoded")]
-    return docs.select(*rest, encode(F.col(text)).alias("ids")).withColumn("decoded", decode(F.col("ids")))
+    """``docs`` with ``ids`` of every text and the bytes ``decoded`` from them (columns of these names are replaced).
+
+    Both come from one Python node, so a task keeps one worker.
+    """
+    both = coders(docs, vocabulary, pattern)[2]
+    rest = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
+    own = "coded"
+    while own in rest:
+        own += "_"
+    return docs.select(*(F.col(c) for c in rest), both(F.col(text)).alias(own)).select(*(F.col(c) for c in rest), f"{own}.ids", f"{own}.decoded")
 
 
 def digest(ids: Column) -> Column:
