@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.llm.common import sized, text_batches
 from framewright.session import materialise
 
 # Two primes below 2^31 and a base for each.
@@ -99,6 +100,7 @@ def with_bytes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def fingerprints(docs: DataFrame, text: str = "text", spread_bytes: int = 64 << 20) -> DataFrame:
     """A row (doc_id, sha, h1, h2, n_bytes) for each row of ``docs``."""
+    text_batches(docs.sparkSession)
     rows = with_bytes(docs, text).withColumn("n_bytes", F.octet_length("raw").cast("bigint"))
     small = rows.where(F.col("n_bytes") <= spread_bytes).select("doc_id", "sha", "n_bytes", _hashed(F.col("raw"), F.lit(0).cast("bigint")).alias("h"))
     small = small.select("doc_id", "sha", "h.h1", "h.h2", "n_bytes")
@@ -118,7 +120,7 @@ def _collisions(docs: DataFrame, marks: DataFrame, text: str) -> DataFrame | Non
     members = materialise(marks.join(groups, [*KEY]).select(*KEY, "doc_id", "sha").distinct(), "members")
     m = members.select(*KEY, F.col("doc_id").alias("m_id"), F.col("sha").alias("m_sha"))
     rows = with_bytes(docs, text)
-    found = rows.join(m, rows.doc_id.eqNullSafe(m.m_id) & (rows.sha == m.m_sha))
+    found = rows.join(sized(m), rows.doc_id.eqNullSafe(m.m_id) & (rows.sha == m.m_sha))
     pieces = materialise(found.select(*KEY, "doc_id", "sha", F.explode(_chunks(F.col("raw"), CHUNK)).alias("c"))
                          .select(*KEY, "doc_id", "sha", "c.chunk_no", "c.chunk"), "pieces")
     apart, part = None, 0
@@ -151,6 +153,7 @@ def deduplicated(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each text, all columns as they were."""
     judged = materialise(decided(docs, text, **options), "judged")
     dropped = judged.where(~F.col("kept")).select(F.col("doc_id").alias("d_id"), F.col("text_sha256").alias("d_sha")).distinct()
+    dropped = sized(materialise(dropped, "dropped"))
     sha = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)
     left = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("d_id")) & (sha == F.col("d_sha")), "left_anti")
     repeated = judged.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

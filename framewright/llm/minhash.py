@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import Memo
+from framewright.llm.common import Memo, sized, text_batches
 from framewright.llm.components import components
 from framewright.session import materialise
 
@@ -45,7 +45,7 @@ SKETCH = T.StructType().add("n", T.LongType()).add("d", T.BinaryType()).add("a",
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
-    """Smaller Arrow batches while a table of whole texts is computed."""
+    """Smaller Arrow batches while pairs of texts are compared."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(rows))
@@ -188,8 +188,7 @@ class _Rounds:
         """
         rows = self._mixed(self.label(self.buckets.select("key", "cid"), "cid", "label"))
         texts = self.texts.join(rows.select("cid").distinct(), "cid", "left_semi")
-        with batches_of(texts.sparkSession, 1000):
-            sets = materialise(texts.select("cid", _sets(self.size)(F.col("text")).alias("s")).select("cid", "s.*").dropDuplicates(["cid"]), "sets")
+        sets = materialise(texts.select("cid", _sets(self.size)(F.col("text")).alias("s")).select("cid", "s.*").dropDuplicates(["cid"]), "sets")
         tokens = sets.select("cid", F.explode("hashes").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cid").alias("cid"))
         own = tokens.where("df = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
         share = self.share
@@ -265,8 +264,8 @@ def grouped(docs: DataFrame, text: str = "text", size: int = 5, share: int = 80,
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``, and the confirmed links (a, b) between classes."""
     docs = docs.select("doc_id", F.col(text).cast("string").alias("text"))
     sketch = _sketches(size, bands, rows)
-    with batches_of(docs.sparkSession, 2000):
-        marks = materialise(docs.select("doc_id", sketch(F.col("text")).alias("s")).select("doc_id", "s.*"), "sketches")
+    text_batches(docs.sparkSession)
+    marks = materialise(docs.select("doc_id", sketch(F.col("text")).alias("s")).select("doc_id", "s.*"), "sketches")
     classes = marks.where("n > 0 and doc_id is not null").groupBy("d").agg(F.min("doc_id").alias("cid"), F.first("a").alias("a"), F.first("b").alias("b"))
     classes = materialise(classes, "classes")
     repeated = not marks.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("d").alias("n")).where("n > 1").isEmpty()
@@ -275,7 +274,7 @@ def grouped(docs: DataFrame, text: str = "text", size: int = 5, share: int = 80,
     keyed = alone.select("cid", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "cid")
     buckets = materialise(keyed.mapInArrow(_runs, "key long, cid long, center long"), "buckets")
     involved = buckets.select("cid").distinct().join(alone.select("cid", "d"), "cid")
-    texts = docs.join(involved, F.col("doc_id") == F.col("cid"))
+    texts = docs.join(sized(materialise(involved, "involved")), F.col("doc_id") == F.col("cid"))
     if repeated:
         texts = texts.withColumn("own", sketch(F.col("text")).d).where("own = d")
     rounds = _Rounds(alone.select("cid", "a", "b"), buckets, materialise(texts.select("cid", "text"), "texts"), size, share)
@@ -293,4 +292,4 @@ def deduplicated(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component, all columns as they were."""
     judged, _ = grouped(docs, text, **options)
     gone = materialise(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return docs.join(sized(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
