@@ -1,4 +1,4 @@
-"""Command line: ``python -m framewright preprocess|stack|export|check``."""
+"""Command line: ``python -m framewright preprocess|stack|export``."""
 
 from __future__ import annotations
 

@@ -70,6 +70,9 @@ def measure_rings(height: int, width: int, window: np.ndarray | None = None) ->
             a0, w0, a1, w1, at, wt = (np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=float).reshape(height, width) for v in row)
             taper = K.taper(_divide(at, wt)) if window is None else window
             inside = taper > 0
+            if not inside.any():
+                out.append({"transfer": None, "residual": None, "depth": 0.0})
+                continue
             depth = [float((w * taper).sum() / taper.sum()) for w in (w0, w1)]
             if not ((w0[inside] > 0).all() and (w1[inside] > 0).all()):
                 out.append({"transfer": None, "residual": None, "depth": sum(depth)})
@@ -80,6 +83,9 @@ def measure_rings(height: int, width: int, window: np.ndarray | None = None) ->
             ring = lambda plane: np.tensordot(filters, plane, axes=2)
             transfer = ring(np.real(own * np.conj(rest))) / np.maximum(ring(np.abs(rest) ** 2), 1e-300)
             noise = ring(split) / np.maximum(ring(np.ones_like(taper)), 1e-300) / (1 / depth[0] + 1 / depth[1])
+            if not (np.isfinite(transfer).all() and np.isfinite(noise).all()):
+                out.append({"transfer": None, "residual": None, "depth": sum(depth)})
+                continue
             out.append({"transfer": transfer.tolist(), "residual": (noise / sum(depth)).tolist(), "depth": sum(depth)})
         kind = pa.struct([("transfer", pa.list_(pa.float64())), ("residual", pa.list_(pa.float64())), ("depth", pa.float64())])
         return pa.array(out, type=kind)
@@ -162,7 +168,7 @@ def ring_weights(measured: DataFrame, keys: Sequence[str], power: float) -> Data
 
     ``measured`` has one row per (key, bin) with transfer, residual and depth. T is
     smoothed over rings and made non-increasing over rank, V follows a quadratic
-    trend over rank; an unmeasured bin borrows its nearest measured neighbour. A
+    trend over rank; an unmeasured bin (no target, an empty half, a value that is not finite) borrows its nearest measured neighbour. A
     band without measurable transfer keeps equal weights, as does every band of a
     key where no bin could be measured.
     """

@@ -47,16 +47,20 @@ def row_digest(*columns: str) -> Column:
 def ordered_digest(leaves: DataFrame, keys: Sequence[str], order: str, leaf: str, *, block: int = BLOCK) -> DataFrame:
     """One digest per group over its leaf digests in order.
 
-    Leaves are hashed in blocks of fixed size and the block digests once more, so
-    no task ever holds more than one block, or one digest per block of a group.
+    A tree: digests are hashed in blocks of ``block``, then blocks of those, until one is
+    left, so no row ever gathers more than ``block`` digests. The first two levels are always
+    hashed; above them a group's only digest stands. Four levels hold block^4 leaves.
     """
     keys = list(keys)
     placed = rank_rows(leaves.select(*keys, order, leaf), keys, order, order, name="_rank")
-    blocks = placed.groupBy(*keys, F.floor((F.col("_rank") - 1) / block).alias("_block")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_rank").alias("r"), F.col(leaf).alias("d")))).alias("l"), F.count(F.lit(1)).alias("n"))
-    hashed = blocks.select(*keys, "_block", "n", F.sha2(F.array_join(F.transform("l", lambda x: x["d"]), ""), 256).alias("d"))
-    return hashed.groupBy(*keys).agg(F.sum("n").alias("leaves"), F.array_sort(F.collect_list(F.struct("_block", "d"))).alias("b")).select(
-        *keys, "leaves", F.sha2(F.array_join(F.transform("b", lambda x: x["d"]), ""), 256).alias("digest"))
+    level = placed.select(*keys, (F.col("_rank") - 1).alias("_at"), F.col(leaf).alias("_d"), F.lit(1).cast("bigint").alias("leaves"))
+    for depth in range(4):
+        rows = level.groupBy(*keys, F.floor(F.col("_at") / block).alias("_block")).agg(
+            F.array_sort(F.collect_list(F.struct("_at", "_d"))).alias("l"), F.sum("leaves").alias("leaves"))
+        hashed = F.sha2(F.array_join(F.transform("l", lambda x: x["_d"]), ""), 256)
+        alone = (F.size("l") == 1) & (F.col("l")[0]["_at"] == 0)  # a group with more has a second one in its first block
+        level = rows.select(*keys, F.col("_block").alias("_at"), (F.when(alone, F.col("l")[0]["_d"]).otherwise(hashed) if depth > 1 else hashed).alias("_d"), "leaves")
+    return level.select(*keys, "leaves", F.col("_d").alias("digest"))
 
 
 def frame_digests(frames: DataFrame) -> DataFrame:

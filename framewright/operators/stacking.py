@@ -51,9 +51,12 @@ def _fold(keys: Sequence[str], schema: pa.Schema, has_support: bool):
                 for group in np.unique(code[rows]):
                     mine = rows[code[rows] == group]
                     pick = at[np.isin(rows, mine)]
+                    # A frame without weight is left out whole: its samples may be unknown.
                     w = weight[mine]
-                    total = w @ value[pick]
-                    cover = w @ support[pick] if has_support else np.full(size, w.sum())
+                    used = w > 0
+                    w, at_used = w[used], pick[used]
+                    total = w @ value[at_used]
+                    cover = w @ support[at_used] if has_support else np.full(size, w.sum())
                     key = (*table.iloc[mine[0]].tolist(), int(size))
                     if key in planes:
                         planes[key][0] += total

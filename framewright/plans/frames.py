@@ -108,10 +108,10 @@ def area_mean_2x2(spark, folder):
     return ST.place(binned, 4, 4).select(KEY, "frame_index", "y", "x", F.round("value", 8).alias("value"))
 
 
-@query("luminance_plane", "PRJ-2 S25", PX_SQL + """
-SELECT a.capture_id, a.frame_index, a.k AS pos, round(0.25 * a.v + 0.5 * b.v + 0.25 * c.v, 8) AS value
-FROM px a JOIN px b ON b.frame_index = a.frame_index AND b.k = a.k + 16 JOIN px c ON c.frame_index = a.frame_index AND c.k = a.k + 32
-WHERE a.k < 16""")
+@query("luminance_plane", "PRJ-2 S25", """
+SELECT label::BIGINT AS capture_id, vec_id AS frame_index, k AS pos,
+       round(0.25 * embedding[k + 1]::DOUBLE + 0.5 * embedding[k + 17]::DOUBLE + 0.25 * embedding[k + 33]::DOUBLE, 8) AS value
+FROM embeddings, (SELECT unnest(range(16)) AS k)""")
 def luminance_plane(spark, folder):
     rgb = T.frames(spark, folder).select(KEY, "frame_index", F.posexplode(F.arrays_zip(
         *[F.slice("pixels", 16 * c + 1, 16).alias(n) for c, n in enumerate(("r", "g", "b"))])).alias("pos", "p"))

@@ -29,6 +29,18 @@ def _pattern(frames: DataFrame, settings: Settings) -> str:
     return settings.pattern or frames.select("color_mode").first()[0]
 
 
+def _refuse(pattern: str, settings: Settings) -> None:
+    """Settings that this job cannot honour are errors, never another result than asked for."""
+    if settings.geometry != "none":
+        raise ValueError("the stack job has no geometry; use the geometry operators on rows of poses")
+    if pattern in ("RGB", "BGR", "rgb", "bgr"):
+        raise ValueError("the stack job takes mono and site-pattern captures")
+    if pattern in C.BAYER_PATTERNS and (settings.local_alignment or settings.fourier_power):
+        raise ValueError("local_alignment and fourier_power need a mono capture")
+    if settings.local_alignment and settings.fourier_power:
+        raise ValueError("local_alignment and fourier_power exclude each other")
+
+
 def preprocess(spark: SparkSession, path: str, target: str, settings: Settings = Settings()) -> DataFrame:
     """Measure every frame, screen the capture and store the selection with its identity."""
     frames = open_capture(spark, path)
@@ -69,6 +81,7 @@ def stack(spark: SparkSession, path: str, screened: DataFrame, settings: Setting
     frames = open_capture(spark, path)
     shape = frames.select("height", "width").first()
     pattern = _pattern(frames, settings)
+    _refuse(pattern, settings)
     used = materialise(chosen(screened, settings), "chosen")
     picked = frames.join(used.select(KEY, "frame_index", "quality"), [KEY, "frame_index"])
     if not used.limit(1).count():
@@ -100,10 +113,10 @@ def stack(spark: SparkSession, path: str, screened: DataFrame, settings: Setting
             combined = FO.combine_bins(planes, FO.ring_weights(measured, [KEY], settings.fourier_power), [KEY], shape.height, shape.width)
             cover = acc.groupBy(KEY, "pos").agg(F.sum("sum_w").alias("sum_w"))
             image = combined.select(KEY, F.posexplode("weighted").alias("pos", "value")).join(cover, [KEY, "pos"])
-            return image.withColumn("valid", F.col("sum_w") > 0), Q.stack_summary(used, screened)
+            total = None
         else:
             total = ST.stack(near, [KEY], FR.shifted(dx, dy), weight, FR.shifted_support(dx, dy))
-    result = ST.normalise(total)
+    result = image.withColumn("valid", F.col("sum_w") > 0) if total is None else ST.normalise(total)
     if settings.brightness_percent is not None:
         full = float((1 << frames.select("bit_depth").first()[0]) - 1)
         result = ST.brightness(result, [KEY], settings.brightness_percent, full)

@@ -28,7 +28,7 @@ def build_session(app: str = "framewright", master: str | None = None, **extra:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh local folder only where none is named."""
+    """The cluster's ``spark.checkpoint.dir``; a fresh local folder only in local mode, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -36,6 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     if context_dir:
         return os.path.dirname(context_dir.rstrip("/"))
     context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not hasattr(context, "_framewright_folder"):
         context._framewright_folder = tempfile.mkdtemp(prefix="framewright-")
     return context._framewright_folder
@@ -54,14 +56,6 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage so that a lost executor replays from there."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of the running application (once)."""
     context = spark.sparkContext

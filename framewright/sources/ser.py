@@ -230,30 +230,30 @@ class SerReader(DataSourceReader):
 
 
 class SerStreamReader(DataSourceStreamReader):
-    """Frames of one capture in bounded steps of ``maxFramesPerTrigger``; the offset is the next frame."""
+    """Frames of one capture or of all captures of a folder; the offset is the next frame of each file.
+
+    A trigger takes every frame that has arrived. It is not cut into steps: its frames are read
+    in ranges of bounded size, and a start with ``availableNow`` asks for the newest offset once.
+    """
 
     def __init__(self, options: dict):
         self.options = options
-        self.step = int(options.get("maxframespertrigger", 256))
-        self.at = 0
 
     def initialOffset(self) -> dict:
-        return {"frame": 0}
+        return {}
 
     def latestOffset(self) -> dict:
-        capture = Capture.open(_paths(self.options)[0], self.options)
-        self.at = min(self.at + self.step, capture.frames)
-        return {"frame": self.at}
+        return {path: Capture.open(path, self.options).frames for path in sorted(_paths(self.options))}
 
     def partitions(self, start: dict, end: dict) -> list[FrameRange]:
-        self.at = max(self.at, end["frame"])
-        return _ranges(Capture.open(_paths(self.options)[0], self.options), start["frame"], end["frame"])
+        return [r for path, stop in end.items() if stop > start.get(path, 0)
+                for r in _ranges(Capture.open(path, self.options), start.get(path, 0), stop)]
 
     def read(self, partition: FrameRange) -> Iterator[pa.RecordBatch]:
         return partition.capture.read(partition.first, partition.stop, True)
 
     def commit(self, end: dict) -> None:
-        """Nothing to release: the file stays where it is."""
+        """Nothing to release: the files stay where they are."""
 
 
 def write_ser(path: str, frames: np.ndarray, *, colour: str = "mono", ticks: np.ndarray | None = None, telescope: str = "",

@@ -107,22 +107,30 @@ def test_unknown_suffix(spark):
 
 def test_stream_resumes_and_equals_batch(spark, tmp_path):
     data = RNG.integers(0, 1000, (31, 4, 4)).astype(np.uint16)
-    path = ser.write_ser(str(tmp_path / "s.ser"), data)
+    folder = tmp_path / "captures"
+    folder.mkdir()
+    ser.write_ser(str(folder / "a.ser"), data)
+    ser.write_ser(str(folder / "b.ser"), data[:7])
     register(spark)
     from framewright.operators.frames import FRAME, frame_plane
 
     def start(settings):
-        stream = spark.readStream.format("ser").option("maxFramesPerTrigger", 10).load(path)
+        stream = spark.readStream.format("ser").load(str(folder))
         return SS.fold_stream(stream, str(tmp_path / "acc"), ["capture_id"], frame_plane(lambda p: p)(*FRAME), F.lit(1.0), settings)
 
+    def used():
+        return sorted(r.n_used for r in SS.frames_used(spark, str(tmp_path / "acc"), ["capture_id"]).collect())
+
+    start({"w": 1}).awaitTermination(60)
+    assert used() == [7, 31]  # one start folds all frames of all files
+    start({"w": 1}).awaitTermination(60)
+    assert used() == [7, 31]  # a restart counts nothing twice
+    ser.write_ser(str(folder / "c.ser"), data[:5])
     start({"w": 1}).awaitTermination(60)
-    start({"w": 1}).awaitTermination(60)  # a restart goes on from the checkpoint and counts nothing twice
-    assert SS.frames_used(spark, str(tmp_path / "acc"), ["capture_id"]).first().n_used <= 31
-    for _ in range(4):
-        start({"w": 1}).awaitTermination(60)
-    total = ST.normalise(SS.stack_so_far(spark, str(tmp_path / "acc"), ["capture_id"])).orderBy("pos").toPandas()
-    assert SS.frames_used(spark, str(tmp_path / "acc"), ["capture_id"]).first().n_used == 31
-    assert np.allclose(total.value, data.mean(axis=0).ravel())
+    assert used() == [5, 7, 31]
+    total = ST.normalise(SS.stack_so_far(spark, str(tmp_path / "acc"), ["capture_id"])).toPandas().sort_values(["capture_id", "pos"])
+    want = [data.mean(axis=0), data[:7].mean(axis=0), data[:5].mean(axis=0)]
+    assert np.allclose(total.value, np.array(want).ravel())
     with pytest.raises(ValueError):
         start({"w": 2})
 

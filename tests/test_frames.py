@@ -164,3 +164,41 @@ def test_constrained_estimate_keeps_a_feasible_scene(spark):
     for smoothing in (0.0, 1e-9):
         got = np.array(FO.constrained_estimate(sums, ["k"], 0.0, support, smoothing=smoothing).first().pixels).reshape(16, 16)
         assert np.allclose(got, truth, atol=1e-4)
+
+
+def test_a_frame_without_weight_is_left_out_whole(spark):
+    from framewright.operators import stacking as ST
+
+    rows = [(1, 1.0, [1.0, 2.0]), (1, 0.0, [float("nan"), 5.0]), (1, None, [float("nan"), 5.0]), (1, 3.0, [5.0, 2.0]), (2, 0.0, [9.0, 9.0])]
+    frames = spark.createDataFrame(rows, "k int, w double, v array<double>")
+    got = {(r.k, r.pos): (r.value, r.valid) for r in ST.normalise(ST.stack(frames, ["k"], F.col("v"), F.col("w"))).collect()}
+    assert got == {(1, 0): (4.0, True), (1, 1): (2.0, True), (2, 0): (0.0, False), (2, 1): (0.0, False)}
+
+
+def test_settings_that_the_job_cannot_honour_are_errors():
+    from framewright.config import Settings
+    from framewright.plans import pipeline
+
+    for pattern, settings in (("RGGB", Settings(fourier_power=4)), ("RGGB", Settings(local_alignment=True)), ("RGB", Settings()),
+                              ("mono", Settings(geometry="surface")), ("mono", Settings(local_alignment=True, fourier_power=2))):
+        with pytest.raises(ValueError):
+            pipeline._refuse(pattern, settings)
+    pipeline._refuse("mono", Settings(fourier_power=4, brightness_percent=50))
+
+
+def test_digest_tree_does_not_depend_on_its_depth(spark):
+    import hashlib
+
+    from framewright.operators import provenance as PV
+
+    leaves = spark.createDataFrame([(1, k, f"{k:02d}") for k in range(20)] + [(2, 0, "x")], "g int, at long, d string")
+    got = {r.g: (r.leaves, r.digest) for r in PV.ordered_digest(leaves, ["g"], "at", "d", block=3).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def up(nodes):
+        return [sha("".join(nodes[k : k + 3])) for k in range(0, len(nodes), 3)]
+
+    nodes = up(up([f"{k:02d}" for k in range(20)]))
+    while len(nodes) > 1:
+        nodes = up(nodes)
+    assert got == {1: (20, nodes[0]), 2: (1, sha(sha("x")))}
