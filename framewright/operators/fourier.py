@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from framewright import constants as C
 from framewright.functions import kernels as K
 from framewright.functions.numeric import let
+from framewright.operators.frames import _lists
 
 RINGS = int(round(C.RING_LIMIT / C.RING_STEP)) + 1
 
@@ -53,42 +54,46 @@ def _divide(total: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.divide(total, weight, out=np.zeros_like(total), where=weight > 0)
 
 
+def _planes(values: pa.Array, height: int, width: int) -> np.ndarray:
+    return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, height, width)
+
+
+def _ring_sums(planes: np.ndarray, filters: np.ndarray) -> np.ndarray:
+    """(n, rings): each plane summed under each radial filter."""
+    return planes.reshape(len(planes), filters[0].size) @ filters.reshape(len(filters), -1).T
+
+
 def measure_rings(height: int, width: int, window: np.ndarray | None = None) -> Column:
     """STRUCT<transfer, residual: ARRAY, depth> of one bin against the stack of the other bins.
 
-    ``window`` replaces the target taper where the frame is too small to have one.
+    ``window`` replaces the target taper where the frame is too small to have one. Transfer and
+    residual are null where the taper is empty, a half does not cover it, or a value is not finite.
     """
 
     @F.arrow_udf("transfer array<double>, residual array<double>, depth double")
     def run(h0_wv: pa.Array, h0_w: pa.Array, h1_wv: pa.Array, h1_w: pa.Array, all_wv: pa.Array, all_w: pa.Array) -> pa.Array:
+        columns = (h0_wv, h0_w, h1_wv, h1_w, all_wv, all_w)
+        known = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+        planes = np.stack([_planes(c.filter(pa.array(known)), height, width) for c in columns])
+        values, cover = planes[[0, 2, 4]], planes[[1, 3, 5]]  # first half, second half, whole stack
+        tapers = K.tapers(_divide(values[2], cover[2])) if window is None else np.broadcast_to(window, values[2].shape)
         filters = K.ring_filters(height, width)
-        out = []
-        for row in zip(h0_wv, h0_w, h1_wv, h1_w, all_wv, all_w):
-            if not all(v.is_valid for v in row):
-                out.append(None)
-                continue
-            a0, w0, a1, w1, at, wt = (np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=float).reshape(height, width) for v in row)
-            taper = K.taper(_divide(at, wt)) if window is None else window
-            inside = taper > 0
-            if not inside.any():
-                out.append({"transfer": None, "residual": None, "depth": 0.0})
-                continue
-            depth = [float((w * taper).sum() / taper.sum()) for w in (w0, w1)]
-            if not ((w0[inside] > 0).all() and (w1[inside] > 0).all()):
-                out.append({"transfer": None, "residual": None, "depth": sum(depth)})
-                continue
-            own = K.inside_spectrum(_divide(a0 + a1, w0 + w1), taper)
-            rest = K.inside_spectrum(_divide(at - a0 - a1, wt - w0 - w1), taper)
-            split = np.abs(K.inside_spectrum(_divide(a0, w0), taper) - K.inside_spectrum(_divide(a1, w1), taper)) ** 2
-            ring = lambda plane: np.tensordot(filters, plane, axes=2)
-            transfer = ring(np.real(own * np.conj(rest))) / np.maximum(ring(np.abs(rest) ** 2), 1e-300)
-            noise = ring(split) / np.maximum(ring(np.ones_like(taper)), 1e-300) / (1 / depth[0] + 1 / depth[1])
-            if not (np.isfinite(transfer).all() and np.isfinite(noise).all()):
-                out.append({"transfer": None, "residual": None, "depth": sum(depth)})
-                continue
-            out.append({"transfer": transfer.tolist(), "residual": (noise / sum(depth)).tolist(), "depth": sum(depth)})
-        kind = pa.struct([("transfer", pa.list_(pa.float64())), ("residual", pa.list_(pa.float64())), ("depth", pa.float64())])
-        return pa.array(out, type=kind)
+        table = np.full((2, len(known), len(filters)), np.nan)
+        depth = np.zeros(len(known))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            each = np.nan_to_num((cover[:2] * tapers).sum(axis=(2, 3)) / tapers.sum(axis=(1, 2)))
+            half = [K.inside_spectra(_divide(v, w), tapers) for v, w in zip(values[:2], cover[:2])]
+            both = K.inside_spectra(_divide(values[:2].sum(axis=0), cover[:2].sum(axis=0)), tapers)
+            others = K.inside_spectra(_divide(values[2] - values[:2].sum(axis=0), cover[2] - cover[:2].sum(axis=0)), tapers)
+            table[0, known] = _ring_sums((both * others.conj()).real, filters) / np.maximum(_ring_sums(np.abs(others) ** 2, filters), 1e-300)
+            cells = np.maximum(filters.sum(axis=(1, 2)), 1e-300)
+            table[1, known] = _ring_sums(np.abs(half[0] - half[1]) ** 2, filters) / cells / ((1 / each).sum(axis=0) * each.sum(axis=0))[:, None]
+        depth[known] = each.sum(axis=0)
+        good = np.isfinite(table).all(axis=(0, 2))
+        good[known] &= ((cover[:2].min(axis=0) > 0) | (tapers <= 0)).all(axis=(1, 2)) & (tapers > 0).any(axis=(1, 2))
+        bounds = pa.array(np.concatenate([[0], np.cumsum(good * len(filters))]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(t[good].ravel()), mask=pa.array(~good)) for t in table]
+        return pa.StructArray.from_arrays([*lists, pa.array(depth)], names=["transfer", "residual", "depth"], mask=pa.array(~known))
 
     return run("h0_wv", "h0_w", "h1_wv", "h1_w", "all_wv", "all_w")
 
@@ -214,33 +219,33 @@ def combine_bins(planes: DataFrame, weights: DataFrame, keys: Sequence[str], hei
     @F.arrow_udf("weighted array<double>, first array<double>, second array<double>")
     def run(h0v: pa.Array, h0w: pa.Array, h1v: pa.Array, h1w: pa.Array, bands: pa.Array) -> pa.Array:
         filters = K.ring_filters(height, width)
-        out = []
+        out: list = [[], [], []]
         for row in zip(h0v, h0w, h1v, h1w, bands):
             parts = [np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=float) for v in row]
-            shape = (-1, height, width)
-            v0, w0, v1, w1 = (p.reshape(shape) for p in parts[:4])
-            table = parts[4].reshape(len(v0), -1)
-            out.append({"weighted": _recombine(v0 + v1, w0 + w1, table, filters).ravel().tolist(),
-                        "first": _recombine(v0, w0, table, filters).ravel().tolist(),
-                        "second": _recombine(v1, w1, table, filters).ravel().tolist()})
-        kind = pa.struct([(n, pa.list_(pa.float64())) for n in ("weighted", "first", "second")])
-        return pa.array(out, type=kind)
+            halves = np.stack(parts[:4]).reshape(2, 2, -1, height, width)  # half, value or cover, bin
+            table = parts[4].reshape(halves.shape[2], -1)
+            for place, (values, cover) in zip(out, (halves.sum(axis=0), *halves)):
+                place.append(_by_bands(values, cover, table, filters))
+        return pa.StructArray.from_arrays([_lists(place) for place in out], names=["weighted", "first", "second"])
 
     planes_out = run(column("h0_wv"), column("h0_w"), column("h1_wv"), column("h1_w"), column("bands"))
     return gathered.select(*keys, planes_out.alias("r")).select(*keys, "r.*")
 
 
-def _recombine(values: np.ndarray, cover: np.ndarray, table: np.ndarray, filters: np.ndarray) -> np.ndarray:
-    total, weight = values.sum(axis=0), cover.sum(axis=0)
-    base = _divide(total, weight)
-    spectrum = np.zeros(base.shape, dtype=complex)
-    for band, ring in enumerate(filters):
-        w = table[:, band]
-        if np.allclose(w, w[0], rtol=1e-12, atol=0.0):
-            continue
-        band_plane = _divide(np.tensordot(w, values, axes=1), np.tensordot(w, cover, axes=1))
-        spectrum += np.fft.fft2(np.where(weight > 0, band_plane - base, 0.0)) * ring
-    return np.where(weight > 0, base + np.fft.ifft2(spectrum).real, 0.0)
+def _by_bands(values: np.ndarray, cover: np.ndarray, table: np.ndarray, filters: np.ndarray) -> np.ndarray:
+    """The stack of all bins, changed in each group of bands by what the group's bin weights change.
+
+    Bands of proportional weights need one plane together, and those of equal bin weights none.
+    """
+    vectors, member = np.unique(table / np.maximum(table.max(axis=0), 1e-300), axis=1, return_inverse=True)
+    vectors, member = vectors.T, member.ravel()
+    changed = np.ptp(vectors, axis=1) > 0
+    passed = np.zeros((len(vectors), *filters.shape[1:]))
+    np.add.at(passed, member, filters)
+    plain, seen = _divide(values.sum(axis=0), cover.sum(axis=0)), cover.sum(axis=0) > 0
+    other = _divide(np.tensordot(vectors[changed], values, axes=1), np.tensordot(vectors[changed], cover, axes=1))
+    change = np.fft.fft2(np.where(seen, other - plain, 0.0), axes=(1, 2)) * passed[changed]
+    return np.where(seen, plain + np.fft.ifft2(change.sum(axis=0)).real, 0.0)
 
 
 def ring_snr(combined: DataFrame, keys: Sequence[str], height: int, width: int, window: np.ndarray | None = None) -> DataFrame:
@@ -250,17 +255,13 @@ def ring_snr(combined: DataFrame, keys: Sequence[str], height: int, width: int,
     @F.arrow_udf("array<double>")
     def run(first: pa.Array, second: pa.Array) -> pa.Array:
         filters = K.ring_filters(height, width)
-        out = []
-        for a, b in zip(first, second):
-            p = [np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=float).reshape(height, width) for v in (a, b)]
-            taper = K.taper(p[0] + p[1]) if window is None else window
-            f0, f1 = (K.inside_spectrum(q, taper) for q in p)
-            ring = lambda plane: np.tensordot(filters, plane, axes=2)
-            power = np.sqrt(ring(np.abs(f0) ** 2) * ring(np.abs(f1) ** 2))
-            frc = np.divide(ring(np.real(f0 * np.conj(f1))), power, out=np.zeros(len(filters)), where=power > 0)
-            frc = np.clip(frc, 0.0, 1 - 1e-12)
-            out.append((2 * frc / (1 - frc)).tolist())
-        return pa.array(out, type=pa.list_(pa.float64()))
+        halves = [_planes(v, height, width) for v in (first, second)]
+        tapers = K.tapers(halves[0] + halves[1]) if window is None else np.broadcast_to(window, halves[0].shape)
+        a, b = (K.inside_spectra(p, tapers) for p in halves)
+        power = np.sqrt(_ring_sums(np.abs(a) ** 2, filters) * _ring_sums(np.abs(b) ** 2, filters))
+        shared = np.divide(_ring_sums((a * b.conj()).real, filters), power, out=np.zeros_like(power), where=power > 0)
+        shared = np.clip(shared, 0.0, 1 - 1e-12)
+        return _lists(list(2 * shared / (1 - shared)))
 
     return combined.select(*keys, F.posexplode(run("first", "second")).alias("band", "snr"))
 

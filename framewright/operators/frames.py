@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from framewright.functions import kernels as K
 
 SAMPLE = np.dtype("<u2")
+BLOCK_SAMPLES = 1 << 22  # samples that one kernel call measures at once
 
 
 def _flat(pixels: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,25 +124,20 @@ def measured(bit_depth: int = 16, *, reject_saturated: bool = True, bayer: bool
 
     @F.arrow_udf("quality double, width_px double, height_px double, angle_rad double, status string")
     def run(pixels: pa.Array, height: pa.Array, width: pa.Array) -> pa.Array:
-        result: list = [None] * len(height)
+        values, status = np.full((len(height), 4), np.nan), np.full(len(height), "invalid", dtype=object)
         for rows, block in planes_by_shape(pixels, height, width):
             flat = block.reshape(len(rows), -1)
             finite = np.isfinite(flat).all(axis=1)
             hot = (flat >= peak).mean(axis=1) > SATURATED_FRACTION if reject_saturated else np.zeros(len(rows), bool)
-            usable = finite & ~hot
-            found = iter(K.measure(block[usable], bayer)) if usable.any() else iter(())
-            for k, r in enumerate(rows):
-                if not finite[k]:
-                    result[r] = (np.nan,) * 4 + ("invalid",)
-                elif hot[k]:
-                    result[r] = (np.nan,) * 4 + ("saturated",)
-                else:
-                    values = next(found)
-                    result[r] = values if values[4] != "ok" or np.isfinite(values[:4]).all() else (*values[:4], "invalid")
-        names = ["quality", "width_px", "height_px", "angle_rad"]
-        columns = [pa.array([row[i] for row in result], type=pa.float64()) for i in range(4)]
-        return pa.StructArray.from_arrays([*columns, pa.array([row[4] for row in result], type=pa.string())],
-                                          names=[*names, "status"])
+            status[rows[finite & hot]] = "saturated"
+            usable = np.flatnonzero(finite & ~hot)
+            step = max(1, BLOCK_SAMPLES // max(1, flat.shape[1]))
+            for some in (usable[at : at + step] for at in range(0, len(usable), step)):
+                found, state = K.measure(block[some], bayer)
+                values[rows[some]] = found
+                status[rows[some]] = np.where((state == "ok") & ~np.isfinite(found).all(axis=1), "invalid", state)
+        return pa.StructArray.from_arrays([*map(pa.array, values.T.copy()), pa.array(status, type=pa.string())],
+                                          names=["quality", "width_px", "height_px", "angle_rad", "status"])
 
     return run(*FRAME)
 

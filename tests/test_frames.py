@@ -202,3 +202,36 @@ def test_digest_tree_does_not_depend_on_its_depth(spark):
     while len(nodes) > 1:
         nodes = up(nodes)
     assert got == {1: (20, nodes[0]), 2: (1, sha(sha("x")))}
+
+
+def test_measure_judges_each_plane_of_a_block_on_its_own():
+    y, x = np.indices((41, 45))
+    disc = 100 + 5000.0 * ((x - 22) ** 2 / 81 + (y - 20) ** 2 / 25 <= 1)
+    turned = 100 + 5000.0 * ((x - 22) ** 2 / 25 + (y - 20) ** 2 / 81 <= 1)
+    block = np.stack([disc, np.full(disc.shape, 100.0), np.roll(disc, 18, axis=1), turned])
+    found, status = K.measure(block, bayer=False)
+    assert status.tolist() == ["ok", "no_target", "clipped_target", "ok"]
+    assert np.isnan(found[1:3]).all() and found[0, 1] > found[0, 2] and found[3, 3] == pytest.approx(np.pi / 2, abs=0.1)
+    for k, plane in enumerate(block):
+        alone, one = K.measure(plane[None])
+        assert one[0] == status[k] and np.allclose(alone[0], found[k], equal_nan=True)
+
+
+def test_rings_of_bins_without_cover_or_target_are_unmeasured(spark):
+    rng = np.random.default_rng(9)
+    cell = lambda a: np.asarray(a, float).ravel().tolist()
+    parts = [rng.random((8, 8)) + 1 for _ in range(3)]
+    one, gap = np.ones((8, 8)), np.where(np.indices((8, 8))[0] == 4, 0.0, 1.0)
+    rows = [(k, cell(parts[0]), cell(one), cell(parts[1]), cell(w1), cell(sum(parts)), cell(3 * one)) for k, w1 in ((0, one), (1, gap))]
+    rows.append((2, None, *rows[0][2:]))
+    names = ["h0_wv", "h0_w", "h1_wv", "h1_w", "all_wv", "all_w"]
+    df = spark.createDataFrame(rows, "k int, " + ", ".join(f"{n} array<double>" for n in names)).coalesce(1)
+    window = np.outer(np.hanning(10), np.hanning(10))[1:-1, 1:-1]
+    got = [r.m for r in df.withColumn("m", FO.measure_rings(8, 8, window)).orderBy("k").collect()]
+    assert got[2] is None and got[1].transfer is None and got[1].depth > 0
+    spectra = [np.fft.fft2((p - (p * window).sum() / window.sum()) * window) for p in (sum(parts[:2]) / 2, parts[2], parts[0], parts[1])]
+    own, rest, a, b = spectra
+    filters = K.ring_filters(8, 8)
+    want = [((own * rest.conj()).real * f).sum() / (abs(rest) ** 2 * f).sum() for f in filters[12:14]]
+    assert got[0].depth == pytest.approx(2) and got[0].transfer[12:14] == pytest.approx(want) and got[0].transfer[0] == 0
+    assert got[0].residual[12] == pytest.approx((abs(a - b) ** 2 * filters[12]).sum() / filters[12].sum() / 4)
