@@ -71,21 +71,24 @@ def test_filtered_export_keeps_bytes_and_order(spark, tmp_path):
         ser.export_ser(spark, path, chosen, out)
 
 
-def avi_bytes(frames):
+def avi_bytes(frames, group=0, start=0):
+    """A small movie; with ``group`` its frames stand in nested lists of so many."""
     def chunk(tag, body):
         return tag + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
 
     n, h, w, _ = frames.shape
     stride = (w * 3 + 3) // 4 * 4
-    strh = b"vids" + b"DIB " + struct.pack("<IHHIIIIIIII", 0, 0, 0, 0, 1, 25, 0, n, 0, 0, 0) + b"\0" * 8
+    strh = b"vids" + b"DIB " + struct.pack("<IHHIIIIIIII", 0, 0, 0, 0, 1, 25, start, n, 0, 0, 0) + b"\0" * 8
     strf = struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, 0, 0, 0, 0, 0)
     hdrl = b"hdrl" + chunk(b"LIST", b"strl" + chunk(b"strh", strh) + chunk(b"strf", strf))
-    body = b"movi"
+    parts = []
     for f in frames:
         rows = np.zeros((h, stride), np.uint8)
         rows[:, : w * 3] = f[::-1, :, ::-1].reshape(h, -1)
-        body += chunk(b"00db", rows.tobytes())
-    riff = b"AVI " + chunk(b"LIST", hdrl) + chunk(b"LIST", body)
+        parts.append(chunk(b"00db", rows.tobytes()))
+    if group:
+        parts = [chunk(b"LIST", b"rec " + b"".join(parts[k : k + group]) + chunk(b"JUNK", b"odd")) for k in range(0, n, group)]
+    riff = b"AVI " + chunk(b"LIST", b"INFO" + chunk(b"ISFT", b"x")) + chunk(b"LIST", hdrl) + chunk(b"LIST", b"movi" + b"".join(parts)) + chunk(b"idx1", b"")
     return b"RIFF" + struct.pack("<I", len(riff)) + riff
 
 
@@ -98,6 +101,29 @@ def test_avi_frames(spark, tmp_path):
     path.write_bytes(avi_bytes(data)[:-4])
     with pytest.raises(Exception, match="RIFF"):
         open_capture(spark, str(path)).count()
+    path.write_bytes(avi_bytes(data, start=2))
+    with pytest.raises(Exception, match="frame 0"):
+        open_capture(spark, str(path)).count()
+
+
+def test_avi_ranges_start_inside_nested_lists(tmp_path):
+    from framewright.sources import avi
+
+    data = RNG.integers(0, 255, (11, 3, 5, 3)).astype(np.uint8)
+    path = tmp_path / "m.avi"
+    path.write_bytes(avi_bytes(data, group=4))
+    ranges = avi.plan(str(path), step=3)
+    assert [(r.first, r.count) for r in ranges] == [(0, 3), (3, 3), (6, 3), (9, 2)]
+    rows = [batch.to_pylist()[0] for r in ranges for batch in avi.AviReader(str(path)).read(r)]
+    assert [r["frame_index"] for r in rows] == list(range(11))
+    assert np.array_equal([np.frombuffer(r["pixels"], "<u2").reshape(3, 5, 3) for r in rows], data)
+    path.write_bytes(avi_bytes(data[:5], group=4))
+    with pytest.raises(ValueError, match="changed"):
+        list(avi.AviReader(str(path)).read(ranges[0]))
+    bad = avi_bytes(data).replace(b"00db", b"00wb", 1)
+    path.write_bytes(bad)
+    with pytest.raises(ValueError, match="unsupported"):
+        avi.plan(str(path))
 
 
 def test_unknown_suffix(spark):
