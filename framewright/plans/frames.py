@@ -379,10 +379,11 @@ def stack_snr(spark, folder):
 def masked_shifts(spark, folder):
     from framewright.operators import drift as D
 
-    frames = T.frames(spark, folder)
-    mean = ST.normalise(ST.stack(frames.withColumn("all", F.lit(0)), ["all"], F.col("pixels"), F.lit(1.0)))
-    reference = np.array([r.value for r in mean.orderBy("pos").collect()]).reshape(8, 8)  # one plane
+    frames = T.frames(spark, folder).withColumn("all", F.lit(0))
+    mean = ST.normalise(ST.stack(frames, ["all"], F.col("pixels"), F.lit(1.0)))
+    reference = mean.groupBy("all").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("reference"))
     mask = np.zeros((8, 8), dtype=bool)
     mask[1:-1, 1:-1] = True
-    found = frames.select(KEY, "frame_index", D.masked_displacement(reference, mask).alias("d"))
+    matched = frames.join(materialise(reference, "mean-plane"), "all").withColumn("m", D.masked_match(F.col("reference"), mask))
+    found = matched.select(KEY, "frame_index", D.masked_displacement(F.col("m")).alias("d"))
     return found.select(KEY, "frame_index", F.col("d").isNotNull().alias("matched"), F.round("d.dx", 5).alias("dx"), F.round("d.dy", 5).alias("dy"))
