@@ -191,12 +191,46 @@ def accumulated(spark, folder):
     return ST.stack(binned_frames(spark, folder), [KEY, "bin", "half"], F.col("pixels"), F.col("w"))
 
 
-@query("ring_transfer", "AGG-12 SUP-12")
+RING_SHARES = """
+, rp AS (SELECT f, least(sqrt(fy * fy + fx * fx), 0.5) / 0.01 AS p FROM (
+    SELECT f, CASE WHEN f // 8 < 4 THEN f // 8 ELSE f // 8 - 8 END / 8.0::DOUBLE AS fy, CASE WHEN f % 8 < 4 THEN f % 8 ELSE f % 8 - 8 END / 8.0::DOUBLE AS fx
+    FROM (SELECT unnest(range(64)) AS f))),
+share AS (SELECT f, least(floor(p + 1e-9), 50)::BIGINT AS band, power(cos(0.5 * pi() * greatest(p - floor(p + 1e-9), 0)), 2) AS s FROM rp
+          UNION ALL SELECT f, floor(p + 1e-9)::BIGINT + 1, power(sin(0.5 * pi() * greatest(p - floor(p + 1e-9), 0)), 2) FROM rp WHERE p < 50)
+"""
+
+TRANSFER = BINNED + RING_SHARES + """
+, win AS (SELECT k, (0.5 - 0.5 * cos(2 * pi() * (k // 8 + 1) / 9)) * (0.5 - 0.5 * cos(2 * pi() * (k % 8 + 1) / 9)) AS win FROM (SELECT unnest(range(64)) AS k)),
+hv AS (SELECT capture_id, bin, k, coalesce(sum(wv) FILTER (half = 0), 0) AS v0, coalesce(sum(w) FILTER (half = 0), 0) AS w0,
+              coalesce(sum(wv) FILTER (half = 1), 0) AS v1, coalesce(sum(w) FILTER (half = 1), 0) AS w1 FROM acc GROUP BY 1, 2, 3),
+al AS (SELECT capture_id, k, sum(wv) AS v, sum(w) AS w FROM acc GROUP BY 1, 2),
+covered AS (SELECT capture_id, bin, sum(w0 * win) / sum(win) AS d0, sum(w1 * win) / sum(win) AS d1 FROM hv JOIN win USING (k) GROUP BY 1, 2 HAVING min(least(w0, w1)) > 0),
+pl AS (SELECT capture_id, bin, k, win, unnest(['a', 'b', 'own', 'rest']) AS part,
+              unnest([v0 / w0, v1 / w1, (v0 + v1) / (w0 + w1), CASE WHEN al.w - w0 - w1 > 0 THEN (al.v - v0 - v1) / (al.w - w0 - w1) ELSE 0 END]) AS v
+       FROM hv JOIN covered USING (capture_id, bin) JOIN al USING (capture_id, k) JOIN win USING (k)),
+q AS (SELECT capture_id, bin, k, part, (v - sum(v * win) OVER m / sum(win) OVER m) * win AS v FROM pl WINDOW m AS (PARTITION BY capture_id, bin, part)),
+ft AS (SELECT capture_id, bin, part, f, sum(v * cos(2 * pi() * ((f // 8) * (k // 8) + (f % 8) * (k % 8)) / 8)) AS re,
+              -sum(v * sin(2 * pi() * ((f // 8) * (k // 8) + (f % 8) * (k % 8)) / 8)) AS im FROM q, (SELECT unnest(range(1, 64)) AS f) GROUP BY 1, 2, 3, 4),
+fr AS (SELECT capture_id, bin, f, o.re * r.re + o.im * r.im AS shared, r.re * r.re + r.im * r.im AS rest, power(a.re - b.re, 2) + power(a.im - b.im, 2) AS split
+       FROM ft o JOIN ft r USING (capture_id, bin, f) JOIN ft a USING (capture_id, bin, f) JOIN ft b USING (capture_id, bin, f)
+       WHERE o.part = 'own' AND r.part = 'rest' AND a.part = 'a' AND b.part = 'b'),
+sums AS (SELECT capture_id, bin, band, sum(s * shared) AS shared, sum(s * rest) AS rest, sum(s * split) AS split FROM fr JOIN share USING (f) GROUP BY 1, 2, 3),
+cells AS (SELECT band, sum(s) AS cells FROM share GROUP BY 1),
+measured AS (
+  SELECT capture_id, bin, band, d0 + d1 AS depth, coalesce(shared / greatest(rest, 1e-300), 0) AS transfer,
+         coalesce(split / greatest(cells, 1e-300), 0) / (1 / d0 + 1 / d1) / (d0 + d1) AS residual
+  FROM covered CROSS JOIN (SELECT unnest(range(51)) AS band) LEFT JOIN sums USING (capture_id, bin, band) LEFT JOIN cells USING (band))
+"""
+
+
+@query("ring_transfer", "AGG-12 SUP-12", TRANSFER + """
+SELECT capture_id, bin, band::INT AS band, round(depth, 6) AS depth, round(transfer, 6) + 0.0 AS transfer, round(residual, 8) + 0.0 AS residual FROM measured""")
 def ring_transfer(spark, folder):
     measured = FO.bin_planes(accumulated(spark, folder), [KEY]).withColumn("m", FO.measure_rings(8, 8, WINDOW))
     rows = measured.where("m.transfer is not null").select(KEY, "bin", "m.depth", F.posexplode(
         F.arrays_zip(F.col("m.transfer").alias("t"), F.col("m.residual").alias("v"))).alias("band", "r"))
-    return rows.select(KEY, "bin", "band", F.round("depth", 6).alias("depth"), F.round("r.t", 6).alias("transfer"), F.round("r.v", 8).alias("residual"))
+    return rows.select(KEY, "bin", "band", F.round("depth", 6).alias("depth"),
+                       (F.round("r.t", 6) + 0.0).alias("transfer"), (F.round("r.v", 8) + 0.0).alias("residual"))
 
 
 @query("fourier_weighted_stack", "NUM-1 NUM-2 AGG-13 SUP-1")
