@@ -1,15 +1,19 @@
-"""Repeated passages by content-defined chunks with a gear rolling hash.
+"""Repeated passages of more than 50 words, found by winnowed word anchors and proved by word windows.
 
-A chunk ends where the gear hash of the last 32 bytes falls below a limit, every
-``average`` bytes in the mean, so an insertion moves only the chunk ends near it; a gap beyond
-``longest`` bytes is cut at that distance. A passage key is the digest of the chunks from one
-chunk end on until ``reach`` bytes are covered. Keys are deduplicated by a grouping with
-partial sums, so a passage in a third of all documents is no hot spot. Keys that occur in several
-documents give spans; touching ones are merged, and spans below ``least_bytes`` are left alone.
+A passage is a run of at least ``least_words`` = 51 words that stands byte for byte in several documents. A word is
+a run of letters and digits (an apostrophe or hyphen may join two); each character of a script without spaces is
+a word, and a run of over 64 bytes is cut into words at content-defined places (gear hash).
 
-A passage of n bytes shared by two documents is found whole but for the two ends, which lose
-two exponential gaps of ``average`` bytes together: of 320 bytes (some 51 words) 96 % keep the
-192 bytes asked for, of 400 bytes 99.9 %.
+Of each document the hashes of 26 words are taken at every word, and of any 26 neighbours the least one is an anchor.
+Equal passages of 51 words hold 26 such hashes, so they share the least of them: no passage is missed. Anchors
+that stand in several documents nominate: every window of 51 words around one is written with its digest. Digests of
+several documents are passages, and as every word has its window, the union of touching windows ends at the
+passage's true first and last word. A hash is grouped with partial sums, so a passage in a third of
+all documents is no hot spot.
+
+Windows that overlap are one span; ``least_bytes`` (0: no limit) asks for bytes of the whole span. Only then a span
+is split: what an earlier document has is marked for removal, with the first document that has it, and the rest
+is kept. A part may therefore have less than 51 words. Parts do not overlap.
 
 Defined results: null, empty and short texts have no passages. Rows that repeat a doc_id are one
 document, so copies under one id are not reported. The document of the smallest id keeps a
@@ -33,8 +37,15 @@ from framewright.session import materialise
 
 GEAR = (_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 PART = 1 << 20
-SIZE = 1 << 20  # 20 bits for the length: a place is start * SIZE + length
-WINDOWS = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("key", pa.int64())])
+BLOCK = 1 << 16  # words, or rows of a batch
+LONG_RUN = 64  # bytes of a run without a gap, above which it is cut
+INNER = np.isin(np.arange(256), [ord("'"), ord("-")])
+WORD = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
+POWER = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
+INVERSE = np.uint64(pow(int(POWER), -1, 1 << 64))
+LETTER = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+ANCHORS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
+WINDOWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("key", pa.int64())])
 SPAN = T.ArrayType(T.StructType().add("start", T.LongType()).add("stop", T.LongType()).add("first_doc_id", T.LongType()).add("kept", T.BooleanType()))
 
 
@@ -58,60 +69,199 @@ def chunk_ends(raw: bytes, average: int = 24, longest: int = 512) -> np.ndarray:
     return found
 
 
-def passages(raw: bytes, reach: int, **options) -> list[tuple[int, int, int]]:
-    """(start, stop, key) of the chunks from each chunk end on that cover ``reach`` bytes."""
-    ends = chunk_ends(raw, **options)
-    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    last = np.searchsorted(ends, starts + reach)
-    whole = last < len(ends)
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte behind it."""
+    body = np.frombuffer(raw, np.uint8)
+    if not len(body):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside, opens = WORD[body], None
+    if body.max() >= 0xC2:
+        after = np.append(body[1:], np.uint8(0))
+        for place in np.flatnonzero((body == 0xE2) & ((after == 0x80) | (after == 0x81))).tolist():
+            inside[place : place + 3] = False  # dashes, quotation marks, wide spaces
+        for place in np.flatnonzero((body == 0xC2) & (after < 0xC0) & (after != 0xAA) & (after != 0xB5) & (after != 0xBA)).tolist():
+            inside[place : place + 2] = False
+        opens = ((body >= 0xE3) & (body <= 0xE9)) | ((body == 0xF0) & (after >= 0xA0))  # Chinese, Japanese
+        opens |= (body == 0xE0) & (after >= 0xB8) & (after <= 0xBB)  # Thai, Lao
+        opens |= (body == 0xE1) & (((after >= 0x80) & (after <= 0x82)) | (after == 0x9E) | (after == 0x9F))  # Burmese, Khmer
+    joins = np.flatnonzero(INNER[body[1:-1]] & inside[:-2] & inside[2:]) + 1
+    inside[joins] = True
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    more = []
+    if opens is not None and opens.any():
+        first = np.flatnonzero(opens & inside)
+        behind = first + np.where(body[first] == 0xF0, 4, 3)
+        more += [first, behind[(behind < len(body))]]
+    cut = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
+    starts, stops = _split(starts, stops, cut)
+    long = np.flatnonzero(stops - starts > LONG_RUN)
+    if len(long):
+        inner = [chunk_ends(raw[starts[k] : stops[k]], 8, LONG_RUN)[:-1] + starts[k] for k in long.tolist()]
+        starts, stops = _split(starts, stops, np.concatenate(inner))
+    return starts, stops
+
+
+def _split(starts: np.ndarray, stops: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs cut at those of ``cuts`` (ascending) that lie strictly inside them."""
+    if not len(cuts) or not len(starts):
+        return starts, stops
+    run = np.searchsorted(starts, cuts, "right") - 1
+    cuts = cuts[(run >= 0) & (cuts > starts[run]) & (cuts < stops[run])]
+    return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([stops, cuts]))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, base))))
+
+
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` over every ``width`` neighbours."""
+    done, out = 1, values
+    while done < width:
+        step = min(done, width - done)
+        out = pick(out[:-step], out[step:])
+        done += step
+    return out
+
+
+def anchors(raw: bytes, starts: np.ndarray, stops: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the least of any so many neighbouring word hashes that all passages have one."""
+    size = (least_words + 1) // 2
+    width = least_words + 1 - size
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for at in range(0, len(starts) - least_words + 1, BLOCK):  # blocks overlap, so that each passage is whole in one
+        a, b = starts[at : at + BLOCK + least_words - 1], stops[at : at + BLOCK + least_words - 1]
+        body = np.frombuffer(raw, np.uint8)[a[0] : b[-1]]
+        if len(_POWERS[0]) < len(body):
+            _POWERS[:] = _powers(POWER, 2 * len(body)), _powers(INVERSE, 2 * len(body))
+        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(LETTER[body] * _POWERS[0][: len(body)])))
+        first, last = a[: len(a) - size + 1] - a[0], b[size - 1 :] - a[0]
+        value = _mixed((upto[last] - upto[first]) * _POWERS[1][first] + (last - first).astype(np.uint64))
+        least = _sliding(value, width, np.minimum)
+        edge = np.zeros(width - 1, np.uint64)
+        chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == value)
+        found.append((chosen + at, value[chosen]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _anchors(least_words: int):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], [np.zeros(0, np.uint64)]
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                key = np.unique(anchors(raw := _bytes(text), *word_places(raw), least_words)[1])
+                ids.append(np.full(len(key), doc_id, np.int64))
+                keys.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids or [np.zeros(0, np.int64)])), pa.array(np.concatenate(keys).view(np.int64))], schema=ANCHORS)
+
+    return found
+
+
+def windows_around(raw: bytes, wanted: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of every window of ``least_words`` words that holds an anchor whose hash is ``wanted``."""
+    starts, stops = word_places(raw)
+    at, value = anchors(raw, starts, stops, least_words)
+    at = at[np.isin(value.view(np.int64), wanted)]
+    n = max(0, len(starts) - least_words + 1)
+    back = least_words - (least_words + 1) // 2
+    near = np.zeros(n + 1, np.int64)
+    np.add.at(near, np.maximum(at - back, 0), 1)
+    np.add.at(near, np.minimum(at + 1, n), -1)
+    first = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+    return starts[first], stops[first + least_words - 1]
+
+
+def _windows(least_words: int):
     digest = xxhash.xxh3_64_intdigest
-    return [(a, b, digest(raw[a:b])) for a, b in zip(starts[whole].tolist(), ends[last[whole]].tolist())]
 
+    def batch_of(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], schema=WINDOWS)
 
-def _windows(reach: int, options: dict):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
         for batch in batches:
-            ids, places, keys = [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = passages((text or "").encode("utf-8", "surrogatepass"), reach, **options)
-                ids += [doc_id] * len(found)
-                places += [a * SIZE + b - a for a, b, _ in found]
-                keys += [k for _, _, k in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], schema=WINDOWS)
+            for doc_id, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
+                starts, stops = windows_around(raw := _bytes(text), np.array(wanted, np.int64), least_words)
+                for k in range(0, len(starts), BLOCK):
+                    a, b = starts[k : k + BLOCK], stops[k : k + BLOCK]
+                    key = np.fromiter((digest(raw[i:j]) for i, j in zip(a.tolist(), b.tolist())), np.uint64, len(a))
+                    rows.append((np.full(len(a), doc_id, np.int64), a, b, key.view(np.int64)))
+                    n += len(a)
+                    if n >= BLOCK:
+                        yield batch_of(rows)
+                        rows, n = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return windows
 
 
+def parts_of(start: np.ndarray, stop: np.ndarray, first: np.ndarray, kept: np.ndarray, least_bytes: int) -> list[dict]:
+    """The spans of a document's repeated windows, split into parts that do not overlap."""
+    order = np.lexsort((stop, start))
+    start, stop, first, kept = start[order], stop[order], first[order], kept[order]
+    reach = np.maximum.accumulate(stop)
+    apart = np.append(True, start[1:] > reach[:-1])
+    span = np.cumsum(apart) - 1
+    whole = reach[np.append(np.flatnonzero(apart)[1:] - 1, len(stop) - 1)] - start[apart]
+    fresh = np.flatnonzero(apart | np.append(True, (first[1:] != first[:-1]) | (kept[1:] != kept[:-1])))
+    ends = np.maximum.reduceat(stop, fresh)
+    runs = [(s, e, f, k) for s, e, f, k, i in zip(start[fresh].tolist(), ends.tolist(), first[fresh].tolist(), kept[fresh].tolist(), span[fresh].tolist()) if whole[i] >= least_bytes]
+    out, at = [], -1
+    for s, e, f, k in runs:
+        if not k and e > at:
+            out.append({"start": max(s, at), "stop": e, "first_doc_id": f, "kept": False})
+            at = e
+    gone, mine, at, k = list(out), [], -1, 0
+    for s, e, f, stays in runs:
+        if stays:
+            s = max(s, at)
+            while k < len(gone) and gone[k]["stop"] <= s:
+                k += 1
+            i = k
+            while s < e:
+                if i == len(gone) or gone[i]["start"] >= e:
+                    mine.append({"start": s, "stop": e, "first_doc_id": f, "kept": True})
+                    break
+                if gone[i]["start"] > s:
+                    mine.append({"start": s, "stop": gone[i]["start"], "first_doc_id": f, "kept": True})
+                s = max(s, gone[i]["stop"])
+                i += 1
+            at = max(at, e)
+    return sorted(out + mine, key=lambda r: r["start"])
+
+
 def _merged(least_bytes: int):
     @F.arrow_udf(SPAN)
     def merge(lists: pa.Array) -> pa.Array:
-        out = []
-        for rows in lists.to_pylist():
-            spans: list[dict] = []
-            for kept in (True, False):
-                run: list[dict] = []
-                for r in sorted((r for r in rows if r["kept"] == kept), key=lambda r: (r["start"], r["stop"])):
-                    if run and r["start"] <= run[-1]["stop"]:
-                        run[-1]["stop"] = max(run[-1]["stop"], r["stop"])
-                        run[-1]["first_doc_id"] = min(run[-1]["first_doc_id"], r["first_doc_id"])
-                    else:
-                        run.append(dict(r))
-                spans += [r for r in run if r["stop"] - r["start"] >= least_bytes]
-            out.append(sorted(spans, key=lambda r: (r["start"], r["stop"])))
+        rows, ends = lists.flatten(), np.cumsum(np.append(0, lists.value_lengths().to_numpy(zero_copy_only=False)))
+        columns = [rows.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "first_doc_id", "kept")]
+        out = [parts_of(*(c[a:b] for c in columns), least_bytes) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("first_doc_id", pa.int64()), ("kept", pa.bool_())])))
 
     return merge
 
 
-def repeats(docs: DataFrame, text: str = "text", reach: int = 64, least_bytes: int = 192, **options) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", least_words: int = 51, least_bytes: int = 0) -> DataFrame:
     """(doc_id, spans): for each document with repeated passages their byte spans, the first document and whether it is kept here."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     text_batches(docs.sparkSession)
-    windows = materialise(rows.mapInArrow(_windows(reach, options), "doc_id long, place long, key long"), "windows")
+    marks = materialise(rows.mapInArrow(_anchors(least_words), "doc_id long, key long"), "anchors")
+    common = marks.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    wanted = marks.join(common, "key").groupBy("doc_id").agg(F.collect_set("key").alias("wanted"))
+    near = rows.join(materialise(wanted, "wanted"), "doc_id")
+    windows = materialise(near.mapInArrow(_windows(least_words), "doc_id long, start long, stop long, key long"), "windows")
     seen = windows.groupBy("key").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
     again = seen.where("first_doc_id < last").select("key", "first_doc_id")
-    start = F.shiftright("place", 20)
-    w = F.struct(start.alias("start"), (start + F.col("place") % SIZE).alias("stop"), "first_doc_id", (F.col("doc_id") == F.col("first_doc_id")).alias("kept"))
+    w = F.struct("start", "stop", "first_doc_id", (F.col("doc_id") == F.col("first_doc_id")).alias("kept"))
     found = windows.join(again, "key").select("doc_id", w.alias("w"))
     # Windows of rows that repeat a doc_id are equal and vanish in the set.
     spans = found.groupBy("doc_id").agg(F.collect_set("w").alias("w")).select("doc_id", _merged(least_bytes)(F.col("w")).alias("spans"))

@@ -169,6 +169,38 @@ def test_passages(spark):
     assert substring.repeats(docs.limit(0)).count() == 0
 
 
+def short_words(seed, n, used=iter(range(10**9))):
+    """Words of two to six letters that no other call gives."""
+    letters = np.random.default_rng(seed).integers(0, 26, (n, 6))
+    sizes = np.random.default_rng(seed + 1).integers(2, 7, n)
+    return " ".join("".join(chr(97 + c) for c in row[:size]) for row, size in zip(letters, sizes))
+
+
+def test_passages_of_51_words(spark):
+    """At production parameters every shared passage of 51 words is found to its ends, whatever its bytes, and one of 50 is not."""
+    rows, want = [], {}
+    for k in range(40):
+        n = 50 if k >= 30 else 51
+        shared = " ".join("ab cd ef gh".split()[i] for i in np.random.default_rng(k + 900).integers(0, 4, n)) if k % 10 == 9 else short_words(3 * k + 1000, n)
+        for j, doc in enumerate((2 * k + 1, 2 * k + 2)):
+            left, right = short_words(7000 + doc * 10, 20 + doc) + f" L{doc}", f"R{doc} " + short_words(8000 + doc * 10, 30)
+            rows.append((doc, f"{left} {shared} {right}" if doc % 3 else f"{left} «{shared}», {right}"))
+            if n > 50:
+                start = len(rows[-1][1].split(shared)[0].encode())
+                want[doc] = [(start, start + len(shared), 2 * k + 1, j == 0)]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
+def test_passages_without_spaces(spark):
+    run = "".join(chr(c) for c in np.random.default_rng(5).integers(0x4E00, 0x9F00, 60))
+    blob = "".join(chr(97 + c) for c in np.random.default_rng(6).integers(0, 26, 3000))
+    rows = [(1, "甲" + run + "乙"), (2, "丙丁" + run), (3, "x" + blob), (4, "longer start" + blob + "z")]
+    got = {r.doc_id: r.spans for r in substring.repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [(s.start, s.stop) for s in got[1] + got[2]] == [(3, 183), (6, 186)]
+    assert set(got) == {1, 2, 3, 4} and all(len(got[d]) == 1 and got[d][0].stop - got[d][0].start > 2700 for d in (3, 4))
+
+
 def test_chunks_resist_shifts():
     raw = words(20, 3000).encode()
     a, b = substring.chunk_ends(raw), substring.chunk_ends(b"inserted " + raw)
