@@ -201,6 +201,23 @@ def test_passages_without_spaces(spark):
     assert set(got) == {1, 2, 3, 4} and all(len(got[d]) == 1 and got[d][0].stop - got[d][0].start > 2700 for d in (3, 4))
 
 
+def test_passages_with_earlier_fragments(spark):
+    """A fragment in an earlier document neither hides the first occurrence nor is named for what it lacks."""
+    short, long = short_words(40, 70), short_words(44, 140)
+    part, half = " ".join(short.split()[:35]), " ".join(long.split()[:80])
+    body = {5: part, 20: short, 30: short, 6: half, 21: long, 31: long}
+    rows = [(d, f"{short_words(50 + 2 * d, 40)} L{d} {x} R{d}") for d, x in body.items()]
+    got = {(r.doc_id): [(t[s.start : s.stop].decode().strip(), s.first_doc_id, s.kept) for s in r.spans]
+           for r in substring.repeats(spark.createDataFrame(rows, DOCS)).collect() for t in [dict(rows)[r.doc_id].encode()]}
+    rest = long[len(half) :].strip()
+    assert got == {20: [(short, 20, True)], 30: [(short, 20, False)], 6: [(half, 6, True)],
+                   21: [(half, 6, False), (rest, 21, True)], 31: [(half, 6, False), (rest, 21, False)]}
+    kept = {r.doc_id: r.text for r in substring.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
+    assert short in kept[20] and short.split()[50] not in kept[30] and rest in kept[21] and rest not in kept[31]
+    spans = substring.parts_of(*(np.array(c) for c in zip((0, 300, 5, True), (20, 320, 5, True), (40, 340, 2, False))), 341)
+    assert spans == [] and len(substring.parts_of(*(np.array(c) for c in zip((0, 300, 5, True), (40, 340, 2, False))), 340)) == 2
+
+
 def test_chunks_resist_shifts():
     raw = words(20, 3000).encode()
     a, b = substring.chunk_ends(raw), substring.chunk_ends(b"inserted " + raw)
