@@ -44,25 +44,50 @@ def row_digest(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\u001f", *columns), 256)
 
 
+def _hashed(level: DataFrame, keys: list[str], node: Column) -> DataFrame:
+    """The digests under each ``node``, hashed in order."""
+    rows = level.groupBy(*keys, node.alias("_block")).agg(F.array_sort(F.collect_list(F.struct("_at", "_d"))).alias("l"), F.sum("leaves").alias("leaves"))
+    hashed = F.sha2(F.array_join(F.transform("l", lambda x: x["_d"]), ""), 256)
+    return rows.select(*keys, F.col("_block").alias("_at"), "l", hashed.alias("_d"), "leaves")
+
+
+def _placed(leaves: DataFrame, keys: list[str], order: str, leaf: str) -> DataFrame:
+    placed = rank_rows(leaves.select(*keys, order, leaf), keys, order, order, name="_rank")
+    return placed.select(*keys, (F.col("_rank") - 1).alias("_at"), F.col(leaf).alias("_d"), F.lit(1).cast("bigint").alias("leaves"))
+
+
 def ordered_digest(leaves: DataFrame, keys: Sequence[str], order: str, leaf: str, *, block: int = BLOCK) -> DataFrame:
     """One digest per group over its leaf digests in order.
 
     A tree: digests are hashed in blocks of ``block``, then blocks of those, until one is
     left, so no row ever gathers more than ``block`` digests. The first two levels are always
-    hashed; above them a group's only digest stands. Four levels hold block^4 leaves.
+    hashed; above them a group's only digest stands. The leaves of the largest group are counted
+    first and give the number of levels.
     """
     keys = list(keys)
-    placed = rank_rows(leaves.select(*keys, order, leaf), keys, order, order, name="_rank")
-    level = placed.select(*keys, (F.col("_rank") - 1).alias("_at"), F.col(leaf).alias("_d"), F.lit(1).cast("bigint").alias("leaves"))
-    for depth in range(4):
-        rows = level.groupBy(*keys, F.floor(F.col("_at") / block).alias("_block")).agg(
-            F.array_sort(F.collect_list(F.struct("_at", "_d"))).alias("l"), F.sum("leaves").alias("leaves"))
-        hashed = F.sha2(F.array_join(F.transform("l", lambda x: x["_d"]), ""), 256)
+    if block < 2:
+        raise ValueError("a block of a digest tree holds two digests at least")
+    most = leaves.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    level, depth, nodes = _placed(leaves, keys, order, leaf), 0, most
+    while depth < 2 or nodes > 1:
+        up = _hashed(level, keys, F.floor(F.col("_at") / block))
         alone = (F.size("l") == 1) & (F.col("l")[0]["_at"] == 0)  # a group with more has a second one in its first block
-        level = rows.select(*keys, F.col("_block").alias("_at"), (F.when(alone, F.col("l")[0]["_d"]).otherwise(hashed) if depth > 1 else hashed).alias("_d"), "leaves")
+        level = up.select(*keys, "_at", (F.when(alone, F.col("l")[0]["_d"]).otherwise(F.col("_d")) if depth > 1 else F.col("_d")).alias("_d"), "leaves")
+        depth, nodes = depth + 1, -(-nodes // block)
     return level.select(*keys, "leaves", F.col("_d").alias("digest"))
 
 
+def listed_digest(leaves: DataFrame, keys: Sequence[str], order: str, leaf: str, *, block: int = BLOCK) -> DataFrame:
+    """One digest per group in exactly two levels, as SQL states it: blocks of ``block`` leaves, then the list of all blocks.
+
+    Equal to ``ordered_digest`` up to block^2 leaves. Above, one row gathers the digests of a group's blocks,
+    64 * leaves / block bytes of text, so a group must stay below 2^25 * block leaves (the 2 GB of a row).
+    """
+    keys = list(keys)
+    blocks = _hashed(_placed(leaves, keys, order, leaf), keys, F.floor(F.col("_at") / block)).drop("l")
+    return _hashed(blocks, keys, F.lit(0)).select(*keys, "leaves", F.col("_d").alias("digest"))
+
+
 def frame_digests(frames: DataFrame) -> DataFrame:
     """Digest per frame over its sample type and its bytes."""
     return frames.select("capture_id", "frame_index", F.sha2(F.concat(F.encode(F.lit("<u2"), "UTF-8"), "pixels"), 256).alias("leaf"))

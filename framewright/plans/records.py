@@ -28,7 +28,7 @@ b AS (SELECT source, r // 64 AS b, count(*) AS n, sha256(string_agg(leaf, '' ORD
 SELECT source, sum(n)::BIGINT AS leaves, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM b GROUP BY 1""")
 def capture_digest(spark, folder):
     leaves = T.load(spark, folder, "documents").select("source", "doc_id", F.sha2("text", 256).alias("leaf"))
-    return PV.ordered_digest(leaves, ["source"], "doc_id", "leaf", block=64)
+    return PV.listed_digest(leaves, ["source"], "doc_id", "leaf", block=64)
 
 
 @query("selection_digest", "AGG-35 SUP-18", SCREENED + """
@@ -39,7 +39,7 @@ SELECT capture_id, sum(n)::BIGINT AS leaves, sha256(string_agg(d, '' ORDER BY b)
 def selection_digest(spark, folder):
     rows = screen(T.measurements(spark, folder)).select(
         KEY, "frame_index", PV.row_digest("frame_index", "accepted").alias("leaf"))
-    return PV.ordered_digest(rows, [KEY], "frame_index", "leaf")
+    return PV.listed_digest(rows, [KEY], "frame_index", "leaf")
 
 
 MEAN = PX_SQL + ", s AS (SELECT capture_id, y, x, avg(v) AS value FROM px GROUP BY 1, 2, 3)"

@@ -235,3 +235,29 @@ def test_rings_of_bins_without_cover_or_target_are_unmeasured(spark):
     want = [((own * rest.conj()).real * f).sum() / (abs(rest) ** 2 * f).sum() for f in filters[12:14]]
     assert got[0].depth == pytest.approx(2) and got[0].transfer[12:14] == pytest.approx(want) and got[0].transfer[0] == 0
     assert got[0].residual[12] == pytest.approx((abs(a - b) ** 2 * filters[12]).sum() / filters[12].sum() / 4)
+
+
+def test_digests_of_any_size(spark):
+    """Above block^4 leaves the tree still ends in one digest; the list keeps its two levels, as its SQL does."""
+    import hashlib
+
+    from framewright.operators import provenance as PV
+
+    sizes = {1: 40, 2: 16, 3: 5, 4: 1}
+    leaves = spark.createDataFrame([(g, k, f"{k:02d}") for g, n in sizes.items() for k in range(n)], "g int, at long, d string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def up(nodes):
+        return [sha("".join(nodes[k : k + 2])) for k in range(0, len(nodes), 2)]
+
+    trees, lists = {}, {}
+    for g, n in sizes.items():
+        blocks = up([f"{k:02d}" for k in range(n)])
+        lists[g] = (n, sha("".join(blocks)))
+        nodes = up(blocks)
+        while len(nodes) > 1:
+            nodes = up(nodes)
+        trees[g] = (n, nodes[0])
+    assert [(r.g, (r.leaves, r.digest)) for r in PV.ordered_digest(leaves, ["g"], "at", "d", block=2).orderBy("g").collect()] == list(trees.items())
+    assert [(r.g, (r.leaves, r.digest)) for r in PV.listed_digest(leaves, ["g"], "at", "d", block=2).orderBy("g").collect()] == list(lists.items())
+    assert PV.ordered_digest(leaves.limit(0), ["g"], "at", "d").count() == 0
