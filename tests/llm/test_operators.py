@@ -309,6 +309,33 @@ def test_chat(spark):
     assert chat.read_back(chat.windows(talks.limit(0))).count() == 0
 
 
+def test_chat_of_large_conversations(spark):
+    """Greedy spans as a plain loop gives them, with a conversation of most rows, and no row that gathers one before its digest."""
+    size = lambda t: (len(t) + 3) // 4 + 4
+    rows = [(c, k, "system" if c == 1 and k == 0 else ("user", "assistant")[k % 2], "x" * int(n)) for c, m in ((1, 2500), (None, 600), (2, 3), (3, 1))
+            for k, n in enumerate(np.random.default_rng(m).integers(0, 90, m))]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), budget=100, history=30)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line and "collect_list" in line]
+    assert grouped and all("window" in keys for keys in grouped)
+    want = []
+    for c in (1, None, 2, 3):
+        sizes = [size(r[3]) for r in rows if r[0] == c]
+        lead = sizes.pop(0) if c == 1 else 0
+        room, at, window = max(1, 70 - lead), 0, 0
+        while at < len(sizes) or not window:
+            stop = at + 1
+            while stop < len(sizes) and sum(sizes[at : stop + 1]) <= room:
+                stop += 1
+            start = at
+            while start and sum(sizes[start - 1 : at]) <= 30:
+                start -= 1
+            want.append((c, window, lead + sum(sizes[start:stop]), at - start + (c == 1 and window > 0)))
+            at, window = stop, window + 1
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(((r.conv_id, r.window, r.n_tokens, r.repeated) for r in made.collect()), key=key) == sorted(want, key=key)
+
+
 @pytest.fixture(scope="module")
 def ranks():
     return bpe.read_ranks(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
