@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, chat, decontam, exact, language, minhash, quality, substring, urls, warc
+from framewright.llm import bpe, chat, collocations, decontam, exact, language, minhash, quality, resampling, substring, urls, warc
 from framewright.llm.common import fold_of, table
 from framewright.session import shared_folder
 
@@ -178,6 +178,61 @@ def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+OP12_SQL = r"""
+WITH split AS (SELECT coalesce(lang, 'und') AS lang,
+                      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+               FROM documents),
+runs AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM split),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM runs GROUP BY 1),
+grams AS (SELECT lang, size, unnest([array_to_string(w[b:b + size - 1], ' ') FOR b IN range(1, len(w) - size + 2)]) AS phrase
+          FROM runs, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size),
+counts AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+found AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1),
+cuts AS (SELECT lang, phrase, a, w, size, unnest(range(1, size)) AS k FROM found),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+           FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+                       JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.size], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ones AS (SELECT lang, a, unnest([array_to_string(w[b:b + part - 1], ' ') FOR b IN range(1, size - part + 2)]) AS phrase
+               FROM found, (SELECT unnest([2, 3]) AS part) WHERE part < size),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_ones GROUP BY 1, 2),
+best AS (SELECT w.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+         FROM worst w LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM best JOIN totals USING (lang)"""
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return resampling.resampled(docs, table(spark, folder, "benchmark"), shortest=1, longest=1).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# The check value crc32 (reversed polynomial 0xEDB88320) bit by bit for each different word.
+OP13_SQL = rf"""
+WITH docs AS (SELECT doc_id, coalesce({_WORDS_SQL.format('text')}, []) AS w FROM documents),
+items AS (SELECT coalesce({_WORDS_SQL.format('text')}, []) AS w FROM benchmark),
+known AS (SELECT DISTINCT word FROM (SELECT unnest(w) AS word FROM docs UNION ALL SELECT unnest(w) FROM items)),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT FOR i IN range(strlen(word))]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT FOR i IN range(8)]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 10000 AS bucket
+  FROM known),
+s AS (SELECT bucket, count(*) AS s FROM (SELECT unnest(w) AS word FROM docs) JOIN hashed USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(w) AS word FROM items) JOIN hashed USING (word) GROUP BY 1),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS t_all),
+gains AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)) / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+          FROM (SELECT DISTINCT bucket FROM hashed) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), sums),
+weights AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM (SELECT doc_id, unnest(w) AS word FROM docs) JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+                  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+           FROM docs LEFT JOIN weights USING (doc_id)),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+          QUALIFY rank <= (SELECT count(*) FROM scored WHERE n_features >= 20) * 10 // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (doc_id)"""
+
+
 QUERIES: dict[str, tuple[Plan, str | None]] = {
     "op1_minhash_dedup": (op1_minhash_dedup, OP1_SQL),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
@@ -189,4 +244,6 @@ QUERIES: dict[str, tuple[Plan, str | None]] = {
     "op8_decontamination": (op8_decontamination, OP8_SQL),
     "op9_chat_windows": (op9_chat_windows, OP9_SQL),
     "op10_byte_bpe": (op10_byte_bpe, None),
+    "op12_collocations": (op12_collocations, OP12_SQL),
+    "op13_resampling": (op13_resampling, OP13_SQL),
 }
