@@ -219,9 +219,10 @@ def _mined(least: int, longest: int):
     types = (pa.string(), pa.string(), pa.int32(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches)).combine_chunks()
-        if not whole.num_rows:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
             return
+        whole = pa.Table.from_batches(held).combine_chunks()
         columns, spelled = [], []
         for k in range(longest + 1):
             coded = whole.column(k).combine_chunks().dictionary_encode()

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, chat, collocations, decontam, exact, language, minhash, quality, resampling, substring, urls, warc
+from framewright.llm import bpe, chat, collocations, decontam, exact, language, minhash, quality, resampling, substring, toxicity, urls, warc
 from framewright.llm.common import fold_of, table
 from framewright.session import shared_folder
 
@@ -178,6 +178,14 @@ def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(fold_of("doc_id", 3) != 1)
+    score = toxicity.score(docs, toxicity.learn(docs, labels))
+    held = F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False))
+    return docs.select("doc_id", held.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
@@ -244,6 +252,7 @@ QUERIES: dict[str, tuple[Plan, str | None]] = {
     "op8_decontamination": (op8_decontamination, OP8_SQL),
     "op9_chat_windows": (op9_chat_windows, OP9_SQL),
     "op10_byte_bpe": (op10_byte_bpe, None),
+    "op11_toxicity": (op11_toxicity, None),
     "op12_collocations": (op12_collocations, OP12_SQL),
     "op13_resampling": (op13_resampling, OP13_SQL),
 }
