@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many voters, a generative label model of their votes, a linear classifier.
 
 Clues of a word are the word and its beginnings of 4, 5 and 6 letters. Lexicons are mined, not written down: the clues that
-labelled documents of label 1 hold far oftener than others (log-likelihood ratio), split into lexicons by kind and number. A
+labelled documents of label 1 hold far oftener than others (log-likelihood ratio and lift), split into lexicons by kind and number. A
 lexicon votes toxic where a text has one of its clues. Further voters look at patterns of tokens (masked letters, drawn-out
 letters, digits or signs for letters, shouting, heaps of exclamation marks), at several or dense clues, and, for clean, at
 texts without any. Each voter votes one way or abstains.
@@ -15,8 +15,8 @@ A document's posterior label comes from its votes. On at most ``max_labelled`` l
 fitted to posterior labels, over the clues that tell the sides apart; a fifth of them sets its temperature. Documents are
 scored by it alone, so a text is judged by more clues than the lexicons hold.
 
-Scale: lexicons and classifier come from a bounded sample (``max_labelled`` documents of the smallest hashes of their ids, equal
-texts counted once); clues are counted by Spark and only the first ``ENTRIES`` and ``CLUES`` of them reach the driver.
+Scale: lexicons and classifier come from a bounded sample (``max_labelled`` documents of the smallest hashes of their ids; of
+texts with the same least hash of a window of ``WINDOW`` words, most of them near copies, one is taken); clues are counted by Spark and only the first ``ENTRIES`` and ``CLUES`` of them reach the driver.
 Votes are summed in the tasks: a task sends one number for each pair of voters. All texts are read twice, whole.
 
 Defined results: a null or empty text has no clues and scores what the intercept says. Without labels of both kinds every score is
@@ -51,6 +51,8 @@ SHARDS = 4  # lexicons of a kind
 ENTRIES = 4096  # of all lexicons
 CLUES = 8192  # of the classifier
 STRONG = 15.1  # log-likelihood ratio beyond which chance gives one clue in ten thousand
+LIFT = 10  # a lexicon's clues are so many times as frequent under label 1
+WINDOW = 4  # words of the windows by which near copies are known
 MASK, LONG, SIGN, LOUD, SHOUT = (1 << k for k in range(5))
 VOTERS = ([f"lexicon {('word', 'beginning')[size > 0]} {size or ''} {shard}" for size in KINDS for shard in range(SHARDS)]
           + ["two clues", "four clues", "dense clues", "masked", "drawn out", "signs", "storm", "shouting"]
@@ -152,6 +154,22 @@ def _clue_counts(rows: DataFrame, judge, shared) -> DataFrame:
     return found.groupBy("clue").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+@F.arrow_udf(T.LongType())
+def least_window(texts: pa.Array) -> pa.Array:
+    """The least hash of a text's windows; near copies mostly share it."""
+    out = []
+    for text in texts.to_pylist():
+        words = (text or "").split()
+        number = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        size = min(WINDOW, len(words))
+        value = np.zeros(max(len(words) - size + 1, 1), np.uint64)
+        for k in range(size):
+            value = (value ^ number[k : len(words) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            value ^= value >> np.uint64(29)
+        out.append(int(value.min() >> np.uint64(1)))
+    return pa.array(out, pa.int64())
+
+
 def _ratio(pos: float, neg: float) -> Column:
     """``likelihood_ratio`` as a column; both totals are above 0."""
     def term(found, expected):
@@ -272,7 +290,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     # At most max_labelled rows of two numbers: a broadcast of known size.
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     chosen = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    sample = materialise(chosen.groupBy("text").agg(F.max("label").alias("label")), "labelled")
+    first = F.struct(F.xxhash64("text").alias("h"), "text", "label")
+    sample = materialise(chosen.groupBy(least_window(F.col("text")).alias("w")).agg(F.min(first).alias("s")).select("s.text", "s.label"), "labelled")
     counts = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     plain = {"clues": np.zeros(0, np.int64), "weights": np.zeros(0), "intercept": 0.0, "temperature": 1.0, "label_model": None, "entries": []}
@@ -280,7 +299,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         share = min(max(pos / (pos + neg) if pos + neg else 0.5, 1e-6), 1 - 1e-6)
         return plain | {"intercept": math.log(share / (1 - share))}
     nothing = spark.sparkContext.broadcast(None)
-    ratio = _clue_counts(sample, lambda text, label, extra, state: float(label), nothing).select("clue", _ratio(float(pos), float(neg)).alias("g"))
+    ratio = _clue_counts(sample, lambda text, label, extra, state: float(label), nothing)
+    ratio = ratio.where(F.col("pos") * neg >= (F.col("neg") + 0.5) * pos * LIFT).select("clue", _ratio(float(pos), float(neg)).alias("g"))
     entries = [r.clue for r in ratio.where(F.col("g") >= STRONG).orderBy(F.col("g").desc(), "clue").limit(ENTRIES).collect()]
     prior = pos / (pos + neg)
     model = label_model(*vote_sums(docs, entries, text), prior)
