@@ -1,9 +1,10 @@
 """Phrase collocations: suffix pointers, routed by their leading words and sorted by three-way multikey quicksort.
 
 A text is lower-cased (A-Z), cut into pieces at punctuation and line breaks and those into words. Every word but a piece's
-last begins a suffix of at most ``longest`` words. A phrase that occurs ``least`` times holds only words that do, so words are
-counted first and suffixes end before an infrequent word; a Bloom filter of the frequent words, of a bounded size, tells
-them apart (a false positive costs a row, never a result). Equal suffixes of a block of texts travel as one row with a count.
+last begins a suffix of at most ``longest`` words. A phrase that occurs ``least`` times holds only words and pairs of neighbours
+that do, so words are counted first, then pairs of frequent words (by 64-bit hashes: a collision can only add), and suffixes end
+before an infrequent word or pair. Bloom filters of a bounded size tell the frequent ones apart (a false positive costs a
+row, never a result). Equal suffixes of a block of texts travel as one row with a count.
 
 The rows are routed by ranges of (language, first word, second word, ...). A frequent leading word is thus cut at its second,
 third or last word and never fills one task. In a task multikey three-way quicksort partitions suffix pointers by the
@@ -19,7 +20,6 @@ looked at. Ties of score and count go by the phrase in UTF-8 byte order. Without
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,30 +29,27 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import Memo, sized, text_batches
+from framewright.llm.common import sized, text_batches
 from framewright.session import materialise
 
-CUT = re.compile(rb"[.,;:!?\x0A-\x0D]")
-LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else c for c in range(256))  # a tab parts words as a blank does
+# Blanks part words; all marks that end a piece become a word of their own, "." (no word holds one).
+TABLE = bytes(46 if chr(c) in ".,;:!?\n\x0b\f\r" else c + 32 if 65 <= c <= 90 else 32 if c == 9 else c for c in range(256))
+END = b"."
 PART = 1 << 20
 HELD = 1 << 19  # different words counted by a task before they are sent
-BLOCK = 1 << 21  # suffixes combined at once
+BLOCK = 1 << 21  # words combined at once
 TASK_ROWS = 1 << 20  # suffix rows sorted by a task
-MOST_BITS = 1 << 27  # of the Bloom filter: 16 MB
+LEAST_BITS, MOST_BITS = 1 << 18, 1 << 27  # of a Bloom filter: 16 MB at most
 SLICE = 1 << 18
-PROBES = 3
+PROBES = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)
 
 
-def pieces(text: str | None) -> Iterator[list[bytes]]:
-    """The words of each piece of a text that has any; of a long text one part after the other."""
-    raw, at = (text or "").encode("utf-8", "surrogatepass"), 0
+def words_of(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text with END between pieces; a long text in parts that end at a blank or a piece's end."""
+    raw, at = (text or "").encode("utf-8", "surrogatepass").translate(TABLE), 0
     while at < len(raw):
-        found = CUT.search(raw, at + PART)
-        end = found.end() if found else len(raw)
-        for piece in CUT.split(raw[at:end].translate(LOWER)):
-            words = [w for w in piece.split(b" ") if w]
-            if words:
-                yield words
+        end = len(raw) if len(raw) - at <= PART else raw.find(END, at + PART) + 1 or len(raw)
+        yield raw[at:end].replace(END, b" . ").split(b" ")
         at = end
 
 
@@ -61,6 +58,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def sent() -> Iterator[pa.RecordBatch]:
         for lang, words in held.items():
+            words.pop(END, None)
+            words.pop(b"", None)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words), pa.binary()).cast(pa.string()), pa.array(words.values(), pa.int64())],
                                              ["lang", "w", "n"])
         held.clear()
@@ -68,111 +67,158 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own = held.setdefault(lang, Counter())
-            for words in pieces(text):
+            for words in words_of(text):
                 own.update(words)
         if sum(map(len, held.values())) > HELD:
             yield from sent()
     yield from sent()
 
 
-def _probes(lang: bytes, word: bytes, bits: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(lang + b"\n" + word)
-    return [(h >> (40 * k)) % bits for k in range(PROBES)]
+def _hash(lang: bytes, word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(lang + b"\n" + word)
 
 
-def _filter_of(words: DataFrame, bits: int) -> np.ndarray:
-    """The Bloom filter of (lang, w) as bytes of 8 bits, put together slice by slice."""
-    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = [p for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in _probes(lang.encode(), w.encode(), bits)]
-            places = np.unique(np.array(places, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(places // SLICE), pa.array(places % SLICE)], ["slice", "place"])
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of pairs from the hashes of their words."""
+    h = left * PROBES[0] + (right ^ (right >> np.uint64(31))) * PROBES[1]
+    return (h ^ (h >> np.uint64(29))) * PROBES[2]
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            own, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for k in np.unique(own).tolist():
-                held.setdefault(k, np.zeros(SLICE, bool))[place[own == k]] = True
-        for k, flags in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(flags).tobytes()], pa.binary())], ["slice", "bits"])
 
-    out = np.zeros(bits // 8, np.uint8)
-    found = words.select("lang", "w").mapInArrow(set_bits, "slice long, place long").repartition("slice").mapInArrow(merged, "slice long, bits binary")
-    for k, raw in found.collect():  # at most MOST_BITS in all
-        out[k * SLICE // 8 : (k + 1) * SLICE // 8] = np.frombuffer(raw, np.uint8)
-    return out
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_hash(lang.encode(), w.encode("utf-8", "surrogatepass")) for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["h"])
+
+
+def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    h = hashes ^ (hashes >> np.uint64(32))
+    return ((h[:, None] * PROBES) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+
+
+class Bloom:
+    """A Bloom filter of 64-bit hashes, put together slice by slice; what reaches the driver is at most MOST_BITS."""
+
+    def __init__(self, hashes: DataFrame):
+        wanted, bits = 16 * hashes.count(), LEAST_BITS
+        while bits < min(wanted, MOST_BITS):
+            bits *= 2
+
+        def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                places = np.unique(_places(batch.column(0).to_numpy().view(np.uint64), bits))
+                yield pa.RecordBatch.from_arrays([pa.array(places // SLICE), pa.array(places % SLICE)], ["slice", "place"])
+
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                own, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for k in np.unique(own).tolist():
+                    held.setdefault(k, np.zeros(SLICE, bool))[place[own == k]] = True
+            for k, flags in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(flags).tobytes()], pa.binary())], ["slice", "bits"])
+
+        self.bits, self.flags = bits, np.zeros(bits // 8, np.uint8)
+        for k, raw in hashes.mapInArrow(set_bits, "slice long, place long").repartition("slice").mapInArrow(merged, "slice long, bits binary").collect():
+            self.flags[k * SLICE // 8 : (k + 1) * SLICE // 8] = np.frombuffer(raw, np.uint8)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = _places(hashes, self.bits)
+        return ((self.flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
+
+
+class _Numbers(dict):
+    """Word to number, -1 for END and infrequent words; the hashes and spellings of the numbered ones."""
+
+    def __init__(self, lang: str, often: Bloom):
+        super().__init__({END: -1, b"": -2})
+        self.lang, self.often, self.words, self.hashes = lang.encode(), often, [], []
 
+    def __missing__(self, word: bytes) -> int:
+        h = _hash(self.lang, word)
+        if self.often.has(np.array([h], np.uint64))[0]:
+            self.words.append(word)
+            self.hashes.append(h)
+            number = len(self.words) - 1
+        else:
+            number = -1
+        self[word] = number
+        return number
 
-def combined(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Different suffixes of a row of word numbers and their counts; -1 ends a suffix and fills up shorter ones."""
-    padded = np.concatenate((ids, np.full(longest - 1, -1, ids.dtype)))
-    table = np.stack([padded[k : k + len(ids)] for k in range(longest)])
+
+def _blocks(batches: Iterator[pa.RecordBatch], often: Bloom) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[bytes]]]:
+    """(language, word numbers of its texts end to end, hashes by number, words by number), about BLOCK words at a time."""
+    texts: dict[str, list[np.ndarray]] = {}
+    numbers: dict[str, _Numbers] = {}
+    held = 0
+
+    def done() -> Iterator[tuple[str, np.ndarray, np.ndarray, list[bytes]]]:
+        for lang, own in numbers.items():
+            ids = np.concatenate(texts.pop(lang))
+            yield lang, ids[ids > -2], np.array(own.hashes, np.uint64), own.words
+        numbers.clear()
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = numbers.get(lang)
+            if own is None:
+                own = numbers[lang] = _Numbers(lang, often)
+                texts[lang] = []
+            for words in words_of(text):
+                texts[lang].append(np.fromiter(map(own.__getitem__, words), np.int32, len(words)))
+                held += len(words)
+            texts[lang].append(np.full(1, -1, np.int32))
+            if held > BLOCK:
+                yield from done()
+                held = 0
+    yield from done()
+
+
+def _pair_counts(often):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, hashes, _ in _blocks(batches, often.value):
+            both = (ids[:-1] >= 0) & (ids[1:] >= 0)
+            pairs, n = np.unique(ids[:-1][both].astype(np.int64) << 32 | ids[1:][both], return_counts=True)
+            found = _pairs(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF])
+            for at in range(0, len(n), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 16)].view(np.int64)), pa.array(n[at : at + (1 << 16)])], ["pair", "n"])
+
+    return run
+
+
+def combined(ids: np.ndarray, joined: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different suffixes of a row of word numbers and their counts; a suffix goes on where ``joined`` says so, -1 fills up shorter ones."""
+    begins = np.flatnonzero(joined)
+    table, going = [ids[begins]], np.ones(len(begins), bool)
+    more = np.append(joined, np.zeros(longest, bool))
     for k in range(1, longest):
-        table[k][table[k - 1] < 0] = -1
-    table = table[:, (table[0] >= 0) & (table[1] >= 0)]
-    order = np.lexsort(table[::-1])
-    table = table[:, order]
-    if not table.shape[1]:
+        going &= more[begins + k - 1]
+        table.append(np.where(going, ids[np.minimum(begins + k, len(ids) - 1)], -1))
+    table = np.stack(table).astype(np.int64)
+    keys = [table[k] + 1 << 32 | table[k + 1] + 1 for k in range(0, longest - 1, 2)] + ([table[-1]] if longest % 2 else [])
+    order = np.lexsort(keys[::-1])
+    if not len(order):
         return table, np.zeros(0, np.int64)
-    first = np.flatnonzero(np.append(True, (table[:, 1:] != table[:, :-1]).any(0)))
-    return table[:, first], np.diff(np.append(first, table.shape[1]))
+    changed = np.append(True, np.any([key[order][1:] != key[order][:-1] for key in keys], axis=0))
+    first = np.flatnonzero(changed)
+    return table[:, order[first]], np.diff(np.append(first, len(order)))
 
 
-def _suffixes(shared, bits: int, longest: int):
+def _suffixes(often, pairs, longest: int):
     names = ["lang", *(f"w{k}" for k in range(longest)), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = shared.value
-        texts: dict[str, list[np.ndarray]] = {}
-        spelled: dict[str, list[bytes]] = {}
-        numbers: dict[str, Memo] = {}
-        held = 0
-
-        def number(lang: str) -> Memo:
-            own, mark = spelled.setdefault(lang, []), lang.encode()
-
-            def compute(word: bytes) -> int:
-                for p in _probes(mark, word, bits):
-                    if not flags[p >> 3] >> (7 - (p & 7)) & 1:
-                        return -1
-                own.append(word)
-                return len(own) - 1
-
-            return Memo(compute, 1 << 62)  # emptied with its block
-
-        def sent(lang: str) -> Iterator[pa.RecordBatch]:
-            table, n = combined(np.concatenate(texts.pop(lang)), longest)
-            words = pa.array(spelled.pop(lang), pa.binary()).cast(pa.string())
-            del numbers[lang]
+        for lang, ids, hashes, words in _blocks(batches, often.value):
+            both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+            joined = np.zeros(len(ids), bool)
+            different, place = np.unique(ids[both].astype(np.int64) << 32 | ids[both + 1], return_inverse=True)
+            joined[both] = pairs.value.has(_pairs(hashes[different >> 32], hashes[different & 0xFFFFFFFF]))[place]
+            table, n = combined(ids, joined, longest)
+            spelled = pa.array(words, pa.binary()).cast(pa.string())
             for at in range(0, len(n), 1 << 16):
                 part = table[:, at : at + (1 << 16)]
-                columns = [words.take(pa.array(row, mask=row < 0)) for row in part]
+                columns = [spelled.take(pa.array(row, mask=row < 0)) for row in part]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * part.shape[1]), *columns, pa.array(n[at : at + (1 << 16)])], names)
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                memo = numbers.get(lang)
-                if memo is None:
-                    memo = numbers[lang] = number(lang)
-                own = texts.setdefault(lang, [np.full(1, -1, np.int32)])
-                flat: list[int] = []
-                for words in pieces(text):
-                    flat += map(memo.__getitem__, words)
-                    flat.append(-1)
-                    if len(flat) > PART:
-                        own.append(np.array(flat, np.int32))
-                        held += len(flat)
-                        flat = []
-                own.append(np.array(flat, np.int32))
-                held += len(flat)
-                if held > BLOCK:
-                    for done in list(texts):
-                        yield from sent(done)
-                    held = 0
-        for done in list(texts):
-            yield from sent(done)
-
     return run
 
 
@@ -247,13 +293,13 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     words = materialise(rows.mapInArrow(_counted, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     often = words.where(F.col("n") >= least)
-    bits = SLICE
-    while bits < MOST_BITS and bits < 16 * often.count():
-        bits *= 2
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(often, bits))
+    context = docs.sparkSession.sparkContext
+    frequent = context.broadcast(Bloom(often.select("lang", "w").mapInArrow(_hashes, "h long")))
+    pairs = rows.mapInArrow(_pair_counts(frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    joined = context.broadcast(Bloom(materialise(pairs.select("pair"), "pairs")))
     keys = ["lang", *(f"w{k}" for k in range(longest))]
     ddl = ", ".join(f"{k} string" for k in keys) + ", n long"
-    suffixes = materialise(rows.mapInArrow(_suffixes(shared, bits, longest), ddl), "suffixes")
+    suffixes = materialise(rows.mapInArrow(_suffixes(frequent, joined, longest), ddl), "suffixes")
     tasks = max(1, -(-suffixes.count() // TASK_ROWS))
     dealt = suffixes.repartitionByRange(tasks, *keys)
     mined = dealt.mapInArrow(_mined(least, longest), "lang string, phrase string, size int, a long")
