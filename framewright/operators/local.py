@@ -59,50 +59,40 @@ def refined_reference(frames: DataFrame, *, passes: int, max_shift: float) -> Da
     return references
 
 
+def scores_around(planes: np.ndarray, cy: np.ndarray, cx: np.ndarray, sigma: float, smooth: float = C.POINT_QUALITY_SIGMA) -> np.ndarray:
+    """(n, points): Gaussian-weighted squared Laplacian over squared brightness around each point of each plane."""
+    _, h, w = planes.shape
+    soft = K.gaussian(planes, smooth)
+    curve = np.zeros_like(soft)
+    curve[:, 1:-1, 1:-1] = K.laplacian(soft)[:, 1:-1, 1:-1]
+    wy = np.exp(-0.5 * ((np.arange(h) - cy[:, None]) / sigma) ** 2)
+    wx = np.exp(-0.5 * ((np.arange(w) - cx[:, None]) / sigma) ** 2)
+    area = wy.sum(axis=1) * wx.sum(axis=1)
+    around = lambda p: np.einsum("py,nyx,px->np", wy, p, wx, optimize=True) / area
+    return around(curve**2) / np.maximum(around(soft) ** 2, 1e-30)
+
+
 def local_scores(frames: DataFrame, centres: list[tuple[int, int]], sigma: float, smooth: float = C.POINT_QUALITY_SIGMA) -> DataFrame:
-    """(capture, frame, point, score): Gaussian-weighted squared Laplacian over squared brightness around each point."""
+    """(capture, frame, point, score) of fixed points."""
     cy, cx = (np.array([c[i] for c in centres], dtype=float) for i in (0, 1))
-
-    def kernel(planes: np.ndarray) -> np.ndarray:
-        _, h, w = planes.shape
-        soft = K.gaussian(planes, smooth)
-        curve = np.zeros_like(soft)
-        curve[:, 1:-1, 1:-1] = K.laplacian(soft)[:, 1:-1, 1:-1]
-        wy = np.exp(-0.5 * ((np.arange(h) - cy[:, None]) / sigma) ** 2)
-        wx = np.exp(-0.5 * ((np.arange(w) - cx[:, None]) / sigma) ** 2)
-        area = wy.sum(axis=1) * wx.sum(axis=1)
-        around = lambda p: np.einsum("py,nyx,px->np", wy, p, wx, optimize=True) / area
-        return around(curve**2) / np.maximum(around(soft) ** 2, 1e-30)
-
-    scores = FR.frame_plane(kernel)(*FR.FRAME)
+    scores = FR.frame_plane(lambda planes: scores_around(planes, cy, cx, sigma, smooth))(*FR.FRAME)
     return frames.select(KEY, "frame_index", F.posexplode(scores).alias("point", "score"))
 
 
-def blended_weights(height: int, width: int, centres: list[tuple[int, int]], spacing: float):
-    """UDF (chosen points, globally chosen) -> per-pixel weight plane.
+class Footprints:
+    """Gaussian footprints of points: where their cover is thin, the capture-wide choice fills in."""
 
-    Points spread their choice with Gaussian footprints; where their cover is thin
-    the capture-wide choice fills in.
-    """
-    cy, cx = (np.array([c[i] for c in centres], dtype=float) for i in (0, 1))
-    sigma = 0.6 * spacing
-    wy = np.exp(-0.5 * ((np.arange(height) - cy[:, None]) / sigma) ** 2)
-    wx = np.exp(-0.5 * ((np.arange(width) - cx[:, None]) / sigma) ** 2)
-    total = wy.T @ wx
-    cover = np.minimum(total / 0.5, 1.0)
-    scale = cover / np.maximum(total, 1e-12)
-
-    @F.arrow_udf("array<double>")
-    def run(points: pa.Array, selected: pa.Array) -> pa.Array:
-        planes = []
-        for chosen, everywhere in zip(points.to_pylist(), selected.to_pylist()):
-            mask = np.zeros(len(cy))
-            mask[np.asarray(chosen or [], dtype=int)] = 1.0
-            planes.append((wy.T * mask) @ wx * scale + (1 - cover) * float(bool(everywhere)))
-        offsets = np.arange(len(planes) + 1, dtype=np.int32) * (height * width)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([p.ravel() for p in planes]) if planes else np.zeros(0)))
-
-    return run
+    def __init__(self, height: int, width: int, cy: np.ndarray, cx: np.ndarray, spacing: float):
+        sigma = 0.6 * spacing
+        self.wy = np.exp(-0.5 * ((np.arange(height) - cy[:, None]) / sigma) ** 2)
+        self.wx = np.exp(-0.5 * ((np.arange(width) - cx[:, None]) / sigma) ** 2)
+        total = self.wy.T @ self.wx
+        self.cover = np.minimum(total / 0.5, 1.0)
+        self.scale = self.cover / np.maximum(total, 1e-12)
+
+    def weights(self, chosen: np.ndarray, everywhere: bool) -> np.ndarray:
+        """Weight of every pixel of a frame that some points chose."""
+        return (self.wy.T * chosen) @ self.wx * self.scale + (1 - self.cover) * float(everywhere)
 
 
 def data_residual(frames: DataFrame, keys: Sequence[str]) -> DataFrame:

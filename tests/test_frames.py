@@ -127,11 +127,10 @@ def test_wiener_recovers_a_blurred_scene(spark):
     assert np.linalg.norm(got - truth) / np.linalg.norm(truth) < 0.02
 
 
-def test_blended_weights_sum_local_and_global(spark):
-    udf = LO.blended_weights(20, 20, [(5, 5), (14, 14)], 8.0)
-    rows = spark.createDataFrame([([0, 1], True), ([], False), ([0], False)], "p array<int>, g boolean").select(udf("p", "g").alias("w")).collect()
-    assert np.allclose(rows[0].w, 1.0) and np.allclose(rows[1].w, 0.0)
-    plane = np.array(rows[2].w).reshape(20, 20)
+def test_footprints_blend_local_and_global():
+    near = LO.Footprints(20, 20, np.array([5.0, 14.0]), np.array([5.0, 14.0]), 8.0)
+    assert np.allclose(near.weights(np.array([1.0, 1.0]), True), 1.0) and np.allclose(near.weights(np.zeros(2), False), 0.0)
+    plane = near.weights(np.array([1.0, 0.0]), False)
     assert plane[5, 5] > 0.9 and plane[14, 14] < 0.1
 
 
