@@ -18,6 +18,7 @@ from framewright.functions import kernels as K
 from framewright.functions.numeric import finite
 from framewright.operators import frames as FR
 from framewright.operators import stacking as ST
+from framewright.operators.ordering import rank_rows
 from framewright.session import materialise
 
 KEY = "capture_id"
@@ -95,6 +96,37 @@ class Footprints:
         return (self.wy.T * chosen) @ self.wx * self.scale + (1 - self.cover) * float(everywhere)
 
 
+def blended_stack(frames: DataFrame, centres: list[tuple[int, int]], height: int, width: int, *, sigma: float, spacing: float, count: int, weight: Column) -> DataFrame:
+    """Weighted sums in which every point takes its own best ``count`` frames and the capture's ``selected`` ones fill the rest.
+
+    What goes back to the frames is one score and one index for a point, those of the last frame it takes.
+    """
+    cy, cx = (np.array([c[i] for c in centres], dtype=float) for i in (0, 1))
+    near = Footprints(height, width, cy, cx, spacing)
+    scored = frames.withColumn("_s", FR.frame_plane(lambda planes: scores_around(planes, cy, cx, sigma))(*FR.FRAME))
+    rows = materialise(scored.select(KEY, "frame_index", F.posexplode("_s").alias("point", "score")), "point-scores")
+    last = rank_rows(rows, [KEY, "point"], "score", "frame_index", name="place", descending=True).where(F.col("place") == count)
+    cuts = last.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("point", "score", "frame_index"))).alias("_cuts"))
+    ready = scored.join(materialise(cuts, "point-cuts"), KEY, "left")
+
+    @F.arrow_udf("array<double>")
+    def planes(pixels: pa.Array, frame: pa.Array, everywhere: pa.Array, scores: pa.Array, point: pa.Array, score: pa.Array, index: pa.Array) -> pa.Array:
+        values, bounds = FR._flat(pixels)
+        out = []
+        for k, (f, e, mine, *cuts) in enumerate(zip(*(c.to_pylist() for c in (frame, everywhere, scores, point, score, index)))):
+            last, until = np.full(len(cy), -np.inf), np.full(len(cy), np.iinfo(np.int64).max)
+            if cuts[0]:
+                last[cuts[0]], until[cuts[0]] = cuts[1], cuts[2]
+            mine = np.array(mine)
+            share = near.weights(((mine > last) | ((mine == last) & (f <= until))).astype(float), bool(e)).ravel()
+            out.append(np.concatenate((share * values[bounds[k] : bounds[k + 1]], share)))
+        return FR._lists(out)
+
+    both = planes(F.col("pixels"), F.col("frame_index"), F.coalesce("selected", F.lit(False)), F.col("_s"), F.col("_cuts.point"), F.col("_cuts.score"), F.col("_cuts.frame_index"))
+    size = height * width
+    return ST.stack(ready.withColumn("_both", both), [KEY], F.slice("_both", 1, size), weight, F.slice("_both", size + 1, size))
+
+
 def data_residual(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Noise-weighted mean squared misfit of H O against I, summed inside each row first."""
     cell = F.arrays_zip("h_re", "h_im", "o_re", "o_im", "i_re", "i_im")

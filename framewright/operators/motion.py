@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -423,3 +423,41 @@ def checked(record: DataFrame) -> DataFrame:
     if lost:
         raise ValueError(f"motion of capture {lost[0][KEY]} cannot be followed: the shared pixels do not fix the drift of frame {lost[0].first}")
     return record
+
+
+def carried_places(scene: M.Scene, x: Column, y: Column, t: Column, angle: Column, centre: tuple[float, float], ref: M.Pose) -> Column:
+    """STRUCT<x, y, valid, gain> of rows of rays: where their light is at ``ref``."""
+    @F.arrow_udf("x double, y double, valid boolean, gain double")
+    def run(x: pa.Array, y: pa.Array, t: pa.Array, angle: pa.Array) -> pa.Array:
+        at = [v.to_numpy(zero_copy_only=False).astype(float) for v in (x, y, t, angle)]
+        found = M.carried(scene, at[0], at[1], M.Pose(at[2], at[3], *centre), ref)
+        return pa.StructArray.from_arrays([pa.array(np.broadcast_to(v, at[0].shape)) for v in found], names=["x", "y", "valid", "gain"])
+
+    return run(x, y, t, angle)
+
+
+def exposure_error(scene: M.Scene, start: M.Pose, ref: M.Pose, exposure_s: float, field_rate: float) -> Column:
+    """How far the frame columns, taken for the scene at ``ref``, smear during an exposure: relative L2 against the frozen middle."""
+    return FR.frame_value(lambda planes: np.array([M.mid_exposure_error(p, scene, start, ref, exposure_s, field_rate) for p in planes]))(*FR.FRAME)
+
+
+def guarded_inverse(ux: Column, uy: Column, height: int, width: int) -> Column:
+    """STRUCT<x, y, residual, least_jacobian> of a field in two array columns; x and y are those of the pixels where it cannot be trusted."""
+    @F.arrow_udf("x array<double>, y array<double>, residual double, least_jacobian double")
+    def run(ux: pa.Array, uy: pa.Array) -> pa.Array:
+        fields = [v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), height, width) for v in (ux, uy)]
+        jacobian = M.least_jacobian(*fields)
+        folded = (jacobian < M.LEAST_JACOBIAN)[:, None, None]
+        qx, qy, residual = M.inverse_field(*(np.where(folded, 0.0, f) for f in fields))
+        return pa.StructArray.from_arrays([FR._lists(list(qx)), FR._lists(list(qy)), pa.array(residual), pa.array(jacobian)], names=["x", "y", "residual", "least_jacobian"])
+
+    return run(ux, uy)
+
+
+VIEW_DEPENDENT = ("latitude", "rate", "field_rate", "pole")
+
+
+def without_assumed_view(estimates: DataFrame, assumed: Column) -> DataFrame:
+    """Estimates of ringed captures without what depends on a latitude that was only assumed: an assumed view says nothing of the rings."""
+    drop = F.coalesce(assumed, F.lit(False)) & F.col("latitude").isNotNull()
+    return estimates.withColumns({**{c: F.when(~drop, F.col(c)) for c in VIEW_DEPENDENT}, "status": F.when(drop, "unresolved").otherwise(F.col("status"))})

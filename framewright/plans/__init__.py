@@ -6,7 +6,7 @@ import importlib
 
 from framewright.plans.registry import QUERIES, Query
 
-AREAS = ("screening", "frames", "fourier", "evaluation", "timing", "geometry", "records", "relations")
+AREAS = ("screening", "frames", "fourier", "evaluation", "timing", "geometry", "motion", "records", "relations")
 
 
 def catalogue() -> dict[str, Query]:
