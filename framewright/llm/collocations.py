@@ -20,8 +20,9 @@ looked at. Ties of score and count go by the phrase in UTF-8 byte order. Without
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +75,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sent()
 
 
-def _hash(lang: bytes, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(lang + b"\n" + word)
+def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed, digest = xxhash.xxh32_intdigest(lang.encode()), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
 
 
 def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -84,10 +86,13 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * PROBES[2]
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_hash(lang.encode(), w.encode("utf-8", "surrogatepass")) for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["h"])
+        words: dict[str, list[bytes]] = {}
+        for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words.setdefault(lang, []).append(w.encode("utf-8", "surrogatepass"))
+        found = np.concatenate([np.zeros(0, np.uint64), *(_hashes(*own) for own in words.items())])
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
 
 
 def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -126,47 +131,37 @@ class Bloom:
         return ((self.flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
 
 
-class _Numbers(dict):
-    """Word to number, -1 for END and infrequent words; the hashes and spellings of the numbered ones."""
-
-    def __init__(self, lang: str, often: Bloom):
-        super().__init__({END: -1, b"": -2})
-        self.lang, self.often, self.words, self.hashes = lang.encode(), often, [], []
-
-    def __missing__(self, word: bytes) -> int:
-        h = _hash(self.lang, word)
-        if self.often.has(np.array([h], np.uint64))[0]:
-            self.words.append(word)
-            self.hashes.append(h)
-            number = len(self.words) - 1
-        else:
-            number = -1
-        self[word] = number
-        return number
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], often: Bloom) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[bytes]]]:
-    """(language, word numbers of its texts end to end, hashes by number, words by number), about BLOCK words at a time."""
+    """(language, word numbers of its texts end to end, hashes by number, words by number), about BLOCK words at a time.
+
+    Infrequent words and the ends of pieces are -1.
+    """
     texts: dict[str, list[np.ndarray]] = {}
-    numbers: dict[str, _Numbers] = {}
+    numbers: dict[str, defaultdict] = {}
     held = 0
 
     def done() -> Iterator[tuple[str, np.ndarray, np.ndarray, list[bytes]]]:
         for lang, own in numbers.items():
-            ids = np.concatenate(texts.pop(lang))
-            yield lang, ids[ids > -2], np.array(own.hashes, np.uint64), own.words
+            words = list(own)
+            hashes = _hashes(lang, words)
+            place = np.where(often.has(hashes), np.arange(len(words)), -1).astype(np.int32)
+            place[0], place[1] = -1, -2  # the end of a piece; nothing between two blanks
+            ids = place[np.concatenate(texts.pop(lang))]
+            yield lang, ids[ids > -2], hashes, words
         numbers.clear()
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own = numbers.get(lang)
             if own is None:
-                own = numbers[lang] = _Numbers(lang, often)
+                own = numbers[lang] = defaultdict(count().__next__)
                 texts[lang] = []
+                for mark in (END, b""):  # numbers 0 and 1
+                    own[mark]
             for words in words_of(text):
                 texts[lang].append(np.fromiter(map(own.__getitem__, words), np.int32, len(words)))
                 held += len(words)
-            texts[lang].append(np.full(1, -1, np.int32))
+            texts[lang].append(np.zeros(1, np.int32))
             if held > BLOCK:
                 yield from done()
                 held = 0
@@ -228,16 +223,16 @@ def quicksorted(table: np.ndarray, n: np.ndarray, least: int) -> Iterator[tuple[
     ``table`` has a column for each suffix: its language, then its words in numbers that are ordered as they are, -1 behind
     its end. Phrases lighter than ``least`` are left out, unless they begin the first or the last suffix.
     """
-    depths, count = table.shape
-    if not count:
+    depths, total = table.shape
+    if not total:
         return
-    edges = np.zeros(count, bool)
+    edges = np.zeros(total, bool)
     for pick in (np.min, np.max):
-        ends = np.arange(count)
+        ends = np.arange(total)
         for row in table:
             ends = ends[row[ends] == pick(row[ends])]
         edges[ends] = True
-    stack = [(np.arange(count), 0)]
+    stack = [(np.arange(total), 0)]
     while stack:
         pointers, depth = stack.pop()
         if n[pointers].sum() < least and not edges[pointers].any():
@@ -294,7 +289,7 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     often = words.where(F.col("n") >= least)
     context = docs.sparkSession.sparkContext
-    frequent = context.broadcast(Bloom(often.select("lang", "w").mapInArrow(_hashes, "h long")))
+    frequent = context.broadcast(Bloom(often.select("lang", "w").mapInArrow(_word_hashes, "h long")))
     pairs = rows.mapInArrow(_pair_counts(frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     joined = context.broadcast(Bloom(materialise(pairs.select("pair"), "pairs")))
     keys = ["lang", *(f"w{k}" for k in range(longest))]
