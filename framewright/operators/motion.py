@@ -50,7 +50,7 @@ FLUSH_BYTES = 128 << 20
 LEAST_TEMPLATE_FRAMES = 4
 # Facts of a capture, their types and what they are where nobody says so.
 FACTS = {
-    "mode": ("string", "none"), "radius": ("double", None), "flattening": ("double", 0.0), "pole": ("double", 0.0), "latitude": ("double", 0.0),
+    "mode": ("string", "none"), "pattern": ("string", "mono"), "start_ticks": ("long", None), "cadence_s": ("double", None), "radius": ("double", None), "flattening": ("double", 0.0), "pole": ("double", 0.0), "latitude": ("double", 0.0),
     "rate": ("double", 0.0), "inner": ("double", None), "outer": ("double", None), "cx": ("double", None), "cy": ("double", None),
     "angle0": ("double", 0.0), "field_rate": ("double", 0.0), "epoch_s": ("double", 0.0), "exposure_s": ("double", 0.0), "limb_power": ("double", 0.0)}
 OUT = T.StructType([T.StructField("frame_index", T.LongType()), T.StructField("tile", T.IntegerType()), T.StructField("status", T.StringType()),
@@ -79,7 +79,7 @@ def views(captures: DataFrame, **facts) -> DataFrame:
 class Known:
     """What a task knows of a capture: its view, its reference frame, and what earlier passes found."""
 
-    def __init__(self, facts: dict, plane: np.ndarray, anchor_index: int, anchor_t: float):
+    def __init__(self, facts: dict, plane: np.ndarray, anchor_index: int):
         self.facts, self.plane, self.anchor_index = facts, plane, anchor_index
         mode, h, w = facts["mode"], *plane.shape
         if mode not in MODES:
@@ -98,9 +98,24 @@ class Known:
             rings = Rings(facts["inner"], facts["outer"])
         self.scene = M.Scene(globe, rings, field=mode in ("field", "combined", "saturn"), limb_power=facts["limb_power"])
         self.reference = M.Pose(facts["epoch_s"], facts["angle0"], self.cx, self.cy)
-        self.anchor = self.pose(anchor_t)
         self.template = self.support = self.points = self.cuts = None
 
+    def anchored(self, t: float | None, capture) -> None:
+        """Take the pose of the reference frame."""
+        moves = self.mode != "none" and (self.facts["rate"] or self.facts["field_rate"])
+        if (t is None and moves) or not np.isfinite(self.plane).all():
+            raise ValueError(f"the reference frame of {capture} is not usable: it needs finite samples and, for motion, a time")
+        self.anchor = self.pose(0.0 if t is None else t)
+
+    def time(self, frame: int, t: float | None, ticks: int | None) -> float | None:
+        """Seconds of a frame: as given, from its recorded ticks (subtracted as integers), or from a stated cadence."""
+        f = self.facts
+        if t is None and ticks is not None and f["start_ticks"] is not None:
+            t = (ticks - f["start_ticks"]) / C.TICKS_PER_SECOND
+        if t is None and f["cadence_s"] is not None:
+            t = frame * f["cadence_s"]
+        return t
+
     def pose(self, t: float) -> M.Pose:
         f = self.facts
         t = t + f["exposure_s"] / 2
@@ -210,7 +225,7 @@ def _channels(raw: np.ndarray, pattern: str) -> tuple[np.ndarray, np.ndarray | N
     return raw[None], None, raw
 
 
-def _pass(kind: str, shared, pattern: str, schema: pa.Schema, *, max_shift: float, weighted: bool, track: bool, local: Local | None):
+def _pass(kind: str, shared, schema: pa.Schema, *, max_shift: float, weighted: bool, track: bool, local: Local | None):
     """``stack``: sums at the output epoch; ``template``: sums in the reference frame's geometry; ``scores``: one row a frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +241,14 @@ def _pass(kind: str, shared, pattern: str, schema: pa.Schema, *, max_shift: floa
                     yield rows_of([(capture, None, k, None, total[at : at + TILE], cover[at : at + TILE])])
             sums.clear()
 
-        def frame(capture, index: int, raw: np.ndarray, t, quality, selected) -> tuple:
+        def frame(capture, index: int, raw: np.ndarray, t, ticks, quality, selected) -> tuple:
             known: Known = shared.value[capture]
+            t = known.time(index, t, ticks)
+            if t is None and not (known.facts["rate"] or known.facts["field_rate"]):
+                t = 0.0
             if t is None or quality is None or not np.isfinite([t, quality]).all() or not np.isfinite(raw).all():
                 return "not_finite", None, None
-            planes, own, plane = _channels(raw, pattern)
+            planes, own, plane = _channels(raw, known.facts["pattern"])
             if plane.shape != known.plane.shape:
                 raise ValueError(f"frame {index} of {capture} is {plane.shape}, its reference {known.plane.shape}")
             pose = known.pose(t)
@@ -274,11 +292,11 @@ def _pass(kind: str, shared, pattern: str, schema: pa.Schema, *, max_shift: floa
                 continue
             column = {n: batch.column(n) for n in batch.schema.names}
             captures, indices = column[KEY].to_pylist(), column["frame_index"].to_pylist()
-            times, qualities, picked = (column[n].to_pylist() for n in ("t_s", "quality", "selected"))
+            rest = [column[n].to_pylist() for n in ("t_s", "ts_ticks", "quality", "selected")]
             records = []
             for rows, block in FR.planes_by_shape(column["pixels"], column["height"], column["width"]):
                 for k, r in enumerate(rows.tolist()):
-                    records.append((captures[r], indices[r], -1, *frame(captures[r], indices[r], block[k], times[r], qualities[r], picked[r])))
+                    records.append((captures[r], indices[r], -1, *frame(captures[r], indices[r], block[k], *(c[r] for c in rest))))
             yield rows_of(records)
             held = sum(16 * len(total) for total, _ in sums.values())
             if held > FLUSH_BYTES:
@@ -334,17 +352,20 @@ def _last_taken(scores: DataFrame, wanted: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(wanted), KEY).where(F.col("place") == F.col("wanted")).select(KEY, "point", "score", "frame_index")
 
 
-def moving_stack(frames: DataFrame, facts: DataFrame, anchors: DataFrame, *, pattern: str = "mono", max_shift: float = 32.0, quality_weighting: bool = True,
-                 track: bool = True, local: Local | None = None, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
+def moving_stack(frames: DataFrame, facts: DataFrame, anchors: DataFrame, *, max_shift: float = 32.0, quality_weighting: bool = True, track: bool = True,
+                 reference_passes: int = 0, local: Local | None = None, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
     """Pixel sums (capture, pos, sum_wv, sum_w) at each capture's output epoch, and what became of each frame.
 
-    ``frames``: capture_id, frame_index, pixels, height, width, t_s, quality and, where points rank more frames than the capture
-    itself takes, ``selected``. ``facts`` comes from ``views``; ``anchors`` (capture_id, frame_index) names the reference frames.
-    Positions run over the channels one after the other (one, or red, green, blue).
+    ``frames``: capture_id, frame_index, pixels, height, width, quality, a time (``t_s``, or ``ts_ticks`` with the fact
+    ``start_ticks``, or the fact ``cadence_s``) and, where points rank more frames than the capture itself takes, ``selected``.
+    ``facts`` comes from ``views``; ``anchors`` (capture_id, frame_index) names the reference frames, which ``reference_passes``
+    passes replace by the mean of all frames in their geometry. Positions run over the channels one after the other (one, or
+    red, green, blue).
     """
-    if "selected" not in frames.columns:
-        frames = frames.withColumn("selected", F.lit(True))
-    frames = frames.select(KEY, "frame_index", "pixels", "height", "width", "t_s", "quality", F.coalesce("selected", F.lit(False)).alias("selected"))
+    usual = {"selected": F.lit(True), "t_s": F.lit(None).cast("double"), "ts_ticks": F.lit(None).cast("long")}
+    frames = frames.withColumns({c: v for c, v in usual.items() if c not in frames.columns})
+    frames = frames.select(KEY, "frame_index", "pixels", "height", "width", F.col("t_s").cast("double").alias("t_s"), F.col("ts_ticks").cast("long").alias("ts_ticks"),
+                           F.col("quality").cast("double").alias("quality"), F.coalesce("selected", F.lit(False)).alias("selected"))
     spark = frames.sparkSession
     schema = T.StructType([frames.schema[KEY], *OUT.fields])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -363,20 +384,27 @@ def moving_stack(frames: DataFrame, facts: DataFrame, anchors: DataFrame, *, pat
             for rows, block in FR.planes_by_shape(batch.column("pixels"), batch.column("height"), batch.column("width")):
                 for k, r in enumerate(rows.tolist()):
                     record = records[r]
-                    if record["t_s"] is None or not np.isfinite(block[k]).all():
-                        raise ValueError(f"the reference frame of {record[KEY]} is not usable")
-                    known[record[KEY]] = Known({c: record[c] for c in FACTS}, _channels(block[k], pattern)[2], record["frame_index"], record["t_s"])
+                    own_facts = {c: record[c] for c in FACTS}
+                    own = Known(own_facts, _channels(block[k], own_facts["pattern"])[2], record["frame_index"])
+                    own.anchored(own.time(record["frame_index"], record["t_s"], record["ts_ticks"]), record[KEY])
+                    known[record[KEY]] = own
         missing = mine.select(KEY).distinct().count() - len(known)
         if missing:
             raise ValueError(f"{missing} captures have no reference frame or no facts")
 
         def passed(kind: str, rows: DataFrame) -> DataFrame:
             shared = spark.sparkContext.broadcast(known)  # noqa: B023
-            work = _pass(kind, shared, pattern, arrow, max_shift=max_shift, weighted=quality_weighting, track=track, local=local)
+            work = _pass(kind, shared, arrow, max_shift=max_shift, weighted=quality_weighting, track=track, local=local)
             done = materialise(rows.mapInArrow(work, schema), kind)
             shared.destroy()
             return done
 
+        for _ in range(reference_passes):
+            planes = _planes_of(merged(passed("template", mine.where("selected"))))
+            for capture, (total, cover) in planes.items():
+                k = known[capture]
+                total, cover = total.reshape(k.plane.shape), cover.reshape(k.plane.shape)
+                k.plane = np.where(cover > 1e-12, total / np.maximum(cover, 1e-12), k.plane)
         if local is not None:
             best = ordering.rank_rows(mine.where("quality is not null").select(KEY, "frame_index", "quality"), [KEY], "quality", "frame_index", name="place", descending=True)
             last = best.where(F.col("place") == local.template_frames).select(KEY, F.col("quality").alias("_q"), F.col("frame_index").alias("_i"))

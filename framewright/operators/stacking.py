@@ -136,14 +136,15 @@ def layer_coverage(pixels: DataFrame, keys: Sequence[str], layers: dict[str, Col
     return pixels.groupBy(*keys).agg(*[F.sum(F.when(flag, weight).otherwise(F.lit(0.0))).alias(n) for n, flag in layers.items()])
 
 
-def brightness(normalised: DataFrame, keys: Sequence[str], percent: float, full_scale: float) -> DataFrame:
-    """One gain per key that maps the supported peak to a percentage of full scale."""
+def brightness(normalised: DataFrame, keys: Sequence[str], percent: float, full_scale: float | Column) -> DataFrame:
+    """One gain per key that maps the supported peak to a percentage of full scale (one for all, or a column of the key's rows)."""
     keys = list(keys)
     usable = F.col("valid") & ~F.isnan("value")
     peaks = normalised.groupBy(*keys).agg(
-        F.greatest(F.coalesce(F.max(F.when(usable, F.col("value"))), F.lit(0.0)), F.lit(0.0)).alias("peak"))
-    target = F.lit(full_scale * percent / 100.0)
-    gains = peaks.withColumn("gain", F.when(F.col("peak") > 0, target / F.col("peak")).otherwise(F.lit(1.0)))
+        F.greatest(F.coalesce(F.max(F.when(usable, F.col("value"))), F.lit(0.0)), F.lit(0.0)).alias("peak"),
+        F.max(F.lit(full_scale) if not isinstance(full_scale, Column) else full_scale).alias("full"))
+    gain = F.when(F.col("peak") > 0, F.col("full") * percent / 100.0 / F.col("peak")).otherwise(F.lit(1.0))
+    gains = peaks.select(*keys, gain.alias("gain"), "peak")
     return normalised.join(gains, keys).withColumn("value", F.col("value") * F.col("gain"))
 
 

@@ -24,8 +24,10 @@ def register(spark: SparkSession) -> None:
 
 
 def open_capture(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Frames of a capture, the format chosen by the file suffix."""
+    """Frames of a capture, the format chosen by the file suffix; a folder is read as the SER captures in it."""
     suffix = os.path.splitext(path)[1].lower()
+    if not suffix and os.path.isdir(path) and any(n.lower().endswith(".ser") for n in os.listdir(path)):
+        suffix = ".ser"
     if suffix not in FORMATS:
         raise ValueError(f"no reader for {suffix or 'a file without a suffix'}; known: {', '.join(FORMATS)}")
     register(spark)

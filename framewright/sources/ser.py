@@ -229,6 +229,55 @@ class SerReader(DataSourceReader):
         return partition.capture.read(partition.first, partition.stop, self.options.get("pixels", "true") != "false")
 
 
+CHUNK_FRAMES = 64
+CHUNKS = "path string, frame_indices array<bigint>, quality array<double>, selected array<boolean>"
+PICKED = SCHEMA + ", quality double, selected boolean"
+
+
+def chunks_of(wanted: DataFrame, path: str, step: int = CHUNK_FRAMES) -> DataFrame:
+    """Rows (capture_id, frame_index, quality, selected) as lists of up to ``step`` neighbouring frames to read.
+
+    ``path`` is the file, or the folder in which captures have the names of their files.
+    """
+    place = F.concat(F.lit(path.rstrip("/") + "/"), F.col("capture_id")) if os.path.isdir(path) else F.lit(path)
+    frame = F.struct("frame_index", "quality", "selected")
+    found = wanted.groupBy("capture_id", F.floor(F.col("frame_index") / step).alias("chunk")).agg(F.array_sort(F.collect_list(frame)).alias("f"))
+    return found.select(place.alias("path"), F.col("f.frame_index").alias("frame_indices"), F.col("f.quality").alias("quality"), F.col("f.selected").alias("selected"))
+
+
+def whole_chunks(spark: SparkSession, path: str, step: int, **options: str) -> DataFrame:
+    """Lists of all frames of one capture or of those of a folder."""
+    options = {k.lower(): v for k, v in options.items()}
+    found = [(p, Capture.open(p, options).frames) for p in _paths({"path": path})]
+    starts = spark.createDataFrame(found, "path string, frames bigint").where("frames > 0")
+    begin = starts.select("path", "frames", F.explode(F.sequence(F.lit(0), F.col("frames") - 1, F.lit(step))).alias("first"))
+    indices = F.sequence(F.col("first"), F.least(F.col("first") + step, F.col("frames")) - 1)
+    return begin.select("path", indices.alias("frame_indices"), F.transform(indices, lambda _: F.lit(1.0)).alias("quality"),
+                        F.transform(indices, lambda _: F.lit(True)).alias("selected"))
+
+
+def read_chunks(chunks: DataFrame, **options: str) -> DataFrame:
+    """The frames named by rows of ``CHUNKS``, read where the rows are, with their quality and choice; no other frame is read."""
+    options = {k.lower(): v for k, v in options.items()}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                capture = Capture.open(row["path"], options)
+                indices = np.array(row["frame_indices"], dtype=np.int64)
+                if len(indices) and not 0 <= indices.min() <= indices.max() < capture.frames:
+                    raise ValueError(f"{row['path']} has {capture.frames} frames; frames {indices.min()} to {indices.max()} were asked for")
+                for run in np.split(np.arange(len(indices)), np.flatnonzero(np.diff(indices) != 1) + 1):
+                    at = 0
+                    for part in capture.read(int(indices[run[0]]), int(indices[run[-1]]) + 1, True) if len(run) else ():
+                        mine = run[at : at + part.num_rows]
+                        at += part.num_rows
+                        extra = [pa.array([row[c][k] for k in mine], t) for c, t in (("quality", pa.float64()), ("selected", pa.bool_()))]
+                        yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, "quality", "selected"])
+
+    return chunks.select("path", "frame_indices", "quality", "selected").mapInArrow(read, PICKED)
+
+
 class SerStreamReader(DataSourceStreamReader):
     """Frames of one capture or of all captures of a folder; the offset is the next frame of each file.
 

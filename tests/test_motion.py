@@ -106,7 +106,8 @@ def test_field_rotation_and_colours(spark):
     assert np.abs(image(mono, (size, size)) - scene)[inner].mean() < 300 < np.abs(turned(4.0) - scene)[inner].mean()
     # A site pattern puts each sample on its own colour only; without motion nothing leaks to another.
     raw = frames.withColumn("t_s", F.lit(0.0))
-    pixels, _ = MO.moving_stack(raw, facts, anchored(raw), pattern="RGGB", track=False)
+    sites = MO.views(frames.select("capture_id").distinct(), mode="field", radius=34.0, cx=40.0, cy=40.0, pattern="RGGB")
+    pixels, _ = MO.moving_stack(raw, sites, anchored(raw), track=False)
     cover = image(pixels.withColumn("sum_wv", F.col("sum_w") * F.col("sum_w")), (3, size, size))
     sites = K.site_colours(size, size, "RGGB")
     assert all(np.array_equal(cover[c] > 0, sites == c) for c in range(3))
