@@ -61,7 +61,7 @@ def gate_eligible(flags: Sequence[Column], energy_error: Column, modes: Column,
 
 
 def classify_gaps(rows: DataFrame, keys: Sequence[str], gap: str = "g", pathological: str = "pathological",
-                  *, target_rows: int | None = None) -> DataFrame:
+                  *, partitions: int | None = None) -> DataFrame:
     """One class per group. Non-finite gaps leave the statistics but not the pathological share."""
     keys = list(keys)
     g = finite_or_null(F.col(gap))
@@ -69,7 +69,7 @@ def classify_gaps(rows: DataFrame, keys: Sequence[str], gap: str = "g", patholog
     counted = rows.groupBy(*keys).agg(
         F.count(g).alias("n"), F.min(g).alias("worst"), share(g > 0).alias("frac_gt0"),
         share(g >= C.STRONG_MEDIAN).alias("frac_ge10"), F.avg(F.col(pathological).cast("double")).alias("_pathological"))
-    spread = quantiles(rows.withColumn("_g", g), keys, "_g", {"median": 0.5, "p16": 0.16, "p84": 0.84}, target_rows=target_rows)
+    spread = quantiles(rows.withColumn("_g", g), keys, "_g", {"median": 0.5, "p16": 0.16, "p84": 0.84}, partitions=partitions)
     out = counted.join(spread, keys, "left").withColumn(
         "pathological_frac", F.when(F.col("n") > 0, F.col("_pathological"))).drop("_pathological")
     high = (F.col("median") >= C.STRONG_MEDIAN) & (F.col("frac_gt0") >= C.STRONG_POSITIVE_FRACTION)
@@ -85,7 +85,7 @@ def qualitative(label: Column) -> Column:
 
 
 def closure_summary(rows: DataFrame, keys: Sequence[str], seeds: DataFrame, regimes: DataFrame,
-                    *, target_rows: int | None = None) -> DataFrame:
+                    *, partitions: int | None = None) -> DataFrame:
     """Closure statistics per regime, and whether the family is complete, valid and passes.
 
     ``seeds(seed)`` and ``regimes(regime)`` are the exact expected sets; they are
@@ -96,7 +96,7 @@ def closure_summary(rows: DataFrame, keys: Sequence[str], seeds: DataFrame, regi
     counted = trials.groupBy(regime).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("c").alias("n_finite"), F.avg((F.col("c") >= C.CLOSURE_TARGET).cast("double")).alias("frac_ge_target"),
         F.bool_and(F.col("status") == "valid").alias("_all_valid"))
-    spread = quantiles(trials, [regime], "c", {"median_c": 0.5, "p16": 0.16, "p84": 0.84}, target_rows=target_rows)
+    spread = quantiles(trials, [regime], "c", {"median_c": 0.5, "p16": 0.16, "p84": 0.84}, partitions=partitions)
     present = rows.select(regime, "seed").distinct()
     wanted = seeds.select("seed").distinct().withColumn("_wanted", F.lit(1))
     matched = present.join(wanted, "seed", "left").groupBy(regime).agg(
@@ -114,9 +114,9 @@ def closure_summary(rows: DataFrame, keys: Sequence[str], seeds: DataFrame, regi
         "passed", F.col("complete") & valid & reached).drop("_present", "_matched", "_all_valid")
 
 
-def candidate_choice(rows: DataFrame, candidate: str, value: str, *, target_rows: int | None = None) -> DataFrame:
+def candidate_choice(rows: DataFrame, candidate: str, value: str, *, partitions: int | None = None) -> DataFrame:
     """Median per candidate; the smallest candidate within two percent of the best median is chosen."""
-    middle = quantiles(rows, [candidate], value, {"median": 0.5}, target_rows=target_rows)
+    middle = quantiles(rows, [candidate], value, {"median": 0.5}, partitions=partitions)
     best = middle.select(F.min("median")).scalar()
     near = F.col("median") <= C.CANDIDATE_SLACK * best
     first = middle.where(near).select(F.min(candidate)).scalar()

@@ -1,122 +1,59 @@
 """Order-dependent operators that survive one group holding most of the rows.
 
-A plain ``Window.partitionBy(capture)`` sorts a whole capture in one task. Here
-an oversized group is first cut into ordered *segments* at approximate
-quantiles of its own order key; every window then runs over (group, segment)
-and a small table of per-segment totals carries ranks, running sums and lags
-from one segment to the next. Results are exact: the quantiles only decide
-where to cut.
-
-Groups below ``target_rows`` form one segment, and a segment branch that turns
-out empty is dropped by adaptive execution. When the statistics of the scans
-prove at planning time that the whole input is small, no group can be oversized
-and a plain window is planned instead.
+There is one plan. Rows are dealt to tasks by ranges of (group, order, tie) in one exchange and
+written in that order, so a group may fill any number of tasks and each task holds a contiguous stretch of
+it. A row's number then says its part and its place in the part; one small row for each (group, part)
+carries counts, sums or last rows over to the parts behind it. Ranks, running sums, lags and quantiles are exact.
+
+The written rows cut the lineage: parts must not be dealt anew between the pass that sums them up
+and the pass that uses the sums. A range of rows equal in (group, order, tie) cannot be split, so ``tie``
+should tell rows apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SEGMENT = "_segment"
-TARGET_ROWS = 1 << 20
-CUTS = 256
-STRIDE = 16
-ACCURACY = 10_000
-PLAIN_INPUT_BYTES = 64 << 20
-
-
-def _setting(spark: SparkSession, name: str, default: int) -> int:
-    return int(spark.conf.get(f"framewright.{name}", str(default)))
-
-
-def input_is_small(df: DataFrame) -> bool:
-    """True when the files and local rows below ``df`` together stay under the plain-window limit.
-
-    Sizes come from the relations themselves, so nothing is run; a relation of
-    unknown size counts as large.
-    """
-    limit = _setting(df.sparkSession, "plainWindow.maxInputBytes", PLAIN_INPUT_BYTES)
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except AttributeError:  # a remote session has no local plan
-        return False
-    return total <= limit
+from framewright.session import materialise
 
+PLACE = (1 << 33) - 1  # a row's number holds its place in the part below its part
 
-def _lower_bound(cuts: Column, coarse: Column, value: Column) -> Column:
-    """How many ascending ``cuts`` lie below ``value``, looking at every STRIDE-th one first."""
-    block = F.size(F.filter(coarse, lambda c: c < value))
-    rest = F.slice(cuts, block * STRIDE + 1, STRIDE)
-    return block * STRIDE + F.size(F.filter(rest, lambda c: c < value))
 
+def _direction(name: str, descending: bool) -> Column:
+    return F.col(name).desc() if descending else F.col(name).asc()
 
-def _coarse(cuts: Column) -> Column:
-    return F.filter(cuts, lambda _, i: i % STRIDE == STRIDE - 1)
 
+def dealt(df: DataFrame, keys: Sequence[str], order: str, tie: str | None = None, *, descending: bool = False, tie_descending: bool = False,
+          partitions: int | None = None) -> DataFrame:
+    """The rows, written in ranges of (keys, order, tie), with their part ``_part`` and their number ``_at``."""
+    cut = [*[F.col(k).asc() for k in keys], _direction(order, descending)]
+    if tie is not None and tie != order:
+        cut.append(_direction(tie, tie_descending))
+    ranged = df.repartitionByRange(partitions, *cut) if partitions else df.repartitionByRange(*cut)
+    rows = materialise(ranged.sortWithinPartitions(*cut).withColumn("_at", F.monotonically_increasing_id()), "dealt")
+    return rows.withColumn("_part", F.shiftright("_at", 33))
 
-def with_segments(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    tie: str | None = None,
-    *,
-    descending: bool = False,
-    tie_descending: bool = False,
-    target_rows: int | None = None,
-) -> DataFrame:
-    """Add a BIGINT segment that increases along (order, tie) within each group.
 
-    A value heavy enough to fill a segment is itself one of the cuts, so it gets
-    a segment of its own, which ``tie`` cuts further.
-    """
-    spark = df.sparkSession
-    limit = target_rows or _setting(spark, "segment.targetRows", TARGET_ROWS)
-    count = _setting(spark, "segment.cuts", CUTS)
-    keys = list(keys)
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit).drop("_rows")
-    shares = [i / count for i in range(1, count)]
-    wanted = [F.array_distinct(F.percentile_approx(F.col(order).cast("double"), shares, ACCURACY)).alias("_cuts")]
-    if tie:
-        wanted.append(F.array_distinct(F.percentile_approx(F.col(tie), shares, ACCURACY)).alias("_ties"))
-    cuts = df.select(*keys, order, *([tie] if tie else [])).join(large, keys, "left_semi").groupBy(*keys).agg(*wanted)
-    cuts = cuts.withColumn("_coarse", _coarse(F.col("_cuts")))
-    if tie:
-        cuts = cuts.withColumn("_ties_coarse", _coarse(F.col("_ties")))
-    joined = df.join(cuts, keys, "left")
-    value = F.col(order).cast("double")
-    below = _lower_bound(F.col("_cuts"), F.col("_coarse"), value)
-    at_cut = F.coalesce(F.get(F.col("_cuts"), below) == value, F.lit(False))
-    place = below * 2 + at_cut.cast("int")
-    if descending:
-        place = F.lit(2 * count + 2) - place
-    within = F.lit(0)
-    if tie:
-        within = _lower_bound(F.col("_ties"), F.col("_ties_coarse"), F.col(tie))
-        if tie_descending:
-            within = F.lit(count + 1) - within
-        within = F.when(at_cut, within).otherwise(0)
-    segment = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(place * (count + 2) + within).cast("long")
-    helper = ["_cuts", "_coarse"] + (["_ties", "_ties_coarse"] if tie else [])
-    return joined.withColumn(SEGMENT, segment).withColumn("_cut", F.col("_cuts").isNotNull()).drop(*helper)
+def _stretches(rows: DataFrame, keys: list[str], totals: list[Column], carried: list[Column]) -> DataFrame:
+    """One written row for each (keys, part): what ``carried`` makes of the ``totals`` of the parts before it."""
+    each = rows.groupBy(*keys, "_part").agg(*totals)
+    found = each.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), *carried)
+    return materialise(found, "stretches")
 
 
-def _direction(name: str, descending: bool) -> Column:
-    return F.col(name).desc() if descending else F.col(name).asc()
+def _joined(rows: DataFrame, stretches: DataFrame, keys: list[str]) -> DataFrame:
+    match = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(stretches, match).drop("_p", *[f"_k{i}" for i in range(len(keys))])
 
 
-def _carry(segmented: DataFrame, keys: list[str], totals: list[Column], carried: list[Column]) -> DataFrame:
-    """Per-segment totals of the oversized groups, moved along the segments of each group."""
-    per_segment = segmented.where("_cut").groupBy(*keys, SEGMENT).agg(*totals)
-    return per_segment.select(*keys, SEGMENT, *carried)
-
-
-def _before(keys: list[str]):
-    return Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+def _before(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def rank_rows(
@@ -126,135 +63,82 @@ def rank_rows(
     tie: str,
     *,
     name: str = "rank",
+    size: str | None = None,
     descending: bool = False,
     tie_descending: bool = False,
-    target_rows: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Exact 1-based rank of every row in its group; (order, tie) must be a total order."""
+    """Exact 1-based rank of every row in its group, and the group's size in ``size``; (order, tie) must be a total order."""
     keys = list(keys)
-    if target_rows is None and input_is_small(df):
-        whole = Window.partitionBy(*keys).orderBy(_direction(order, descending), _direction(tie, tie_descending))
-        return df.withColumn(name, F.row_number().over(whole).cast("long"))
-    seg = with_segments(df, keys, order, tie, descending=descending, tie_descending=tie_descending,
-                        target_rows=target_rows)
-    offsets = _carry(seg, keys, [F.count(F.lit(1)).alias("_n")],
-                     [F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_offset")])
-    window = Window.partitionBy(*keys, SEGMENT).orderBy(_direction(order, descending), _direction(tie, tie_descending))
-    return (
-        seg.withColumn(name, F.row_number().over(window).cast("long"))
-        .join(offsets, keys + [SEGMENT], "left")
-        .withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0)))
-        .drop(SEGMENT, "_cut", "_offset")
-    )
+    rows = dealt(df, keys, order, tie, descending=descending, tie_descending=tie_descending, partitions=partitions)
+    earlier = F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)) - F.col("_first") + 1
+    carried = [earlier.alias("_offset")] + ([F.sum("_n").over(Window.partitionBy(*keys)).alias(size)] if size else [])
+    stretches = _stretches(rows, keys, [F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")], carried)
+    return _joined(rows, stretches, keys).withColumn(name, F.col("_at") + F.col("_offset")).drop("_at", "_part", "_offset")
 
 
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    tie: str,
+    tie: str | None,
     value: Column,
     *,
     name: str,
-    target_rows: int | None = None,
+    total: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` along (order, tie) in each group."""
+    """Inclusive running sum of ``value`` along (order, tie) in each group, and the group's sum in ``total``."""
     keys = list(keys)
-    if target_rows is None and input_is_small(df):
-        whole = Window.partitionBy(*keys).orderBy(order, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(name, F.sum(value).over(whole))
-    seg = with_segments(df.withColumn("_value", value), keys, order, tie, target_rows=target_rows)
-    offsets = _carry(seg, keys, [F.sum("_value").alias("_total")], [F.sum("_total").over(_before(keys)).alias("_offset")])
-    window = (Window.partitionBy(*keys, SEGMENT).orderBy(order, tie)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        seg.withColumn(name, F.sum("_value").over(window))
-        .join(offsets, keys + [SEGMENT], "left")
-        .withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0)))
-        .drop(SEGMENT, "_cut", "_offset", "_value")
-    )
+    rows = dealt(df.withColumn("_value", value), keys, order, tie, partitions=partitions)
+    carried = [F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_offset")] + (
+        [F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else [])
+    stretches = _stretches(rows, keys, [F.sum("_value").alias("_n")], carried)
+    within = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumn(name, F.sum("_value").over(within))
+    return _joined(summed, stretches, keys).withColumn(name, F.col(name) + F.col("_offset")).drop("_at", "_part", "_offset", "_value")
 
 
-def previous_row(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    tie: str,
-    value: str,
-    *,
-    name: str,
-    target_rows: int | None = None,
-) -> DataFrame:
+def previous_row(df: DataFrame, keys: Sequence[str], order: str, tie: str, value: str, *, name: str, partitions: int | None = None) -> DataFrame:
     """``value`` of the row before this one along (order, tie) in each group, null for the first."""
     keys = list(keys)
-    if target_rows is None and input_is_small(df):
-        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(order, tie)))
-    seg = with_segments(df, keys, order, tie, target_rows=target_rows)
-    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(order, tie)).alias("_last")
-    carried = _carry(seg, keys, [last],
-                     [F.lag("_last").over(Window.partitionBy(*keys).orderBy(SEGMENT)).alias("_carried")])
-    window = Window.partitionBy(*keys, SEGMENT).orderBy(order, tie)
-    return (
-        seg.withColumn("_first", F.row_number().over(window) == 1)
-        .withColumn(name, F.lag(value).over(window))
-        .join(carried, keys + [SEGMENT], "left")
-        .withColumn(name, F.when(F.col("_first"), F.col("_carried.v")).otherwise(F.col(name)))
-        .drop(SEGMENT, "_cut", "_first", "_carried")
-    )
+    rows = dealt(df, keys, order, tie, partitions=partitions)
+    last = F.max_by(F.struct(F.col(value).alias("v")), F.col("_at")).alias("_last")
+    stretches = _stretches(rows, keys, [last, F.min("_at").alias("_first")],
+                           ["_first", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_part")).alias("_carried")])
+    within = Window.partitionBy(*keys, "_part").orderBy("_at")
+    looked = rows.withColumn(name, F.lag(value).over(within))
+    found = F.when(F.col("_at") == F.col("_first"), F.col("_carried.v")).otherwise(F.col(name))
+    return _joined(looked, stretches, keys).withColumn(name, found).drop("_at", "_part", "_first", "_carried")
 
 
-def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    shares: dict[str, float],
-    *,
-    target_rows: int | None = None,
-) -> DataFrame:
-    """Exact linearly interpolated quantiles, one row per group and one column per share.
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], *, partitions: int | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles, one written row per group and one column per share.
 
     Rows are first reduced to (group, value, count), so repeated values collapse
     before anything is ordered; null and NaN values are left out.
     """
     keys = list(keys)
-    if target_rows is None and input_is_small(df):
-        v = F.col(value).cast("double")
-        usable = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        return usable.groupBy(*keys).agg(*[F.percentile("_v", float(share)).alias(n) for n, share in shares.items()])
+    v = F.col(value).cast("double")
     counted = (
-        df.select(*keys, F.col(value).cast("double").alias("_v"))
+        df.select(*keys, v.alias("_v"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    seg = with_segments(counted, keys, "_v", target_rows=target_rows)
-    offsets = _carry(seg, keys, [F.sum("_c").alias("_n")], [F.sum("_n").over(_before(keys)).alias("_offset")])
-    window = (Window.partitionBy(*keys, SEGMENT).orderBy("_v")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    reached = (
-        seg.withColumn("_upto", F.sum("_c").over(window))
-        .join(offsets, keys + [SEGMENT], "left")
-        .withColumn("_upto", F.col("_upto") + F.coalesce("_offset", F.lit(0)))
-    )
-    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_total"))
-    placed = reached.join(totals, keys)
+    reached = running_sum(counted, keys, "_v", None, F.col("_c"), name="_upto", total="_total", partitions=partitions)
     picks = []
     for name, share in shares.items():
         position = (F.col("_total") - 1) * F.lit(float(share))
         for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             picks.append(F.min(F.when(F.col("_upto") > rank, F.col("_v"))).alias(f"{name}_{side}"))
         picks.append(F.max(position - F.floor(position)).alias(f"{name}_part"))
-    found = placed.groupBy(*keys).agg(*picks)
-    return found.select(
-        *keys,
-        *[
-            (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_part")).alias(n)
-            for n in shares
-        ],
-    )
+    found = reached.groupBy(*keys).agg(*picks)
+    between = [(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_part")).alias(n) for n in shares]
+    return materialise(found.select(*keys, *between), "quantiles")
 
 
-def medians(df: DataFrame, keys: Sequence[str], values: dict[str, str], *, target_rows: int | None = None) -> DataFrame:
+def medians(df: DataFrame, keys: Sequence[str], values: dict[str, str], *, partitions: int | None = None) -> DataFrame:
     """Exact medians of several columns: {output name: input column}.
 
     The columns are unpivoted so that all of them share one pass and one shuffle.
@@ -262,5 +146,5 @@ def medians(df: DataFrame, keys: Sequence[str], values: dict[str, str], *, targe
     keys = list(keys)
     entries = F.array(*[F.struct(F.lit(n).alias("_name"), F.col(c).cast("double").alias("_value")) for n, c in values.items()])
     long = df.select(*keys, F.inline(entries))
-    found = quantiles(long, keys + ["_name"], "_value", {"_q": 0.5}, target_rows=target_rows)
+    found = quantiles(long, keys + ["_name"], "_value", {"_q": 0.5}, partitions=partitions)
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in values])

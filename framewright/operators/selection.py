@@ -38,22 +38,19 @@ def select_by_range(screened: DataFrame, percent: int) -> DataFrame:
     return screened.join(bounds, KEY).withColumn("selected", chosen).drop("low", "high")
 
 
-def ranked(screened: DataFrame, *, target_rows: int | None = None) -> DataFrame:
+def ranked(screened: DataFrame, *, partitions: int | None = None) -> DataFrame:
     """Accepted frames with their 1-based quality rank (ties: earliest first) and the group size."""
-    accepted = screened.where("accepted")
-    sizes = accepted.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_accepted"))
-    return rank_rows(accepted, [KEY], "quality", "frame_index", descending=True,
-                     target_rows=target_rows).join(sizes, KEY)
+    return rank_rows(screened.where("accepted"), [KEY], "quality", "frame_index", size="n_accepted", descending=True, partitions=partitions)
 
 
-def select_by_count(screened: DataFrame, percent: int, *, target_rows: int | None = None) -> DataFrame:
+def select_by_count(screened: DataFrame, percent: int, *, partitions: int | None = None) -> DataFrame:
     """The best ceil(n * percent / 100) accepted frames of each capture."""
     _check_percent(percent)
     quota = F.floor((F.col("n_accepted") * percent + 99) / 100)
-    return ranked(screened, target_rows=target_rows).where(F.col("rank") <= quota)
+    return ranked(screened, partitions=partitions).where(F.col("rank") <= quota)
 
 
-def count_thresholds(screened: DataFrame, percent: int, *, target_rows: int | None = None) -> DataFrame:
+def count_thresholds(screened: DataFrame, percent: int, *, partitions: int | None = None) -> DataFrame:
     """The last kept frame of each capture as (capture, quality, frame_index).
 
     One row per capture, so the stacking pass can apply the cut where the pixels
@@ -61,7 +58,7 @@ def count_thresholds(screened: DataFrame, percent: int, *, target_rows: int | No
     """
     _check_percent(percent)
     quota = F.floor((F.col("n_accepted") * percent + 99) / 100)
-    return ranked(screened, target_rows=target_rows).where(F.col("rank") == quota).select(
+    return ranked(screened, partitions=partitions).where(F.col("rank") == quota).select(
         KEY, F.col("quality").alias("cut_quality"), F.col("frame_index").alias("cut_index"))
 
 
@@ -116,11 +113,11 @@ def best_reference(screened: DataFrame) -> DataFrame:
         KEY, F.col("best.frame_index").alias("reference_index"), F.col("best.quality").alias("reference_quality"))
 
 
-def display_rank(measured: DataFrame, *, target_rows: int | None = None) -> DataFrame:
+def display_rank(measured: DataFrame, *, partitions: int | None = None) -> DataFrame:
     """1-based rank for display: best first, ties in capture order, unavailable scores last."""
     shown = F.when(finite(F.col("quality")), F.col("quality")).otherwise(F.lit(float("-inf")))
     return rank_rows(measured.withColumn("_shown", shown), [KEY], "_shown", "frame_index",
-                     name="display_rank", descending=True, target_rows=target_rows).drop("_shown")
+                     name="display_rank", descending=True, partitions=partitions).drop("_shown")
 
 
 def quality_position(measured: DataFrame, *, log_axis: bool = False) -> DataFrame:
@@ -144,28 +141,25 @@ def top_fractions(
     percents: tuple[int, ...] = C.RANK_P_GRID,
     *,
     higher_is_better: bool = True,
-    target_rows: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Membership of every top-p subset, one row per (group, p, member).
 
     Each row is ranked once and then repeated only for the subsets it belongs to.
     """
-    sizes = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    placed = rank_rows(scores, keys, score, index, name="_rank", descending=higher_is_better,
-                       tie_descending=higher_is_better, target_rows=target_rows).join(sizes, keys)
+    placed = rank_rows(scores, keys, score, index, name="_rank", size="_n", descending=higher_is_better, tie_descending=higher_is_better, partitions=partitions)
     member = [F.when(F.col("_rank") <= top_count(F.col("_n"), p), F.lit(p)) for p in percents]
     return placed.withColumn("p", F.explode(F.array_compact(F.array(*member)))).drop("_rank", "_n")
 
 
 def evenly_spaced(ordered: DataFrame, keys: list[str], index: str, samples: int, *, truncate: bool = False,
-                  target_rows: int | None = None) -> DataFrame:
+                  partitions: int | None = None) -> DataFrame:
     """Rows at ``samples`` evenly spaced positions of each group in index order.
 
     Position k is k (n-1)/(samples-1), rounded half to even or truncated;
     positions that coincide are kept once.
     """
-    sizes = ordered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    placed = rank_rows(ordered, keys, index, index, name="_rank", target_rows=target_rows).join(sizes, keys)
+    placed = rank_rows(ordered, keys, index, index, name="_rank", size="_n", partitions=partitions)
     count = F.least(F.col("_n"), F.lit(samples))
     step = (F.col("_n") - 1) / F.greatest(count - 1, F.lit(1)).cast("double")
     position = F.col("_rank") - 1
@@ -180,25 +174,25 @@ def evenly_spaced(ordered: DataFrame, keys: list[str], index: str, samples: int,
     return placed.where(hits).drop("_rank", "_n")
 
 
-def top_per_capture(screened: DataFrame, count: int, *, target_rows: int | None = None) -> DataFrame:
+def top_per_capture(screened: DataFrame, count: int, *, partitions: int | None = None) -> DataFrame:
     """The ``count`` best accepted frames of each capture, for building a reference."""
-    return ranked(screened, target_rows=target_rows).where(F.col("rank") <= count)
+    return ranked(screened, partitions=partitions).where(F.col("rank") <= count)
 
 
-def assign_rank_bins(screened: DataFrame, bins: int | None = None, *, target_rows: int | None = None) -> DataFrame:
+def assign_rank_bins(screened: DataFrame, bins: int | None = None, *, partitions: int | None = None) -> DataFrame:
     """Equal-count quality-rank bin of every accepted frame; the bin count follows the capture size."""
     count = F.lit(bins) if bins else rank_bin_count(F.col("n_accepted"))
-    return ranked(screened, target_rows=target_rows).withColumn("bins", count.cast("long")).withColumn(
+    return ranked(screened, partitions=partitions).withColumn("bins", count.cast("long")).withColumn(
         "bin", rank_bin(F.col("rank") - 1, F.col("n_accepted"), F.col("bins")))
 
 
-def rank_bin_edges(screened: DataFrame, bins: int | None = None, *, target_rows: int | None = None) -> DataFrame:
+def rank_bin_edges(screened: DataFrame, bins: int | None = None, *, partitions: int | None = None) -> DataFrame:
     """The last frame of every rank bin but the worst, as one sorted array per capture.
 
     At most 15 edges describe a capture, so :func:`bin_from_edges` bins frames where
     they are read; the frames themselves are never shuffled to meet their rank.
     """
-    binned = assign_rank_bins(screened, bins, target_rows=target_rows)
+    binned = assign_rank_bins(screened, bins, partitions=partitions)
     last = binned.groupBy(KEY, "bins", "bin").agg(
         F.max(F.struct((-F.col("quality")).alias("q"), F.col("frame_index").alias("i"))).alias("edge"))
     inner = F.when(F.col("bin") < F.col("bins") - 1, F.col("edge"))
@@ -212,12 +206,11 @@ def bin_from_edges() -> Column:
 
 
 def per_point_best(scores: DataFrame, keys: list[str], point: str, count: int, *, bins: int = 0,
-                   target_rows: int | None = None) -> DataFrame:
+                   partitions: int | None = None) -> DataFrame:
     """Each alignment point's best ``count`` frames, optionally with their equal-count rank bin."""
     groups = [*keys, point]
-    placed = rank_rows(scores, groups, "score", "frame_index", descending=True, target_rows=target_rows)
-    sizes = scores.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    kept = placed.join(sizes, groups).withColumn("kept", F.least(F.col("_n"), F.lit(count))).where(
+    placed = rank_rows(scores, groups, "score", "frame_index", size="_n", descending=True, partitions=partitions)
+    kept = placed.withColumn("kept", F.least(F.col("_n"), F.lit(count))).where(
         F.col("rank") <= F.col("kept"))
     if bins:
         kept = kept.withColumn("bin", rank_bin(F.col("rank") - 1, F.col("kept"), F.lit(bins)))

@@ -28,15 +28,15 @@ def with_cadence(frames: DataFrame, cadence_s: float | None = None) -> DataFrame
         "origin", F.lit("inferred" if cadence_s is None else "user")).drop("_rank")
 
 
-def intervals(frames: DataFrame, *, target_rows: int | None = None) -> DataFrame:
+def intervals(frames: DataFrame, *, partitions: int | None = None) -> DataFrame:
     """Frame-to-frame tick interval in capture order (null for the first frame)."""
     return previous_row(frames, [KEY], "frame_index", "frame_index", "ts_ticks", name="_previous",
-                        target_rows=target_rows).withColumn("interval_ticks", F.col("ts_ticks") - F.col("_previous")).drop("_previous")
+                        partitions=partitions).withColumn("interval_ticks", F.col("ts_ticks") - F.col("_previous")).drop("_previous")
 
 
-def capture_timing(frames: DataFrame, *, target_rows: int | None = None) -> DataFrame:
+def capture_timing(frames: DataFrame, *, partitions: int | None = None) -> DataFrame:
     """Duration, median cadence, duplicates and interval limits; reversed or span-less times are invalid."""
-    gaps = intervals(frames, target_rows=target_rows)
+    gaps = intervals(frames, partitions=partitions)
     second = F.lit(float(C.TICKS_PER_SECOND))
     gap = F.col("interval_ticks")
     out = gaps.groupBy(KEY).agg(
@@ -106,19 +106,19 @@ def nearest_pose(posed: DataFrame, target: Column | float) -> DataFrame:
     return posed.groupBy(KEY).agg(best.alias("p")).select(KEY, "p.*")
 
 
-def unwrapped(frames: DataFrame, angle: str, *, target_rows: int | None = None) -> DataFrame:
+def unwrapped(frames: DataFrame, angle: str, *, partitions: int | None = None) -> DataFrame:
     """Angles without jumps of more than half a turn between consecutive frames."""
     turn = 2 * 3.141592653589793
-    with_last = previous_row(frames, [KEY], "frame_index", "frame_index", angle, name="_last", target_rows=target_rows)
+    with_last = previous_row(frames, [KEY], "frame_index", "frame_index", angle, name="_last", partitions=partitions)
     step = F.col(angle) - F.col("_last")
     wrapped = F.pmod(step + turn / 2, F.lit(turn)) - turn / 2
     wrapped = F.when((wrapped == -turn / 2) & (step > 0), F.lit(turn / 2)).otherwise(wrapped)
     fix = F.when(F.col("_last").isNull() | (F.abs(step) < turn / 2), F.lit(0.0)).otherwise(wrapped - step)
-    return running_sum(with_last, [KEY], "frame_index", "frame_index", fix, name="_fix", target_rows=target_rows).withColumn(
+    return running_sum(with_last, [KEY], "frame_index", "frame_index", fix, name="_fix", partitions=partitions).withColumn(
         "unwrapped", F.col(angle) + F.col("_fix")).drop("_last", "_fix")
 
 
-def motion_reference(frames: DataFrame, *, policy: str = "middle", target_rows: int | None = None) -> DataFrame:
+def motion_reference(frames: DataFrame, *, policy: str = "middle", partitions: int | None = None) -> DataFrame:
     """Anchor frame of each capture: near the middle in time, or the best frame anywhere.
 
     The pool is within a tenth of the duration around the middle (at least the four
@@ -142,7 +142,7 @@ def motion_reference(frames: DataFrame, *, policy: str = "middle", target_rows:
         best = F.min_by(F.struct("frame_index", "t_s"), F.struct(-F.col("quality"), F.col("frame_index")))
         anchors = pool.groupBy(KEY).agg(best.alias("a"), F.count(F.lit(1)).alias("pool"))
     else:
-        middle = medians(pool, [KEY], {"_median": "quality"}, target_rows=target_rows)
+        middle = medians(pool, [KEY], {"_median": "quality"}, partitions=partitions)
         sizes = pool.groupBy(KEY).agg(F.count(F.lit(1)).alias("pool"))
         good = pool.join(middle, KEY).where(F.col("quality") >= F.col("_median"))
         best = F.min_by(F.struct("frame_index", "t_s"), F.struct(F.col("_distance"), -F.col("quality"), F.col("frame_index")))
@@ -165,14 +165,13 @@ def nearest_rows(frames: DataFrame, distance: str, worse: str, count: int) -> Da
     return kept.withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= count).drop("_part", "_r", "_entry")
 
 
-def three_groups(frames: DataFrame, *, reach: int = 64, best: int = 32, target_rows: int | None = None) -> DataFrame:
+def three_groups(frames: DataFrame, *, reach: int = 64, best: int = 32, partitions: int | None = None) -> DataFrame:
     """Three consecutive groups per capture, each with its best frames of a window around its middle.
 
     Groups differ by at most one frame, earlier groups being larger; among equal
     qualities the later frames win.
     """
-    sizes = frames.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
-    placed = rank_rows(frames, [KEY], "frame_index", "frame_index", name="_rank", target_rows=target_rows).join(sizes, KEY)
+    placed = rank_rows(frames, [KEY], "frame_index", "frame_index", name="_rank", size="_n", partitions=partitions)
     base, extra = F.floor(F.col("_n") / 3), F.col("_n") % 3
     at = F.col("_rank") - 1
     big = extra * (base + 1)
@@ -188,7 +187,7 @@ def three_groups(frames: DataFrame, *, reach: int = 64, best: int = 32, target_r
         F.col("_best") <= best).drop("_rank", "_n", "_best")
 
 
-def order_violations(frames: DataFrame, *, target_rows: int | None = None) -> DataFrame:
+def order_violations(frames: DataFrame, *, partitions: int | None = None) -> DataFrame:
     """Frames whose time lies before that of the frame in front of them."""
-    return intervals(frames, target_rows=target_rows).where(F.col("interval_ticks") < 0)
+    return intervals(frames, partitions=partitions).where(F.col("interval_ticks") < 0)
 

@@ -39,7 +39,7 @@ def ranked_fixture(spark):
 @pytest.mark.parametrize("target", [None, 2])
 def test_count_selection_ties(spark, target):
     frames = ranked_fixture(spark)
-    pick = lambda p: sorted(r.frame_index for r in selection.select_by_count(frames, p, target_rows=target).collect())
+    pick = lambda p: sorted(r.frame_index for r in selection.select_by_count(frames, p, partitions=target).collect())
     assert pick(21) == [1, 3] and pick(1) == [1] and pick(100) == [0, 1, 3, 4, 5]
 
 
@@ -94,7 +94,7 @@ def test_effective_frames(spark):
 @pytest.mark.parametrize("target", [None, 3])
 def test_gap_classes(spark, gaps, flags, label, target):
     rows = spark.createDataFrame([(4.0, g, f) for g, f in zip(gaps, flags)], "regime double, g double, pathological boolean")
-    assert EV.classify_gaps(rows, ["regime"], target_rows=target).first().label == label
+    assert EV.classify_gaps(rows, ["regime"], partitions=target).first().label == label
 
 
 def test_predicates(spark):
