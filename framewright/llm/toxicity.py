@@ -43,9 +43,12 @@ from framewright.session import materialise
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MASKED = re.compile(r"[^\W\d_][*#@$%&]{2,}[^\W\d_]*$|[^\W\d_][*#@$%&]+[^\W\d_]")
-DRAWN_OUT = re.compile(r"([^\W\d_])\1{3,}", re.I)
+DRAWN_OUT = re.compile(rb"([a-z])\1{3,}")
 SIGNS_FOR_LETTERS = re.compile(r"[^\W\d_][013457$@]+[^\W\d_]")
-STORM = re.compile(r"[!?]{3,}")
+STORM = re.compile(rb"[!?]{3,}")
+# Marks that part tokens; those that may stand inside a masked or respelled word stay.
+MARKS = bytes(32 if chr(c) in ".,;:!?\"()[]{}<>|/" else c for c in range(256))
+CAPITALS = bytes(range(65, 91))
 KINDS = (0, 4, 5, 6)  # the whole word, and beginnings of so many letters
 SHARDS = 4  # lexicons of a kind
 ENTRIES = 4096  # of all lexicons
@@ -53,7 +56,7 @@ CLUES = 8192  # of the classifier
 STRONG = 15.1  # log-likelihood ratio beyond which chance gives one clue in ten thousand
 LIFT = 10  # a lexicon's clues are so many times as frequent under label 1
 WINDOW = 4  # words of the windows by which near copies are known
-MASK, LONG, SIGN, LOUD, SHOUT = (1 << k for k in range(5))
+MASK, LONG, SIGN = (1 << k for k in range(3))
 VOTERS = ([f"lexicon {('word', 'beginning')[size > 0]} {size or ''} {shard}" for size in KINDS for shard in range(SHARDS)]
           + ["two clues", "four clues", "dense clues", "masked", "drawn out", "signs", "storm", "shouting"]
           + ["no clue", "no word clue", "no clue in a long text", "no pattern"])
@@ -61,30 +64,33 @@ SIDE = np.array([1.0] * (len(VOTERS) - 4) + [-1.0] * 4)
 FIRST = np.array([0.5] * (len(KINDS) * SHARDS + 3) + [0.1] * 5 + [-0.5] * 3 + [-0.1])
 
 
-def clues_of(token: str) -> list[int]:
-    """Numbers of a token's clues; the kind stands in the lowest two bits."""
-    out = []
-    for word in LETTERS.findall(token.lower()):
-        raw = word.encode("utf-8", "surrogatepass")
-        for kind, size in enumerate(KINDS):
-            if not size:
-                part = raw
-            elif len(word) > size:
-                part = word[:size].encode("utf-8", "surrogatepass")
-            else:
+def clues_of(token: bytes) -> list[int]:
+    """Numbers of a lower-case token's clues; the kind stands in the lowest two bits."""
+    if token.isalpha():
+        words = [(token, token)]
+    else:
+        words = [(w, w.encode("utf-8", "surrogatepass")) for w in LETTERS.findall(token.decode("utf-8", "surrogatepass"))]
+    digest, out = xxhash.xxh3_64_intdigest, []
+    for word, raw in words:
+        out.append((digest(raw, 0) >> 1) & ~3)
+        for kind in range(1, len(KINDS)):
+            if len(word) <= KINDS[kind]:
                 break
-            out.append((xxhash.xxh3_64_intdigest(part, kind) >> 1) & ~3 | kind)
+            part = word[: KINDS[kind]]
+            out.append((digest(part if word is raw else part.encode("utf-8", "surrogatepass"), kind) >> 1) & ~3 | kind)
     return out
 
 
-def flags_of(token: str) -> int:
-    upper = token.isupper() and sum(map(str.isalpha, token)) > 2
-    return (bool(MASKED.search(token)) * MASK + bool(DRAWN_OUT.search(token)) * LONG + bool(SIGNS_FOR_LETTERS.search(token)) * SIGN
-            + bool(STORM.search(token)) * LOUD + upper * SHOUT)
+def flags_of(token: bytes) -> int:
+    drawn = bool(DRAWN_OUT.search(token)) * LONG
+    if token.isalpha():
+        return drawn
+    text = token.decode("utf-8", "surrogatepass")
+    return drawn + bool(MASKED.search(text)) * MASK + bool(SIGNS_FOR_LETTERS.search(text)) * SIGN
 
 
-def _tokens(text: str | None) -> Counter:
-    return Counter((text or "").split())
+def tokens_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(MARKS).split()
 
 
 class Voters:
@@ -93,15 +99,15 @@ class Voters:
     def __init__(self, entries: list[int]):
         entries = set(entries)
 
-        def look(token: str) -> tuple[tuple[int, ...], int]:
+        def look(token: bytes) -> tuple[tuple[int, ...], int]:
             return tuple(c for c in clues_of(token) if c in entries), flags_of(token)
 
         self.seen = Memo(look)
 
     def votes(self, text: str | None) -> np.ndarray:
         out = np.zeros(len(VOTERS), bool)
-        tokens, lexicons = _tokens(text), len(KINDS) * SHARDS
-        hits, words, dense, marked = set(), set(), 0, [0] * 5
+        tokens, lexicons = Counter(tokens_of(text)), len(KINDS) * SHARDS
+        hits, words, dense, marked = set(), set(), 0, 0
         seen = self.seen
         for token, n in tokens.items():
             found, flags = seen[token]
@@ -109,17 +115,17 @@ class Voters:
                 hits.update(found)
                 words.add(found[-1] >> 2)
                 dense += n
-            if flags:
-                for k in range(5):
-                    if flags >> k & 1:
-                        marked[k] += n
+            marked |= flags
         for c in hits:
             out[(c & 3) * SHARDS + (c >> 2) % SHARDS] = True
         total = sum(tokens.values())
         out[lexicons : lexicons + 3] = len(words) >= 2, len(words) >= 4, dense * 100 >= max(total, 1)
-        shouting = marked[4] * 10 >= max(total, 1) * 3
-        out[lexicons + 3 : lexicons + 8] = marked[0] > 0, marked[1] > 0, marked[2] > 0, marked[3] > 0, shouting
-        out[lexicons + 8 :] = not hits, not out[:SHARDS].any(), not hits and total >= 50, not any(marked[:4]) and not shouting
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        upper, loud = len(raw) - len(raw.translate(None, CAPITALS)), bool(STORM.search(raw))
+        shouting = upper > 20 and upper * 10 >= len(raw) * 3
+        pattern = (bool(marked & MASK), bool(marked & LONG), bool(marked & SIGN), loud, shouting)
+        out[lexicons + 3 : lexicons + 8] = pattern
+        out[lexicons + 8 :] = not hits, not out[:SHARDS].any(), not hits and total >= 50, not any(pattern)
         return out
 
 
@@ -143,7 +149,7 @@ def _clue_counts(rows: DataFrame, judge, shared) -> DataFrame:
         for batch in batches:
             clues, shares = [np.zeros(0, np.int64)], [np.zeros(0)]
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.fromiter({c for t in set((text or "").split()) for c in memo[t]}, np.int64)
+                own = np.fromiter({c for t in set(tokens_of(text)) for c in memo[t]}, np.int64)
                 clues.append(own)
                 shares.append(np.full(len(own), judge(text, label, extra, state)))
             clue, place = np.unique(np.concatenate(clues), return_inverse=True)
@@ -330,7 +336,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = _places(places.value)
         for texts in batches:
-            yield pa.array([sorted({p for t in set((x or "").split()) for p in memo[t]}) for x in texts.to_pylist()], pa.list_(pa.int32()))
+            yield pa.array([sorted({p for t in set(tokens_of(x)) for p in memo[t]}) for x in texts.to_pylist()], pa.list_(pa.int32()))
 
     rows = sample.select(judge(F.col("text")).alias("y"), found(F.col("text")).alias("x"), F.xxhash64("text").alias("h")).toArrow()
     order = np.argsort(rows.column("h").to_numpy(), kind="stable")
@@ -354,7 +360,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> Column:
         m = shared.value
         memo, weights = _places(m["clues"]), m["weights"].tolist()
         for texts in batches:
-            sums = [sum(weights[p] for p in sorted({p for t in set((x or "").split()) for p in memo[t]})) for x in texts.to_pylist()]
+            sums = [sum(weights[p] for p in sorted({p for t in set(tokens_of(x)) for p in memo[t]})) for x in texts.to_pylist()]
             yield pa.array(_logistic((np.array(sums, np.float64) + m["intercept"]) / m["temperature"]), pa.float64())
 
     return judge.asNondeterministic()(F.col(text))

@@ -160,7 +160,7 @@ def test_label_model_finds_accuracies_and_correlations():
 
 def plain_score(text, model):
     place = {c: k for k, c in enumerate(model["clues"].tolist())}
-    found = {place[c] for t in (text or "").split() for c in toxicity.clues_of(t) if c in place}
+    found = {place[c] for t in toxicity.tokens_of(text) for c in toxicity.clues_of(t) if c in place}
     z = sum(model["weights"][p] for p in sorted(found)) + model["intercept"]
     return 1 / (1 + math.exp(-max(-30, min(30, z / model["temperature"]))))
 
