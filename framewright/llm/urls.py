@@ -2,9 +2,10 @@
 
 Host names run words together. A unigram Viterbi splits them, with word counts of all page
 titles and url paths. Counts, substrings of distinct name pieces and their matches meet by
-joins, so no vocabulary is broadcast. Multinomial naive Bayes then weighs host words and path
-words; it learns from the urls that a rule decides, plus a few seed words that count
-``SEED_WEIGHT`` times for ``block``. Hosts and paths are scored once each, however many pages they have.
+joins, so no vocabulary is broadcast. Words of every length are counted; a part of a split may be as
+long as a host label can be. Multinomial naive Bayes then weighs host words and path words; it learns
+from the urls that a rule decides, and from ``seeds`` where a caller names words that count
+``SEED_WEIGHT`` times for ``block`` (none by default). Hosts and paths are scored once each, however many pages they have.
 
 Rules (action, host and path): a rule fits its host and all subdomains if the url's path starts
 with the rule's; the longest rule wins, of equal length the alphabetically last.
@@ -25,9 +26,8 @@ from pyspark.sql import types as T
 
 from framewright.session import materialise
 
-SEEDS = ("casino", "malware", "phishing", "porn", "spam", "viagra", "xxx")
 SEED_WEIGHT = 50
-LONGEST_WORD = 20
+LABEL = 63  # characters of a host label at most (fixed by the name system), so of any word in one
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,7 +57,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
     """(word, n) over titles and url paths of all pages."""
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1)
     words = pages.select(F.explode(F.concat(_words(title), _words(parsed(F.col("url"))[1]))).alias("word"))
-    return words.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def viterbi(piece: str, matches: list[dict], total: int) -> list[str]:
@@ -67,7 +67,7 @@ def viterbi(piece: str, matches: list[dict], total: int) -> list[str]:
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(piece) + 1):
         options = []
-        for start in range(max(0, end - LONGEST_WORD), end):
+        for start in range(max(0, end - LABEL), end):
             size = end - start
             n = known.get((start, size))
             cost = math.log(n / total) if n else -math.log(total) - size * math.log(10)
@@ -92,14 +92,14 @@ def segmented(pieces: DataFrame, counts: DataFrame) -> DataFrame:
     """(piece, words) for distinct lower-case name pieces."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     starts = pieces.select("piece", F.explode(F.sequence(F.lit(0), F.length("piece") - 1)).alias("start"))
-    longest = F.least(F.lit(LONGEST_WORD), F.length("piece") - F.col("start"))
+    longest = F.least(F.lit(LABEL), F.length("piece") - F.col("start"))
     parts = starts.select("piece", "start", F.explode(F.sequence(F.lit(1), longest)).alias("size"))
     parts = parts.withColumn("word", F.substring("piece", F.col("start") + 1, F.col("size")))
     met = parts.join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("start", "size", "n")).alias("matches"))
     return pieces.join(met, "piece", "left").select("piece", _split(total)(F.col("piece"), F.col("matches")).alias("words"))
 
 
-def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], seeds: Sequence[str] = SEEDS, smoothing: float = 1.0) -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], seeds: Sequence[str] = (), smoothing: float = 1.0) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row; a score above 0 speaks for ``block``."""
     host, path = parsed(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("found", ruled(F.col("host"), F.col("path"), rules))
