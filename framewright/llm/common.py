@@ -35,6 +35,14 @@ def sized(small: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= most_rows else small
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Memo(dict):
     """Values of a pure function; emptied when full, so that a task's memory stays bounded."""
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import text_batches
+from framewright.llm.common import fresh, text_batches
 
 # A-Z in lower case; other ASCII except digits and a-z separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -109,7 +109,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: in
     """A struct column of type FOUND for a text column of ``docs``; spans alternate start and end in words."""
     text_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).where("text is not null").distinct()  # equal rows would share a block
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
@@ -159,14 +159,6 @@ def contaminated(found: Column, share: int = 20) -> Column:
     return (n_hit(found) > 0) & (n_hit(found) * share >= found.n_words)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 @F.arrow_udf(T.StringType())
 def cut_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
     out = []

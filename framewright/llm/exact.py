@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import sized, text_batches
+from framewright.llm.common import fresh, sized, text_batches
 from framewright.session import materialise
 
 # Two primes below 2^31 and a base for each.
@@ -152,9 +152,10 @@ def decided(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 def deduplicated(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each text, all columns as they were."""
     judged = materialise(decided(docs, text, **options), "judged")
-    dropped = judged.where(~F.col("kept")).select(F.col("doc_id").alias("d_id"), F.col("text_sha256").alias("d_sha")).distinct()
+    of, digest = fresh(docs, "d_id"), fresh(docs, "d_sha")
+    dropped = judged.where(~F.col("kept")).select(F.col("doc_id").alias(of), F.col("text_sha256").alias(digest)).distinct()
     dropped = sized(materialise(dropped, "dropped"))
     sha = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)
-    left = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("d_id")) & (sha == F.col("d_sha")), "left_anti")
+    left = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col(of)) & (sha == F.col(digest)), "left_anti")
     repeated = judged.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", text])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import Memo, sized, text_batches
+from framewright.llm.common import Memo, fresh, sized, text_batches
 from framewright.llm.components import components
 from framewright.session import materialise
 
@@ -291,5 +291,6 @@ def grouped(docs: DataFrame, text: str = "text", size: int = 5, share: int = 80,
 def deduplicated(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component, all columns as they were."""
     judged, _ = grouped(docs, text, **options)
-    gone = materialise(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(sized(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    name = fresh(docs, "gone_id")
+    gone = materialise(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(sized(gone), docs["doc_id"] == F.col(name), "left_anti")
