@@ -283,7 +283,33 @@ def registered_stack(spark, folder):
     return ST.place(ST.normalise(total), 8, 8).select(KEY, "y", "x", F.round("value", 6).alias("value"), "valid")
 
 
-@query("refined_reference", "REG-3 (two passes)")
+def _pass_sql(k: int, reference: str) -> str:
+    """Shifts of all frames against a plane (capture_id, y, x, v) and the mean of the frames moved by them, as tables named with ``k``."""
+    spin = "2 * pi() * ((f // 8) * {0} + (f % 8) * {1}) / 8"
+    ahead, back = spin.format("y", "x"), spin.format("(k // 8)", "(k % 8)")
+    return f"""
+, rc{k} AS (SELECT capture_id, y, x, v - avg(v) OVER (PARTITION BY capture_id) AS u FROM {reference}),
+rd{k} AS (SELECT capture_id, f, sum(u * cos({ahead})) AS re, -sum(u * sin({ahead})) AS im FROM rc{k}, (SELECT unnest(range(64)) AS f) GROUP BY 1, 2),
+x{k} AS (SELECT a.capture_id, a.frame_index, a.f, (a.re * r.re + a.im * r.im) * g AS xr, (a.im * r.re - a.re * r.im) * g AS xi FROM dft a JOIN rd{k} r USING (capture_id, f) JOIN g USING (f)),
+s{k} AS (SELECT capture_id, frame_index, k, sum(xr * cos({back}) - xi * sin({back})) AS c FROM x{k}, (SELECT unnest(range(64)) AS k) GROUP BY 1, 2, 3),
+p{k} AS (SELECT capture_id, frame_index, arg_max(k, c) AS k, max(c) AS c0 FROM s{k} GROUP BY 1, 2),
+n{k} AS (SELECT p.*, u.c AS up, d.c AS dn, l.c AS lf, r.c AS rt FROM p{k} p
+      JOIN s{k} u ON u.frame_index = p.frame_index AND u.k = ((p.k // 8 + 7) % 8) * 8 + p.k % 8 JOIN s{k} d ON d.frame_index = p.frame_index AND d.k = ((p.k // 8 + 1) % 8) * 8 + p.k % 8
+      JOIN s{k} l ON l.frame_index = p.frame_index AND l.k = (p.k // 8) * 8 + (p.k % 8 + 7) % 8 JOIN s{k} r ON r.frame_index = p.frame_index AND r.k = (p.k // 8) * 8 + (p.k % 8 + 1) % 8),
+e{k} AS (SELECT *, CASE WHEN lf - 2 * c0 + rt < 0 THEN least(greatest(0.5 * (lf - rt) / (lf - 2 * c0 + rt), -0.5), 0.5) ELSE 0 END AS sx,
+                CASE WHEN up - 2 * c0 + dn < 0 THEN least(greatest(0.5 * (up - dn) / (up - 2 * c0 + dn), -0.5), 0.5) ELSE 0 END AS sy FROM n{k}),
+m{k} AS (SELECT capture_id, frame_index, CASE WHEN k % 8 < 4 THEN k % 8 ELSE k % 8 - 8 END + CASE WHEN abs(sx) < 1e-10 THEN 0 ELSE sx END AS dx,
+                CASE WHEN k // 8 < 4 THEN k // 8 ELSE k // 8 - 8 END + CASE WHEN abs(sy) < 1e-10 THEN 0 ELSE sy END AS dy FROM e{k}),
+t{k} AS (SELECT px.capture_id, v, y - floor(dy)::BIGINT - cy AS ty, x - floor(dx)::BIGINT - cx AS tx,
+               (CASE WHEN cy = 0 THEN 1 - (dy - floor(dy)) ELSE dy - floor(dy) END) * (CASE WHEN cx = 0 THEN 1 - (dx - floor(dx)) ELSE dx - floor(dx) END) AS wt
+        FROM px JOIN m{k} USING (capture_id, frame_index), (SELECT unnest([0, 1]) AS cy), (SELECT unnest([0, 1]) AS cx) WHERE abs(dx) <= 2 AND abs(dy) <= 2),
+a{k} AS (SELECT capture_id, ty AS y, tx AS x, sum(wt * v) AS wv, sum(wt) AS w FROM t{k} WHERE ty BETWEEN 0 AND 7 AND tx BETWEEN 0 AND 7 GROUP BY 1, 2, 3),
+ref{k} AS (SELECT g.capture_id, g.y, g.x, CASE WHEN w > 0 THEN wv / w ELSE 0 END AS v FROM (SELECT DISTINCT capture_id, y, x FROM px) g LEFT JOIN a{k} USING (capture_id, y, x))"""
+
+
+@query("refined_reference", "REG-3 (two passes)", SHIFTS[: SHIFTS.index("x AS (SELECT a.capture_id")].rstrip().rstrip(",") + """
+, ref0 AS (SELECT px.capture_id, y, x, v FROM px JOIN best ON best.capture_id = px.capture_id AND best.ref = px.frame_index)""" + _pass_sql(1, "ref0") + _pass_sql(2, "ref1") + """
+SELECT capture_id, (y * 8 + x)::INT AS pos, round(v, 6) AS value FROM ref2""")
 def refined_reference(spark, folder):
     frames = scored(spark, folder)
     out = LO.refined_reference(frames, passes=2, max_shift=2.0)

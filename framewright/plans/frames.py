@@ -375,7 +375,23 @@ def stack_snr(spark, folder):
     return out.select(KEY, "frames_sampled", *[F.round(c, 6).alias(c) for c in ("signal", "noise", "snr", "snr_gain", "estimated_snr")])
 
 
-@query("masked_shifts", "REG-6 FLT-10 (masked correlation against the mean of all frames)")
+# The mask of 6 x 6 pixels has nine places on a frame of 8 x 8; only about the middle one all neighbours are known.
+@query("masked_shifts", "REG-6 FLT-10 (masked correlation against the mean of all frames)", f"""
+WITH f AS ({T.PIXELS_SQL}),
+ta AS (SELECT o, exp(-0.5 * o * o / 2.25::DOUBLE) / (SELECT sum(exp(-0.5 * q * q / 2.25::DOUBLE)) FROM (SELECT unnest(range(-6, 7)) AS q)) AS w FROM (SELECT unnest(range(-6, 7)) AS o)),
+mi AS (SELECT i, CASE WHEN i + o < 0 THEN -1 - i - o WHEN i + o > 7 THEN 15 - i - o ELSE i + o END AS j, sum(w) AS w FROM (SELECT unnest(range(8)) AS i), ta GROUP BY 1, 2),
+al AS (SELECT capture_id, frame_index, y, x, v FROM f UNION ALL SELECT NULL, NULL, y, x, avg(v) FROM f GROUP BY y, x),
+sm AS (SELECT q.capture_id, q.frame_index, a.i AS y, b.i AS x, sum(a.w * b.w * q.v) AS v FROM al q JOIN mi a ON a.j = q.y JOIN mi b ON b.j = q.x GROUP BY 1, 2, 3, 4),
+te AS (SELECT y, x, v - avg(v) OVER () AS t FROM sm WHERE frame_index IS NULL AND y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6),
+sc AS (SELECT s.capture_id, s.frame_index, dy, dx, sum(t * v) / sqrt((SELECT sum(t * t) FROM te) * (sum(v * v) - sum(v) * sum(v) / 36)) AS c
+       FROM te JOIN (SELECT unnest([-1, 0, 1]) AS dy) ON true JOIN (SELECT unnest([-1, 0, 1]) AS dx) ON true JOIN sm s ON s.frame_index IS NOT NULL AND s.y = te.y + dy AND s.x = te.x + dx GROUP BY 1, 2, 3, 4),
+nb AS (SELECT capture_id, frame_index, max(c) AS peak, sum(c) FILTER (dy = 0 AND dx = 0) AS m, sum(c) FILTER (dy = -1 AND dx = 0) AS u, sum(c) FILTER (dy = 1 AND dx = 0) AS d,
+              sum(c) FILTER (dy = 0 AND dx = -1) AS l, sum(c) FILTER (dy = 0 AND dx = 1) AS r,
+              (sum(c) FILTER (dy = 1 AND dx = 1) + sum(c) FILTER (dy = -1 AND dx = -1) - sum(c) FILTER (dy = -1 AND dx = 1) - sum(c) FILTER (dy = 1 AND dx = -1)) / 4 AS xy FROM sc GROUP BY 1, 2),
+cu AS (SELECT *, (d - u) / 2 AS gy, (r - l) / 2 AS gx, u + d - 2 * m AS yy, l + r - 2 * m AS xx FROM nb),
+st AS (SELECT *, CASE WHEN m >= 1 - 1e-12 THEN 0 ELSE (xy * gx - xx * gy) / (yy * xx - xy * xy) END AS sy, CASE WHEN m >= 1 - 1e-12 THEN 0 ELSE (xy * gy - yy * gx) / (yy * xx - xy * xy) END AS sx FROM cu),
+ok AS (SELECT *, m = peak AND peak >= 0.8 AND yy * xx - xy * xy > 0 AND yy < 0 AND abs(sy) <= 1 AND abs(sx) <= 1 AS matched FROM st)
+SELECT capture_id, frame_index, matched, CASE WHEN matched THEN round(sx, 5) END AS dx, CASE WHEN matched THEN round(sy, 5) END AS dy FROM ok""")
 def masked_shifts(spark, folder):
     from framewright.operators import drift as D
 

@@ -222,7 +222,12 @@ def field_rate(spark, folder):
     return fits.significant_slope(rows, ["capture_id"], "t", "a").select("capture_id", "samples", *_r("slope", "standard_error", digits=9))
 
 
-@query("field_rate_applied", "AGG-26 (significance)")
+@query("field_rate_applied", "AGG-26 (significance)", f"""
+WITH d AS (SELECT o_custkey AS capture_id, (epoch(o_orderdate) - 8e8::DOUBLE) / 86400 AS t, o_totalprice / 1e6::DOUBLE + (o_custkey % 3) * (epoch(o_orderdate) - 8e8::DOUBLE) / 86400 * 1e-3 AS a FROM orders),
+f AS (SELECT capture_id, count(*) AS n, regr_slope(a, t) AS slope, regr_syy(a, t) AS syy, regr_sxy(a, t) AS sxy, regr_sxx(a, t) AS sxx FROM d GROUP BY 1),
+q AS (SELECT unnest(range(1, 31)) AS dof, unnest({list(fits.STUDENT_975)}::DOUBLE[]) AS quantile),
+e AS (SELECT f.*, CASE WHEN n >= 3 THEN quantile * sqrt(greatest(syy - slope * sxy, 0) / (n - 2) / sxx) END AS threshold FROM f LEFT JOIN q ON dof = n - 2)
+SELECT capture_id, round(threshold, 9) AS threshold, round(CASE WHEN n >= 3 AND abs(slope) <= threshold THEN 0 ELSE slope END, 9) AS rate FROM e""")
 def field_rate_applied(spark, folder):
     t = (T.micros("o_orderdate") / 1e6 - 8e8) / 86400
     rows = T.load(spark, folder, "orders").select(F.col("o_custkey").alias("capture_id"), t.alias("t"),
