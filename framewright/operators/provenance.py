@@ -77,17 +77,6 @@ def ordered_digest(leaves: DataFrame, keys: Sequence[str], order: str, leaf: str
     return level.select(*keys, "leaves", F.col("_d").alias("digest"))
 
 
-def listed_digest(leaves: DataFrame, keys: Sequence[str], order: str, leaf: str, *, block: int = BLOCK) -> DataFrame:
-    """One digest per group in exactly two levels, as SQL states it: blocks of ``block`` leaves, then the list of all blocks.
-
-    Equal to ``ordered_digest`` up to block^2 leaves. Above, one row gathers the digests of a group's blocks,
-    64 * leaves / block bytes of text, so a group must stay below 2^25 * block leaves (the 2 GB of a row).
-    """
-    keys = list(keys)
-    blocks = _hashed(_placed(leaves, keys, order, leaf), keys, F.floor(F.col("_at") / block)).drop("l")
-    return _hashed(blocks, keys, F.lit(0)).select(*keys, "leaves", F.col("_d").alias("digest"))
-
-
 def frame_digests(frames: DataFrame) -> DataFrame:
     """Digest per frame over its sample type and its bytes."""
     return frames.select("capture_id", "frame_index", F.sha2(F.concat(F.encode(F.lit("<u2"), "UTF-8"), "pixels"), 256).alias("leaf"))

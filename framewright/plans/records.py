@@ -22,24 +22,31 @@ from framewright.streaming import stack as SS
 KEY = "capture_id"
 
 
+def _tree_sql(key: str, leaves: str, block: int, levels: int) -> str:
+    """Levels of a digest tree over the numbered leaves (r, leaf): two always hash, above them a group's only digest stands."""
+    out, before, at, digest = "", leaves, "r", "leaf"
+    for k in range(1, levels + 1):
+        hashed = f"sha256(string_agg({digest}, '' ORDER BY {at}))"
+        kept = f"CASE WHEN count(*) = 1 AND min({at}) = 0 THEN any_value({digest}) ELSE {hashed} END" if k > 2 else hashed
+        out += f", t{k} AS (SELECT {key}, {at} // {block} AS i{k}, {'count(*)' if k == 1 else 'sum(n)'} AS n, {kept} AS d{k} FROM {before} GROUP BY 1, 2)"
+        before, at, digest = f"t{k}", f"i{k}", f"d{k}"
+    return out + f" SELECT {key}, sum(n)::BIGINT AS leaves, any_value({digest}) AS digest FROM {before} GROUP BY 1"
+
+
 @query("capture_digest", "AGG-34 FN-11", """
-WITH l AS (SELECT source, doc_id, sha256(text) AS leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents),
-b AS (SELECT source, r // 64 AS b, count(*) AS n, sha256(string_agg(leaf, '' ORDER BY r)) AS d FROM l GROUP BY 1, 2)
-SELECT source, sum(n)::BIGINT AS leaves, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM b GROUP BY 1""")
+WITH l AS (SELECT source, doc_id, sha256(text) AS leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents)""" + _tree_sql("source", "l", 64, 5))
 def capture_digest(spark, folder):
     leaves = T.load(spark, folder, "documents").select("source", "doc_id", F.sha2("text", 256).alias("leaf"))
-    return PV.listed_digest(leaves, ["source"], "doc_id", "leaf", block=64)
+    return PV.ordered_digest(leaves, ["source"], "doc_id", "leaf", block=64)
 
 
 @query("selection_digest", "AGG-35 SUP-18", SCREENED + """
 , l AS (SELECT capture_id, frame_index, sha256(frame_index || chr(31) || CASE WHEN accepted THEN 'true' ELSE 'false' END) AS leaf,
-               row_number() OVER (PARTITION BY capture_id ORDER BY frame_index) - 1 AS r FROM screened),
-b AS (SELECT capture_id, r // 4096 AS b, count(*) AS n, sha256(string_agg(leaf, '' ORDER BY r)) AS d FROM l GROUP BY 1, 2)
-SELECT capture_id, sum(n)::BIGINT AS leaves, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM b GROUP BY 1""")
+               row_number() OVER (PARTITION BY capture_id ORDER BY frame_index) - 1 AS r FROM screened)""" + _tree_sql("capture_id", "l", 64, 5))
 def selection_digest(spark, folder):
     rows = screen(T.measurements(spark, folder)).select(
         KEY, "frame_index", PV.row_digest("frame_index", "accepted").alias("leaf"))
-    return PV.listed_digest(rows, [KEY], "frame_index", "leaf")
+    return PV.ordered_digest(rows, [KEY], "frame_index", "leaf", block=64)
 
 
 MEAN = PX_SQL + ", s AS (SELECT capture_id, y, x, avg(v) AS value FROM px GROUP BY 1, 2, 3)"

@@ -237,7 +237,7 @@ def test_rings_of_bins_without_cover_or_target_are_unmeasured(spark):
 
 
 def test_digests_of_any_size(spark):
-    """Above block^4 leaves the tree still ends in one digest; the list keeps its two levels, as its SQL does."""
+    """Above block^4 leaves the tree still ends in one digest."""
     import hashlib
 
     from framewright.operators import provenance as PV
@@ -249,14 +249,12 @@ def test_digests_of_any_size(spark):
     def up(nodes):
         return [sha("".join(nodes[k : k + 2])) for k in range(0, len(nodes), 2)]
 
-    trees, lists = {}, {}
+    trees = {}
     for g, n in sizes.items():
         blocks = up([f"{k:02d}" for k in range(n)])
-        lists[g] = (n, sha("".join(blocks)))
         nodes = up(blocks)
         while len(nodes) > 1:
             nodes = up(nodes)
         trees[g] = (n, nodes[0])
     assert [(r.g, (r.leaves, r.digest)) for r in PV.ordered_digest(leaves, ["g"], "at", "d", block=2).orderBy("g").collect()] == list(trees.items())
-    assert [(r.g, (r.leaves, r.digest)) for r in PV.listed_digest(leaves, ["g"], "at", "d", block=2).orderBy("g").collect()] == list(lists.items())
     assert PV.ordered_digest(leaves.limit(0), ["g"], "at", "d").count() == 0
