@@ -174,15 +174,21 @@ def test_a_frame_without_weight_is_left_out_whole(spark):
     assert got == {(1, 0): (4.0, True), (1, 1): (2.0, True), (2, 0): (0.0, False), (2, 1): (0.0, False)}
 
 
-def test_settings_that_the_job_cannot_honour_are_errors():
+def test_settings_that_the_job_cannot_honour_are_errors(spark):
     from framewright.config import Settings
     from framewright.plans import pipeline
 
-    for pattern, settings in (("RGGB", Settings(fourier_power=4)), ("RGGB", Settings(local_alignment=True)), ("RGB", Settings()),
-                              ("mono", Settings(geometry="surface")), ("mono", Settings(local_alignment=True, fourier_power=2))):
+    for settings in (Settings(local_alignment=True, fourier_power=2), Settings(geometry="field", fourier_power=2)):
         with pytest.raises(ValueError):
-            pipeline._refuse(pattern, settings)
-    pipeline._refuse("mono", Settings(fourier_power=4, brightness_percent=50))
+            pipeline._refuse(settings)
+    for facts in ([("a", "RGGB")], [("a", "RGB")], [("a", "mono"), ("b", "mono")]):
+        with pytest.raises(ValueError, match="one mono capture"):
+            pipeline._fourier_stack(spark, "a.ser", None, spark.createDataFrame(facts, "capture_id string, pattern string"), Settings(fourier_power=4))
+    for missing in ({"geometry": "surface"}, {"geometry": "saturn", "radius_px": 3.0}, {"cadence_s": 0.0}, {"calibration": {"sky": "x"}}):
+        with pytest.raises(ValueError):
+            Settings.from_dict(missing)
+    pipeline._refuse(Settings(fourier_power=4, brightness_percent=50))
+    pipeline._refuse(Settings(local_alignment=True, geometry="surface", radius_px=30.0))
 
 
 def test_digest_tree_does_not_depend_on_its_depth(spark):
