@@ -1,23 +1,28 @@
-"""Repeated passages of more than 50 words, found by winnowed word anchors and proved by word windows.
+"""Repeated passages of more than 50 words: gear-hash chunks nominate, word windows prove.
 
 A passage is a run of at least ``least_words`` = 51 words that stands byte for byte in several documents. A word is
 a run of letters and digits (an apostrophe or hyphen may join two); each character of a script without spaces is
-a word, and a run of over 64 bytes is cut into words at content-defined places (gear hash).
+a word, and a run of over 64 bytes is cut into words at content-defined places.
 
-Of each document the hashes of 26 words are taken at every word, and of any 26 neighbours the least one is an anchor.
-Equal passages of 51 words hold 26 such hashes, so they share the least of them: no passage is missed. Anchors
-that stand in several documents nominate: every window of 51 words around one is written with its digest. Digests of
-several documents are passages, and as every word has its window, the union of touching windows ends at the
-passage's true first and last word. A hash is grouped with partial sums, so a passage in a third of
-all documents is no hot spot.
+Texts are cut into chunks by content. A gear hash rolls over the words (shift left, add the word's gear value; at a shift of
+11 bits a word has left after six), and a chunk ends where it is the least of any 12 neighbours rather than where a mask fits: every 12 words then hold
+an end without forced cuts, which an insertion would move. A chunk's digest covers the gear windows of both its ends, 7 to 18
+words. Ends depend on the words up to 11 places around them only, so in any 51 words the 24 middle places hold two ends or more that are the same
+wherever these words stand. Equal digests in several texts nominate: a window of 51 words is looked at only if
+all chunks that its middle fixes are shared, and no window of a passage is missed. Windows are compared by 128-bit
+digests, and as every word has its window, the union of touching windows ends at the passage's true first and last word.
+
+Equal texts go through once, all their windows being repeated. Keys that hold over a 100,000th of the rows meet their
+facts by broadcast, so a passage in a third of all documents is no hot spot.
 
 Windows that overlap are one span; ``least_bytes`` (0: no limit) asks for bytes of the whole span. Only then a span
 is split: what an earlier document has is marked for removal, with the first document that has it, and the rest
 is kept. A part may therefore have less than 51 words. Parts do not overlap.
 
-Defined results: null, empty and short texts have no passages. Rows that repeat a doc_id are one
-document, so copies under one id are not reported. The document of the smallest id keeps a
-passage, in all others it is marked for removal. Rows with a null doc_id are not looked at.
+Defined results: null, empty and short texts have no passages. A document is a distinct pair of doc_id and text: equal rows
+are one, different texts under one id are several with spans of their own, and rows without id come behind all
+others (several texts of one id, or without one, in an order of the job's own). The first document keeps a passage, in all others it is marked for removal.
+Of one text the windows must fit a task (some 24 bytes a word of its passages).
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import text_batches
+from framewright.llm.common import sized, text_batches
 from framewright.llm.minhash import _mixed
 from framewright.session import materialise
 
@@ -44,9 +49,10 @@ WORD = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
 POWER = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 INVERSE = np.uint64(pow(int(POWER), -1, 1 << 64))
 LETTER = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-ANCHORS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
-WINDOWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("key", pa.int64())])
-SPAN = T.ArrayType(T.StructType().add("start", T.LongType()).add("stop", T.LongType()).add("first_doc_id", T.LongType()).add("kept", T.BooleanType()))
+WINDOWS = pa.schema([("ord", pa.int64()), ("many", pa.bool_()), ("start", pa.int64()), ("stop", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+GEAR_WORDS = 6  # a word leaves the gear hash after so many
+SPAN = T.ArrayType(T.StructType().add("start", T.LongType()).add("stop", T.LongType()).add("first", T.LongType()).add("kept", T.BooleanType()))
+SPANS = T.StructType().add("own", SPAN).add("copies", SPAN)
 
 
 def chunk_ends(raw: bytes, average: int = 24, longest: int = 512) -> np.ndarray:
@@ -128,59 +134,76 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def anchors(raw: bytes, starts: np.ndarray, stops: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the least of any so many neighbouring word hashes that all passages have one."""
-    size = (least_words + 1) // 2
-    width = least_words + 1 - size
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+def _layout(least_words: int) -> tuple[int, int]:
+    """Words of the gear hash, and places of which one at least ends a chunk: four times those fit into a passage."""
+    gear = max(1, min(GEAR_WORDS, least_words // 8))
+    return gear, max(1, (least_words + 3 - gear) // 4)
+
+
+def chunks(raw: bytes, starts: np.ndarray, stops: np.ndarray, least_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each block of words: its first word, the chunk ends (first words of their gear windows, from there) and the digests of the chunks between them."""
+    gear, width = _layout(least_words)
+    shift, edge = -(-64 // gear), np.zeros(width - 1, np.uint64)
     for at in range(0, len(starts) - least_words + 1, BLOCK):  # blocks overlap, so that each passage is whole in one
         a, b = starts[at : at + BLOCK + least_words - 1], stops[at : at + BLOCK + least_words - 1]
         body = np.frombuffer(raw, np.uint8)[a[0] : b[-1]]
         if len(_POWERS[0]) < len(body):
             _POWERS[:] = _powers(POWER, 2 * len(body)), _powers(INVERSE, 2 * len(body))
         upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(LETTER[body] * _POWERS[0][: len(body)])))
-        first, last = a[: len(a) - size + 1] - a[0], b[size - 1 :] - a[0]
-        value = _mixed((upto[last] - upto[first]) * _POWERS[1][first] + (last - first).astype(np.uint64))
+
+        def digest(first: np.ndarray, last: np.ndarray, upto=upto) -> np.ndarray:
+            return _mixed((upto[last] - upto[first]) * _POWERS[1][first] + (last - first).astype(np.uint64))
+
+        first, last = a - a[0], b - a[0]
+        word = digest(first, last)
+        rolled = word[gear - 1 :].copy()
+        for k in range(1, gear):
+            rolled += word[gear - 1 - k : len(word) - k] << np.uint64(k * shift)
+        value = _mixed(rolled)
         least = _sliding(value, width, np.minimum)
-        edge = np.zeros(width - 1, np.uint64)
-        chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == value)
-        found.append((chosen + at, value[chosen]))
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        ends = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == value)
+        yield at, ends, digest(first[ends[:-1]], last[ends[1:] + gear - 1]).view(np.int64)
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _anchors(least_words: int):
+def _chunked(least_words: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], [np.zeros(0, np.uint64)]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                key = np.unique(anchors(raw := _bytes(text), *word_places(raw), least_words)[1])
-                ids.append(np.full(len(key), doc_id, np.int64))
-                keys.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids or [np.zeros(0, np.int64)])), pa.array(np.concatenate(keys).view(np.int64))], schema=ANCHORS)
+            own = []
+            for text in batch.column("text").to_pylist():
+                raw = _bytes(text)
+                own.append(np.unique(np.concatenate([np.zeros(0, np.int64), *(k for _, _, k in chunks(raw, *word_places(raw), least_words))])))
+            keep = np.array([len(k) > 0 for k in own], bool)
+            keys = pa.array([k for k in own if len(k)], pa.list_(pa.int64()))
+            whole = batch.select(["doc_id", "d"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([whole.column(0), whole.column(1), keys], ["doc_id", "d", "keys"])
 
     return found
 
 
-def windows_around(raw: bytes, wanted: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and stops of every window of ``least_words`` words that holds an anchor whose hash is ``wanted``."""
+def windows_around(raw: bytes, wanted: np.ndarray | None, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of every window of ``least_words`` words all of whose fixed chunks are ``wanted`` (None: of every window)."""
     starts, stops = word_places(raw)
-    at, value = anchors(raw, starts, stops, least_words)
-    at = at[np.isin(value.view(np.int64), wanted)]
-    n = max(0, len(starts) - least_words + 1)
-    back = least_words - (least_words + 1) // 2
-    near = np.zeros(n + 1, np.int64)
-    np.add.at(near, np.maximum(at - back, 0), 1)
-    np.add.at(near, np.minimum(at + 1, n), -1)
-    first = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+    gear, width = _layout(least_words)
+    chosen = [np.zeros(0, np.int64)]
+    if wanted is None:
+        chosen.append(np.arange(max(0, len(starts) - least_words + 1)))
+    else:
+        for at, ends, keys in chunks(raw, starts, stops, least_words):
+            first = np.arange(min(BLOCK, len(starts) - least_words + 1 - at))
+            strange = np.concatenate(([0], np.cumsum(~np.isin(keys, wanted))))
+            low = np.searchsorted(ends, first + width - 1, "left")
+            high = np.searchsorted(ends, first + least_words - gear - width + 1, "right") - 1
+            chosen.append(first[(high <= low) | (strange[np.maximum(high, 0)] == strange[np.minimum(low, len(keys))])] + at)
+    first = np.concatenate(chosen)
     return starts[first], stops[first + least_words - 1]
 
 
 def _windows(least_words: int):
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
 
     def batch_of(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], schema=WINDOWS)
@@ -188,12 +211,12 @@ def _windows(least_words: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
         for batch in batches:
-            for doc_id, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
-                starts, stops = windows_around(raw := _bytes(text), np.array(wanted, np.int64), least_words)
+            for number, many, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("ord", "many", "text", "wanted"))):
+                starts, stops = windows_around(raw := _bytes(text), None if many else np.array(wanted, np.int64), least_words)
                 for k in range(0, len(starts), BLOCK):
                     a, b = starts[k : k + BLOCK], stops[k : k + BLOCK]
-                    key = np.fromiter((digest(raw[i:j]) for i, j in zip(a.tolist(), b.tolist())), np.uint64, len(a))
-                    rows.append((np.full(len(a), doc_id, np.int64), a, b, key.view(np.int64)))
+                    key = np.frombuffer(b"".join(digest(raw[i:j]) for i, j in zip(a.tolist(), b.tolist())), np.int64).reshape(-1, 2)
+                    rows.append((np.full(len(a), number, np.int64), np.full(len(a), many, bool), a, b, key[:, 0], key[:, 1]))
                     n += len(a)
                     if n >= BLOCK:
                         yield batch_of(rows)
@@ -218,7 +241,7 @@ def parts_of(start: np.ndarray, stop: np.ndarray, first: np.ndarray, kept: np.nd
     out, at = [], -1
     for s, e, f, k in runs:
         if not k and e > at:
-            out.append({"start": max(s, at), "stop": e, "first_doc_id": f, "kept": False})
+            out.append({"start": max(s, at), "stop": e, "first": f, "kept": False})
             at = e
     gone, mine, at, k = list(out), [], -1, 0
     for s, e, f, stays in runs:
@@ -229,10 +252,10 @@ def parts_of(start: np.ndarray, stop: np.ndarray, first: np.ndarray, kept: np.nd
             i = k
             while s < e:
                 if i == len(gone) or gone[i]["start"] >= e:
-                    mine.append({"start": s, "stop": e, "first_doc_id": f, "kept": True})
+                    mine.append({"start": s, "stop": e, "first": f, "kept": True})
                     break
                 if gone[i]["start"] > s:
-                    mine.append({"start": s, "stop": gone[i]["start"], "first_doc_id": f, "kept": True})
+                    mine.append({"start": s, "stop": gone[i]["start"], "first": f, "kept": True})
                 s = max(s, gone[i]["stop"])
                 i += 1
             at = max(at, e)
@@ -240,32 +263,78 @@ def parts_of(start: np.ndarray, stop: np.ndarray, first: np.ndarray, kept: np.nd
 
 
 def _merged(least_bytes: int):
-    @F.arrow_udf(SPAN)
-    def merge(lists: pa.Array) -> pa.Array:
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("first", pa.int64()), ("kept", pa.bool_())]))
+
+    @F.arrow_udf(SPANS)
+    def merge(lists: pa.Array, numbers: pa.Array, many: pa.Array) -> pa.Array:
         rows, ends = lists.flatten(), np.cumsum(np.append(0, lists.value_lengths().to_numpy(zero_copy_only=False)))
-        columns = [rows.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "first_doc_id", "kept")]
-        out = [parts_of(*(c[a:b] for c in columns), least_bytes) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("first_doc_id", pa.int64()), ("kept", pa.bool_())])))
+        start, stop, first = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "first"))
+        own, copies = [], []
+        for a, b, number, also in zip(ends[:-1].tolist(), ends[1:].tolist(), numbers.to_pylist(), many.to_pylist()):
+            kept = first[a:b] == number
+            own.append(parts_of(start[a:b], stop[a:b], first[a:b], kept, least_bytes))
+            copies.append(parts_of(start[a:b], stop[a:b], first[a:b], np.zeros(b - a, bool), least_bytes) if also else [])
+        return pa.StructArray.from_arrays([pa.array(own, span), pa.array(copies, span)], ["own", "copies"])
 
     return merge
 
 
+def _met(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``facts`` (keys, how many rows have them as ``c``, more): at most 100,000 frequent keys by broadcast, the others by a shuffle."""
+    most = max(1000, total // 100_000)
+    often = F.broadcast(facts.where(F.col("c") >= most))
+    rest = rows.join(often.select(*keys), keys, "left_anti").join(facts.where(F.col("c") < most), keys)
+    return rows.join(often, keys).unionByName(rest).drop("c")
+
+
+def _digest(text: str):
+    return F.unhex(F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 32))
+
+
 def repeats(docs: DataFrame, text: str = "text", least_words: int = 51, least_bytes: int = 0) -> DataFrame:
-    """(doc_id, spans): for each document with repeated passages their byte spans, the first document and whether it is kept here."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """(doc_id, d, spans): for each document (d: digest of its text) with repeated passages their byte spans, the first document and whether it is kept here."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    rows = rows.withColumn("d", _digest("text"))
     text_batches(docs.sparkSession)
-    marks = materialise(rows.mapInArrow(_anchors(least_words), "doc_id long, key long"), "anchors")
-    common = marks.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    wanted = marks.join(common, "key").groupBy("doc_id").agg(F.collect_set("key").alias("wanted"))
-    near = rows.join(materialise(wanted, "wanted"), "doc_id")
-    windows = materialise(near.mapInArrow(_windows(least_words), "doc_id long, start long, stop long, key long"), "windows")
-    seen = windows.groupBy("key").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
-    again = seen.where("first_doc_id < last").select("key", "first_doc_id")
-    w = F.struct("start", "stop", "first_doc_id", (F.col("doc_id") == F.col("first_doc_id")).alias("kept"))
-    found = windows.join(again, "key").select("doc_id", w.alias("w"))
-    # Windows of rows that repeat a doc_id are equal and vanish in the set.
-    spans = found.groupBy("doc_id").agg(F.collect_set("w").alias("w")).select("doc_id", _merged(least_bytes)(F.col("w")).alias("spans"))
-    return spans.where(F.size("spans") > 0)
+    cut = rows.mapInArrow(_chunked(least_words), "doc_id long, d binary, keys array<long>")
+    cut = materialise(cut.withColumn("tid", F.monotonically_increasing_id()), "chunks")
+
+    # One row of each text goes on: that of the smallest doc_id.
+    names = cut.select("tid", "doc_id", "d")
+    ahead = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "tid")).tid.alias("head")
+    same = names.groupBy("d", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("tid"))
+    same = same.groupBy("d").agg(ahead, F.sum("n").alias("c"), (F.count(F.lit(1)) > 1).alias("many")).where("c > 1")
+    same = materialise(same, "equal")
+    copies = materialise(_met(names, same, ["d"], names.count()).where("tid <> head").select("tid", "doc_id", "head"), "copies")
+    once = cut.join(sized(copies.select("tid")), "tid", "left_anti")
+
+    marks = once.select("tid", F.explode("keys").alias("key"))
+    counted = marks.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    common = materialise(counted.where("c > 1"), "common")
+    total = once.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    wanted = _met(marks, common, ["key"], total).groupBy("tid").agg(F.collect_list("key").alias("wanted"))
+    whole = same.where("many").select(F.col("head").alias("tid"), "many")
+    chosen = wanted.join(whole, "tid", "full_outer").withColumns({"many": F.coalesce("many", F.lit(False)), "wanted": F.when(F.col("many").isNull(), F.col("wanted"))})
+    ranged = chosen.join(names, "tid").withColumn("blank", F.col("doc_id").isNull()).repartitionByRange("blank", "doc_id", "tid").sortWithinPartitions("blank", "doc_id", "tid")
+    chosen = materialise(ranged.drop("blank").withColumn("ord", F.monotonically_increasing_id()), "wanted")
+
+    mine = chosen.select("ord", "many", "wanted", "d", F.col("doc_id").alias("own"))
+    near = rows.join(mine, (rows.d == mine.d) & rows.doc_id.eqNullSafe(F.col("own"))).select("ord", "many", "text", "wanted")
+    windows = materialise(near.mapInArrow(_windows(least_words), "ord long, many boolean, start long, stop long, k1 long, k2 long"), "windows")
+    seen = windows.groupBy("k1", "k2").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.max("many").alias("many"), F.count(F.lit(1)).alias("c"))
+    again = materialise(seen.where("first < last or many").select("k1", "k2", "first", "c"), "again")
+    found = _met(windows.drop("many"), again, ["k1", "k2"], windows.count())
+    # Windows of equal rows are equal and vanish in the set.
+    spans = found.groupBy("ord").agg(F.collect_set(F.struct("start", "stop", "first")).alias("w"))
+    spans = spans.join(chosen.select("ord", "tid", "doc_id", "d", "many"), "ord")
+    spans = materialise(spans.withColumn("s", _merged(least_bytes)("w", "ord", "many")).drop("w"), "spans")
+    others = copies.select(F.col("doc_id").alias("copy_id"), F.col("head").alias("tid")).distinct()
+    others = others.join(spans.where("many"), "tid").where(~F.col("copy_id").eqNullSafe(F.col("doc_id")))
+    parts = spans.select("doc_id", "d", F.explode("s.own").alias("p")).unionByName(others.select(F.col("copy_id").alias("doc_id"), "d", F.explode("s.copies").alias("p")))
+    parts = materialise(parts.select("doc_id", "d", "p.*"), "parts")
+    first = parts.groupBy("first").agg(F.count(F.lit(1)).alias("c")).join(chosen.select(F.col("ord").alias("first"), F.col("doc_id").alias("first_doc_id")), "first")
+    named = _met(parts, materialise(first, "first"), ["first"], parts.count())
+    return named.groupBy("doc_id", "d").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "first_doc_id", "kept"))).alias("spans"))
 
 
 @F.arrow_udf(T.StringType())
@@ -284,9 +353,10 @@ def _cut(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
 
 
 def deduplicated(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with every passage left only in the document of the smallest id."""
-    cuts = repeats(docs, text, **options).select(F.col("doc_id").alias("cut_id"), F.filter("spans", lambda s: ~s.kept).alias("cut")).where(F.size("cut") > 0)
-    cuts = materialise(cuts.select("cut_id", F.col("cut.start").alias("cut_start"), F.col("cut.stop").alias("cut_stop")), "cuts")
-    joined = docs.alias("d").join(cuts.alias("c"), F.col("d.doc_id") == F.col("c.cut_id"), "left")
-    shown = F.when(F.col("c.cut_id").isNull(), F.col(f"d.{text}")).otherwise(_cut(F.col(f"d.{text}"), F.col("c.cut_start"), F.col("c.cut_stop")))
+    """``docs`` with every passage left only in the first document that has it."""
+    cuts = repeats(docs, text, **options).select("doc_id", "d", F.filter("spans", lambda s: ~s.kept).alias("cut")).where(F.size("cut") > 0)
+    cuts = materialise(cuts.select(F.col("doc_id").alias("cut_id"), "d", F.col("cut.start").alias("cut_start"), F.col("cut.stop").alias("cut_stop")), "cuts")
+    own = F.unhex(F.substring(F.sha2(F.col(f"d.{text}").cast("string").cast("binary"), 256), 1, 32))
+    joined = docs.alias("d").join(cuts.alias("c"), (own == F.col("c.d")) & F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("c.cut_id")), "left")
+    shown = F.when(F.col("c.d").isNull(), F.col(f"d.{text}")).otherwise(_cut(F.col(f"d.{text}"), F.col("c.cut_start"), F.col("c.cut_stop")))
     return joined.select(*(shown.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns))

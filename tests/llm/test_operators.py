@@ -161,7 +161,8 @@ def test_passages(spark):
             (6, cut + " " + words(17, 100)), (7, words(18, 100) + " " + cut), (8, words(19, 150)), (8, words(19, 150)), (None, shared)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("cut_id", F.lit("mine"))
     found = {r.doc_id: r.spans for r in substring.repeats(docs, least_bytes=128).collect()}
-    assert set(found) == {1, 2} and [s.kept for s in found[1]] == [True] and [s.kept for s in found[2]] == [False]
+    assert set(found) == {1, 2, None} and [s.kept for s in found[1]] == [True] and [s.kept for s in found[2]] == [False]
+    assert [tuple(s) for s in found[None]] == [(0, len(shared), 1, False)]
     text = rows[1][1].encode()[found[2][0].start : found[2][0].stop].decode()
     assert text in shared and len(text) > 128 and found[2][0].first_doc_id == 1
     out = {(r.doc_id, r.text) for r in substring.deduplicated(docs, least_bytes=128).collect()}
@@ -192,6 +193,61 @@ def test_passages_of_51_words(spark):
     assert got == want
 
 
+def brute_spans(rows, least=51):
+    """{(doc_id, text): spans}: every window of every document against all others."""
+    rows = sorted(set(r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0))
+    texts = [t.encode() for _, t in rows]
+    places = [list(zip(*(x.tolist() for x in substring.word_places(t)))) for t in texts]
+    having = {}
+    for k, (t, p) in enumerate(zip(texts, places)):
+        for i in range(len(p) - least + 1):
+            having.setdefault(t[p[i][0] : p[i + least - 1][1]], set()).add(k)
+    out = {}
+    for k, (t, p) in enumerate(zip(texts, places)):
+        w = [(p[i][0], p[i + least - 1][1], min(h)) for i in range(len(p) - least + 1) if len(h := having[t[p[i][0] : p[i + least - 1][1]]]) > 1]
+        if w:
+            start, stop, first = map(np.array, zip(*w))
+            out[rows[k]] = [(s["start"], s["stop"], rows[s["first"]][0], s["kept"]) for s in substring.parts_of(start, stop, first, first == k, 0)]
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    """Repeated ids with several texts, rows without id, equal texts under several ids, long texts, few different words."""
+    draw = np.random.default_rng(77)
+    pool = [short_words(20_000 + 2 * k, int(n)) for k, n in enumerate(draw.integers(40, 140, 12))] + [" ".join(draw.choice(list("ab"), 70)), "same " * 80]
+    text = lambda k: f" {k} ".join([short_words(30_000 + 2 * k, int(draw.integers(3, 60))), *(pool[i] for i in draw.integers(0, len(pool), draw.integers(0, 4))), f"end{k}"])
+    rows = [(k, text(k)) for k in range(40)]
+    rows += [(3, text(50)), (3, text(51)), (None, rows[4][1]), (None, text(52)), (60, rows[5][1]), (61, rows[5][1]), (61, rows[5][1]), (62, rows[6][1]), (6, rows[6][1])]
+    rows += [(70, short_words(1, 30_000) + " " + pool[0] + " " + short_words(3, 40_000)), (71, short_words(5, 66_000) + " " + pool[0]), (72, None), (73, "")]
+    rows = [rows[i] for i in draw.permutation(len(rows))]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    found = substring.repeats(docs).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).digest()[:16]
+    want = {(d, digest(t)): v for (d, t), v in brute_spans(rows).items()}
+    assert {(r.doc_id, bytes(r.d)): [tuple(s) for s in r.spans] for r in found} == want and len(found) == len(want)
+    kept = {(r.doc_id, r.text) for r in substring.deduplicated(docs).collect()}
+    for d, t in set(rows):
+        raw, at, left = (t or "").encode(), 0, []
+        for start, stop, _, stays in want.get((d, digest(t or "")), []):
+            if not stays:
+                left, at = [*left, raw[at:start]], stop
+        assert (d, t and b"".join([*left, raw[at:]]).decode()) in kept
+
+
+def test_chunks_fix_the_middle():
+    """Whatever stands around 51 words, the chunks that their middle fixes are the same."""
+    shared = short_words(91, 51)
+    seen = []
+    for k in range(30):
+        raw = f"{short_words(500 + 2 * k, 20 + k)} {shared} {short_words(700 + 2 * k, 90)}".encode()
+        starts, stops = substring.word_places(raw)
+        (at, ends, keys), = substring.chunks(raw, starts, stops, 51)
+        first = 20 + k
+        low, high = np.searchsorted(ends, first + 11), np.searchsorted(ends, first + 34, "right") - 1
+        seen.append(tuple(keys[low:high].tolist()))
+    assert len(set(seen)) == 1 and len(seen[0]) >= 1
+
+
 def test_passages_without_spaces(spark):
     run = "".join(chr(c) for c in np.random.default_rng(5).integers(0x4E00, 0x9F00, 60))
     blob = "".join(chr(97 + c) for c in np.random.default_rng(6).integers(0, 26, 3000))
