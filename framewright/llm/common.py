@@ -35,6 +35,18 @@ def sized(small: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= most_rows else small
 
 
+def met(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined with ``facts`` (keys, how many rows have them as ``c``, more).
+
+    Keys of over a 100,000th of the rows (so at most 100,000 keys) are broadcast, the others are shuffled:
+    no key makes one task heavy.
+    """
+    most = max(1000, total // 100_000)
+    often = F.broadcast(facts.where(F.col("c") >= most))
+    rest = rows.join(often.select(*keys), keys, "left_anti").join(facts.where(F.col("c") < most), keys)
+    return rows.join(often, keys).unionByName(rest).drop("c")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -13,9 +13,10 @@ group of copies costs about one comparison for each member, and no link between
 
 Defined results: texts are split at ASCII white space after A-Z are lowered; with fewer words
 than ``size`` the whole sequence is the one shingle; null, empty and blank texts have no set
-and are linked with nothing. Rows that repeat a doc_id share its component; if their texts
-differ, the one with the largest digest is compared. Rows with a null doc_id are linked to the
-component of an equal set, and kept only where there is none.
+and are linked with nothing. Every row is judged by its own text: rows that repeat a doc_id with
+other texts, or have none, are compared like all others. A component's id is its smallest doc_id, null
+if none of its rows has one. Of each component ``deduplicated`` keeps the row of the smallest doc_id (rows without id come
+last, of several texts under one id the one of the smallest digest); rows equal in id and text stay or go together.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import Memo, fresh, sized, text_batches
+from framewright.llm.common import Memo, fresh, met, sized, text_batches
 from framewright.llm.components import components
 from framewright.session import materialise
 
@@ -111,22 +112,6 @@ def _sketches(size: int, bands: int, rows: int):
     return sketch.asNondeterministic()
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, cid) in order, those whose key occurs more than once, with the key's first cid as ``center``."""
-    last, center, first = None, 0, False
-    for batch in batches:
-        keys, ids = (batch.column(n).to_numpy() for n in ("key", "cid"))
-        if not len(keys):
-            continue
-        start = np.concatenate(([last is None or keys[0] != last], keys[1:] != keys[:-1]))
-        place = np.maximum.accumulate(np.where(start, np.arange(len(keys)), -1))
-        centers = np.where(place >= 0, ids[np.maximum(place, 0)], center)
-        second = ~start & np.concatenate(([first], start[:-1]))
-        out = [np.concatenate((x[~start], y[second])) for x, y in ((keys, keys), (ids, centers), (centers, centers))]
-        last, center, first = keys[-1], centers[-1], bool(start[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "cid", "center"])
-
-
 def _linked(size: int, share: int):
     @F.arrow_udf(T.BooleanType())
     def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -261,36 +246,54 @@ def _apart(left: str, right: str):
 
 
 def grouped(docs: DataFrame, text: str = "text", size: int = 5, share: int = 80, bands: int = 12, rows: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``, and the confirmed links (a, b) between classes."""
-    docs = docs.select("doc_id", F.col(text).cast("string").alias("text"))
+    """(doc_id, n_shingles, component_id, kept, text_id, stays) for each row of ``docs``, and the confirmed links (a, b) between classes by their smallest doc_id.
+
+    ``kept`` says that doc_id is component_id, ``stays`` that ``deduplicated`` keeps the row; text_id is the text's digest.
+    """
+    docs = docs.select("doc_id", F.col(text).cast("string").alias("text")).withColumn("text_id", _text_id(F.col("text")))
     sketch = _sketches(size, bands, rows)
     text_batches(docs.sparkSession)
-    marks = materialise(docs.select("doc_id", sketch(F.col("text")).alias("s")).select("doc_id", "s.*"), "sketches")
-    classes = marks.where("n > 0 and doc_id is not null").groupBy("d").agg(F.min("doc_id").alias("cid"), F.first("a").alias("a"), F.first("b").alias("b"))
-    classes = materialise(classes, "classes")
-    repeated = not marks.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("d").alias("n")).where("n > 1").isEmpty()
-    alone = classes.join(classes.groupBy("cid").agg(F.max("d").alias("d")), ["cid", "d"], "left_semi") if repeated else classes
+    marks = materialise(docs.select("doc_id", "text_id", sketch(F.col("text")).alias("s")).select("doc_id", "text_id", "s.*"), "sketches")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_id"))
+    classes = marks.where("n > 0").groupBy("d").agg(head.alias("head"), F.first("a").alias("a"), F.first("b").alias("b"), F.count(F.lit(1)).alias("c"))
+    # Numbers of classes rise with their smallest doc_id, so the smallest number of a component tells its smallest doc_id.
+    ranged = classes.select("d", "head.*", "a", "b", "c").repartitionByRange("blank", "doc_id", "d").sortWithinPartitions("blank", "doc_id", "d")
+    classes = materialise(ranged.withColumn("cid", F.monotonically_increasing_id()), "classes")
     keys = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    keyed = alone.select("cid", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "cid")
-    buckets = materialise(keyed.mapInArrow(_runs, "key long, cid long, center long"), "buckets")
-    involved = buckets.select("cid").distinct().join(alone.select("cid", "d"), "cid")
-    texts = docs.join(sized(materialise(involved, "involved")), F.col("doc_id") == F.col("cid"))
-    if repeated:
-        texts = texts.withColumn("own", sketch(F.col("text")).d).where("own = d")
-    rounds = _Rounds(alone.select("cid", "a", "b"), buckets, materialise(texts.select("cid", "text"), "texts"), size, share)
+    keyed = classes.select("cid", F.explode(keys).alias("key"))
+    tables = materialise(keyed.groupBy("key").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("c")).where("c > 1"), "tables")
+    buckets = materialise(met(keyed, tables, ["key"], classes.count() * bands * bands), "buckets")
+    involved = buckets.select("cid").distinct().join(classes.select("cid", F.col("doc_id").alias("own_id"), F.col("text_id").alias("own_text")), "cid")
+    involved = sized(materialise(involved, "involved"))
+    texts = docs.join(involved, docs.doc_id.eqNullSafe(F.col("own_id")) & (docs.text_id == F.col("own_text")))
+    rounds = _Rounds(classes.select("cid", "a", "b"), buckets, materialise(texts.select("cid", "text"), "texts"), size, share)
     rounds.compare(rounds.smallest_met())
     rounds.compare(rounds.table_heads())
     rounds.compare(rounds.remaining())
-    labels = rounds.label(classes.select("d", "cid"), "cid", "component_id").select("d", "component_id")
-    out = marks.join(labels, "d", "left")
-    component = F.coalesce("component_id", "doc_id")
-    kept = F.coalesce(F.col("doc_id") == component, F.col("component_id").isNull())
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept")), rounds.links
+    heads = classes.select("cid", "doc_id")
+    roots = rounds.labels.groupBy("component").agg(F.count(F.lit(1)).alias("c")).join(heads.select(F.col("cid").alias("component"), F.col("doc_id").alias("root")), "component")
+    linked = met(rounds.labels, materialise(roots, "roots"), ["component"], rounds.labels.count()).withColumnRenamed("id", "cid")
+    known = classes.select("cid", "d", "c", F.col("doc_id").alias("head_id"), F.col("text_id").alias("head_text")).join(linked, "cid", "left")
+    leads = F.coalesce(F.col("component") == F.col("cid"), F.lit(True))
+    known = known.select("d", "c", F.when(F.col("component").isNull(), F.col("head_id")).otherwise(F.col("root")).alias("component_id"), "head_id", "head_text", leads.alias("leads"))
+    judged = met(marks.where("n > 0").select("doc_id", "text_id", "n", "d"), materialise(known, "judged"), ["d"], marks.count())
+    stays = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_id") == F.col("head_text"))
+    judged = judged.select("doc_id", "n", "component_id", "text_id", stays.alias("stays"))
+    empty = marks.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_id", F.lit(True).alias("stays"))
+    out = judged.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), "stays"))
+    named = lambda x: heads.select(F.col("cid").alias(x), F.col("doc_id").alias(f"{x}_id"))
+    links = rounds.links.join(named("a"), "a").join(named("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept", "text_id", "stays"), links
+
+
+def _text_id(text):
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component, all columns as they were."""
     judged, _ = grouped(docs, text, **options)
-    name = fresh(docs, "gone_id")
-    gone = materialise(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name)).distinct(), "gone")
-    return docs.join(sized(gone), docs["doc_id"] == F.col(name), "left_anti")
+    name, digest = fresh(docs, "gone_id"), fresh(docs, "gone_text")
+    gone = materialise(judged.where(~F.col("stays")).select(F.col("doc_id").alias(name), F.col("text_id").alias(digest)).distinct(), "gone")
+    same = docs["doc_id"].eqNullSafe(F.col(name)) & (_text_id(docs[text].cast("string")) == F.col(digest))
+    return docs.join(sized(gone), same, "left_anti")

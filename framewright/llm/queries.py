@@ -17,7 +17,7 @@ Plan = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.grouped(table(spark, folder, "documents"), size=2)[0]
+    return minhash.grouped(table(spark, folder, "documents"), size=2)[0].select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP1_SQL = r"""

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import sized, text_batches
+from framewright.llm.common import met, sized, text_batches
 from framewright.llm.minhash import _mixed
 from framewright.session import materialise
 
@@ -279,14 +279,6 @@ def _merged(least_bytes: int):
     return merge
 
 
-def _met(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """``rows`` joined with ``facts`` (keys, how many rows have them as ``c``, more): at most 100,000 frequent keys by broadcast, the others by a shuffle."""
-    most = max(1000, total // 100_000)
-    often = F.broadcast(facts.where(F.col("c") >= most))
-    rest = rows.join(often.select(*keys), keys, "left_anti").join(facts.where(F.col("c") < most), keys)
-    return rows.join(often, keys).unionByName(rest).drop("c")
-
-
 def _digest(text: str):
     return F.unhex(F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 32))
 
@@ -305,14 +297,14 @@ def repeats(docs: DataFrame, text: str = "text", least_words: int = 51, least_by
     same = names.groupBy("d", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("tid"))
     same = same.groupBy("d").agg(ahead, F.sum("n").alias("c"), (F.count(F.lit(1)) > 1).alias("many")).where("c > 1")
     same = materialise(same, "equal")
-    copies = materialise(_met(names, same, ["d"], names.count()).where("tid <> head").select("tid", "doc_id", "head"), "copies")
+    copies = materialise(met(names, same, ["d"], names.count()).where("tid <> head").select("tid", "doc_id", "head"), "copies")
     once = cut.join(sized(copies.select("tid")), "tid", "left_anti")
 
     marks = once.select("tid", F.explode("keys").alias("key"))
     counted = marks.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     common = materialise(counted.where("c > 1"), "common")
     total = once.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    wanted = _met(marks, common, ["key"], total).groupBy("tid").agg(F.collect_list("key").alias("wanted"))
+    wanted = met(marks, common, ["key"], total).groupBy("tid").agg(F.collect_list("key").alias("wanted"))
     whole = same.where("many").select(F.col("head").alias("tid"), "many")
     chosen = wanted.join(whole, "tid", "full_outer").withColumns({"many": F.coalesce("many", F.lit(False)), "wanted": F.when(F.col("many").isNull(), F.col("wanted"))})
     ranged = chosen.join(names, "tid").withColumn("blank", F.col("doc_id").isNull()).repartitionByRange("blank", "doc_id", "tid").sortWithinPartitions("blank", "doc_id", "tid")
@@ -323,7 +315,7 @@ def repeats(docs: DataFrame, text: str = "text", least_words: int = 51, least_by
     windows = materialise(near.mapInArrow(_windows(least_words), "ord long, many boolean, start long, stop long, k1 long, k2 long"), "windows")
     seen = windows.groupBy("k1", "k2").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.max("many").alias("many"), F.count(F.lit(1)).alias("c"))
     again = materialise(seen.where("first < last or many").select("k1", "k2", "first", "c"), "again")
-    found = _met(windows.drop("many"), again, ["k1", "k2"], windows.count())
+    found = met(windows.drop("many"), again, ["k1", "k2"], windows.count())
     # Windows of equal rows are equal and vanish in the set.
     spans = found.groupBy("ord").agg(F.collect_set(F.struct("start", "stop", "first")).alias("w"))
     spans = spans.join(chosen.select("ord", "tid", "doc_id", "d", "many"), "ord")
@@ -333,7 +325,7 @@ def repeats(docs: DataFrame, text: str = "text", least_words: int = 51, least_by
     parts = spans.select("doc_id", "d", F.explode("s.own").alias("p")).unionByName(others.select(F.col("copy_id").alias("doc_id"), "d", F.explode("s.copies").alias("p")))
     parts = materialise(parts.select("doc_id", "d", "p.*"), "parts")
     first = parts.groupBy("first").agg(F.count(F.lit(1)).alias("c")).join(chosen.select(F.col("ord").alias("first"), F.col("doc_id").alias("first_doc_id")), "first")
-    named = _met(parts, materialise(first, "first"), ["first"], parts.count())
+    named = met(parts, materialise(first, "first"), ["first"], parts.count())
     return named.groupBy("doc_id", "d").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "first_doc_id", "kept"))).alias("spans"))
 
 

@@ -39,6 +39,25 @@ def sets(text, size):
     return {tuple(found[k : k + size]) for k in range(len(found) - size + 1)}
 
 
+def test_near_duplicates_of_rows_without_own_id(spark):
+    """Rows that share an id or have none are judged by their own texts; of each component one text stays."""
+    edit = lambda t, k: " ".join(f"other{k}" if i == k else w for i, w in enumerate(t.split()))
+    one, two, three = words(31, 120), words(32, 120), words(33, 120)
+    rows = [(1, one), (None, edit(one, 50)), (5, edit(one, 70)), (5, two), (9, edit(two, 10)), (None, three), (None, edit(three, 20)), (None, edit(three, 90)),
+            (7, words(34, 90)), (7, edit(words(34, 90), 40)), (None, None), (None, words(35, 60)), (8, words(36, 50)), (8, words(36, 50))]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3).withColumn("gone_text", F.lit("mine"))
+    found = minhash.grouped(docs, size=2)[0]
+    ids = {hashlib.md5((t or "").encode()).digest(): t for _, t in rows}
+    got = sorted(((r.doc_id, ids[bytes(r.text_id)], r.component_id, r.kept) for r in found.collect()), key=str)
+    component = {one: 1, edit(one, 50): 1, edit(one, 70): 1, two: 5, edit(two, 10): 5, words(34, 90): 7, edit(words(34, 90), 40): 7, words(36, 50): 8}
+    want = [(d, t, component.get(t), d == component[t] if d is not None and t in component else None) for d, t in rows]
+    assert [r[:3] for r in got] == sorted((w[:3] for w in want), key=str)
+    assert all(k == w for (_, _, _, k), (_, _, _, w) in zip(got, sorted(want, key=str)) if w is not None)
+    kept = [(r.doc_id, r.text) for r in minhash.deduplicated(docs, size=2).collect()]
+    assert {(1, one), (5, two), (None, None), (None, words(35, 60)), (8, words(36, 50))} < set(kept) and len(kept) == 8
+    assert sum(d == 7 for d, _ in kept) == 1 and sum(t in (three, edit(three, 20), edit(three, 90)) for _, t in kept) == 1
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(spark, docs, size):
     found, links = minhash.grouped(docs, size=size)
