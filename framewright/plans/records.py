@@ -77,10 +77,11 @@ def classification_text(spark, folder):
 
 @query("streamed_stack", "STR-1 STR-2 SNK-5 SRC-12", MEAN + "SELECT capture_id, y, x, round(value, 8) AS value FROM s")
 def streamed_stack(spark, folder):
-    """The same stack as a stream of files folded batch by batch."""
+    """The same stack as a stream of files folded batch by batch; the table may be one file or a folder of them."""
     target = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = T.load(spark, folder, "embeddings").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").option("maxFilesPerTrigger", 1).parquet(folder)
+    # A file stream takes a single file only by a pattern, and a filter on names would miss the files of a folder.
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder.rstrip('/')}/{{embeddings.parquet}}")
               .select(F.col("label").cast("long").alias(KEY), F.col("vec_id").alias("frame_index"), F.col("embedding").alias("pixels")))
     SS.fold_stream(stream, target, [KEY], F.col("pixels"), F.lit(1.0), {"weight": "equal"}).awaitTermination()
     total = ST.normalise(SS.stack_so_far(spark, target, [KEY]))

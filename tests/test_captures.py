@@ -161,6 +161,22 @@ def test_stream_resumes_and_equals_batch(spark, tmp_path):
         start({"w": 2})
 
 
+def test_streamed_table_of_one_file_or_a_folder(spark, tmp_path):
+    from framewright.plans.records import streamed_stack
+
+    pixels = RNG.random((6, 64))
+    rows = [(i, i % 2, [float(v) for v in p]) for i, p in enumerate(pixels)]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    table.write.parquet(str(tmp_path / "many" / "embeddings.parquet"))
+    table.write.parquet(str(tmp_path / "many" / "others.parquet"))  # never read
+    (tmp_path / "one").mkdir()
+    table.toPandas().to_parquet(tmp_path / "one" / "embeddings.parquet")
+    want = np.array([pixels[0::2].mean(axis=0), pixels[1::2].mean(axis=0)]).ravel()
+    for name in ("many", "one"):
+        got = streamed_stack(spark, str(tmp_path / name)).orderBy("capture_id", "y", "x").toPandas()
+        assert np.allclose(got.value, want, atol=1e-7)
+
+
 def test_snapshot_and_png(spark, tmp_path):
     frames = from_arrays(spark, "c", RNG.integers(0, 100, (3, 4, 6)))
     from framewright.operators.frames import FRAME, frame_plane
