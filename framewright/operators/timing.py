@@ -8,15 +8,26 @@ from pyspark.sql.window import Window
 
 from framewright import constants as C
 from framewright.operators.ordering import medians, previous_row, rank_rows, running_sum
+from framewright.session import materialise
 
 KEY = "capture_id"
 
 
+def capture_ends(frames: DataFrame) -> DataFrame:
+    """First and last tick and number of frames of each capture, written."""
+    return materialise(frames.groupBy(KEY).agg(
+        F.min("ts_ticks").alias("_t0"), F.max("ts_ticks").alias("_t1"), F.count(F.lit(1)).alias("_all")), "ends")
+
+
+def _seconds(ticks: str) -> Column:
+    """Seconds between the capture's first tick and ``ticks``: integers are subtracted before they become doubles."""
+    return (F.col(ticks) - F.col("_t0")) / F.lit(float(C.TICKS_PER_SECOND))
+
+
 def with_seconds(frames: DataFrame) -> DataFrame:
-    """Seconds since the first frame: integer ticks are subtracted before they become doubles."""
-    first = frames.groupBy(KEY).agg(F.min("ts_ticks").alias("_t0"))
-    return frames.join(first, KEY).withColumn(
-        "t_s", (F.col("ts_ticks") - F.col("_t0")) / F.lit(float(C.TICKS_PER_SECOND))).drop("_t0")
+    """Seconds since the first frame."""
+    first = capture_ends(frames).select(KEY, "_t0")
+    return frames.join(first, KEY).withColumn("t_s", _seconds("ts_ticks")).drop("_t0")
 
 
 def with_cadence(frames: DataFrame, cadence_s: float | None = None) -> DataFrame:
@@ -125,28 +136,30 @@ def motion_reference(frames: DataFrame, *, policy: str = "middle", partitions: i
     nearest frames); the anchor is the frame of at least median pool quality closest
     to the middle, better and earlier frames first.
     """
-    timed = with_seconds(frames)
-    span = timed.groupBy(KEY).agg(F.max("t_s").alias("_span"))
-    timed = timed.join(span, KEY).withColumn("_distance", F.abs(F.col("t_s") - F.col("_span") / 2))
-    if policy == "best":
-        pool = timed
-    else:
-        near = timed.withColumn("_in", F.col("_distance") <= 0.1 * F.col("_span"))
-        sizes = near.groupBy(KEY).agg(F.count_if("_in").alias("_near"), F.count(F.lit(1)).alias("_all"))
-        short = sizes.where(F.col("_near") < F.least(F.lit(4), F.col("_all"))).select(KEY)
-        # Only captures short of four near frames are ordered by distance.
-        few = near.join(short, KEY, "left_semi").withColumn("_worse", -F.col("quality"))
-        few = nearest_rows(few, "_distance", "_worse", 4).drop("_worse")
-        pool = near.where("_in").join(short, KEY, "left_anti").unionByName(few).drop("_in")
     if policy == "best":
-        best = F.min_by(F.struct("frame_index", "t_s"), F.struct(-F.col("quality"), F.col("frame_index")))
-        anchors = pool.groupBy(KEY).agg(best.alias("a"), F.count(F.lit(1)).alias("pool"))
-    else:
-        middle = medians(pool, [KEY], {"_median": "quality"}, partitions=partitions)
-        sizes = pool.groupBy(KEY).agg(F.count(F.lit(1)).alias("pool"))
-        good = pool.join(middle, KEY).where(F.col("quality") >= F.col("_median"))
-        best = F.min_by(F.struct("frame_index", "t_s"), F.struct(F.col("_distance"), -F.col("quality"), F.col("frame_index")))
-        anchors = good.groupBy(KEY).agg(best.alias("a")).join(sizes, KEY)
+        best = F.min_by(F.struct("frame_index", "ts_ticks"), F.struct(-F.col("quality"), F.col("frame_index")))
+        anchors = frames.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(
+            best.alias("a"), F.min("ts_ticks").alias("_t0"), F.count(F.lit(1)).alias("pool"))
+        return anchors.select(KEY, F.col("a.frame_index").alias("anchor_index"), _seconds("a.ts_ticks").alias("anchor_s"), "pool")
+
+    def placed(captures: DataFrame) -> DataFrame:
+        narrow = frames.select(KEY, "frame_index", "ts_ticks", "quality").join(captures, KEY)
+        span = narrow.withColumn("t_s", _seconds("ts_ticks")).withColumn("_span", _seconds("_t1"))
+        return span.select(KEY, "frame_index", "quality", "t_s", "_span", F.abs(F.col("t_s") - F.col("_span") / 2).alias("_distance"))
+
+    # What is known of a capture is one written row, and the pool is written once: no task sorts frames for a chain of joins.
+    ends = capture_ends(frames)
+    near = materialise(placed(ends).where(F.col("_distance") <= 0.1 * F.col("_span")).drop("_span"), "near")
+    found = ends.join(near.groupBy(KEY).agg(F.count(F.lit(1)).alias("_near")), KEY, "left")
+    short = materialise(found.where(F.coalesce("_near", F.lit(0)) < F.least(F.lit(4), F.col("_all"))).select(*ends.columns), "short")
+    # Only captures short of four near frames are ordered by distance.
+    few = nearest_rows(placed(short).drop("_span").withColumn("_worse", -F.col("quality")), "_distance", "_worse", 4).drop("_worse")
+    pool = near.join(short.select(KEY), KEY, "left_anti").unionByName(materialise(few, "few"))
+    middle = medians(pool, [KEY], {"_median": "quality"}, partitions=partitions)
+    sizes = pool.groupBy(KEY).agg(F.count(F.lit(1)).alias("pool"))
+    good = pool.join(materialise(middle.join(sizes, KEY), "middle"), KEY).where(F.col("quality") >= F.col("_median"))
+    best = F.min_by(F.struct("frame_index", "t_s"), F.struct(F.col("_distance"), -F.col("quality"), F.col("frame_index")))
+    anchors = good.groupBy(KEY).agg(best.alias("a"), F.max("pool").alias("pool"))
     return anchors.select(KEY, F.col("a.frame_index").alias("anchor_index"), F.col("a.t_s").alias("anchor_s"), "pool")
 
 
