@@ -27,12 +27,20 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
 BROADCAST_ROWS = 200_000
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """``rows``, to be joined by a shuffle: Spark never broadcasts either side by its own estimate.
+
+    That counts the bytes of compressed files and nothing that an explode adds, so what it takes for 10 MB may fill the driver.
+    """
+    return rows.hint("merge")
+
+
 def sized(small: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table of narrow keys, to be broadcast where its counted rows allow (some 20 MB at most) and shuffled beyond.
 
     Whole texts then stay where they are read while the keys are few.
     """
-    return F.broadcast(small) if small.count() <= most_rows else small
+    return F.broadcast(small) if small.count() <= most_rows else shuffled(small)
 
 
 def met(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -43,7 +51,7 @@ def met(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataF
     """
     most = max(1000, total // 100_000)
     often = F.broadcast(facts.where(F.col("c") >= most))
-    rest = rows.join(often.select(*keys), keys, "left_anti").join(facts.where(F.col("c") < most), keys)
+    rest = rows.join(often.select(*keys), keys, "left_anti").join(shuffled(facts.where(F.col("c") < most)), keys)
     return rows.join(often, keys).unionByName(rest).drop("c")
 
 

@@ -11,18 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.common import BROADCAST_ROWS, shuffled
 from framewright.session import materialise
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """``pairs`` (u, v) with u > v, linked anew."""
+def _star(pairs: DataFrame, large: bool, few: bool) -> DataFrame:
+    """``pairs`` (u, v) with u > v, linked anew; the minima of ``few`` pairs are broadcast."""
     sides = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
     least = sides.groupBy("u").agg(F.min("v").alias("m"))
     least = least.select("u", F.least("u", "m").alias("m"))
+    met = F.broadcast(least) if few else shuffled(least)
     if not large:
-        moved = pairs.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = pairs.join(met, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-    return sides.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return sides.join(met, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _mark(pairs: DataFrame):
@@ -35,7 +37,8 @@ def components(pairs: DataFrame) -> DataFrame:
     before, mark = None, _mark(now)
     while mark != before:
         before = mark
-        now = materialise(_star(_star(now, True), False), "pairs")
+        few = mark[0] <= BROADCAST_ROWS  # a step does not add pairs
+        now = materialise(_star(_star(now, True, few), False, few), "pairs")
         mark = _mark(now)
     roots = now.select(F.col("v").alias("id")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))

@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import Memo, fresh, met, sized, text_batches
+from framewright.llm.common import Memo, fresh, met, shuffled, sized, text_batches
 from framewright.llm.components import components
 from framewright.session import materialise
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _PART = 1 << 20
+FEW_PAIRS = 20_000  # so many are broadcast to the texts, which then need no shuffle to meet them
 _word = Memo(lambda w: xxhash.xxh3_64_intdigest(w))
 SKETCH = T.StructType().add("n", T.LongType()).add("d", T.BinaryType()).add("a", T.ArrayType(T.LongType())).add("b", T.ArrayType(T.LongType()))
 
@@ -140,11 +141,11 @@ class _Rounds:
     def compare(self, pairs: DataFrame) -> None:
         """Pairs (a, b), a > b: remember the links among them and join their components."""
         if self.checked is not None:
-            pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
+            pairs = pairs.join(shuffled(self.checked), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "candidates")
         side = lambda x: self.texts.select(F.col("cid").alias(x), F.col("text").alias(f"{x}_text"))
         with batches_of(pairs.sparkSession, 256):
-            judged = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("link", self.linked(F.col("a_text"), F.col("b_text")))
+            judged = sized(pairs, FEW_PAIRS).join(side("a"), "a").join(shuffled(side("b")), "b").withColumn("link", self.linked(F.col("a_text"), F.col("b_text")))
             found = materialise(judged.where("link").select("a", "b").distinct(), "links")
         self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
         self.links = found if self.links is None else self.links.unionByName(found)
@@ -154,7 +155,7 @@ class _Rounds:
         self.labels = materialise(components(known), "labels")
 
     def label(self, rows: DataFrame, name: str, out: str) -> DataFrame:
-        labels = self.labels.select(F.col("id").alias(name), F.col("component").alias(out))
+        labels = sized(self.labels).select(F.col("id").alias(name), F.col("component").alias(out))
         return rows.join(labels, name, "left").withColumn(out, F.coalesce(out, name))
 
     def smallest_met(self) -> DataFrame:
@@ -172,27 +173,28 @@ class _Rounds:
         Tables that share a key of the first collection are met together, so a pair is not met once a table.
         """
         rows = self._mixed(self.label(self.buckets.select("key", "cid"), "cid", "label"))
-        texts = self.texts.join(rows.select("cid").distinct(), "cid", "left_semi")
+        texts = self.texts.join(shuffled(rows.select("cid").distinct()), "cid", "left_semi")
         sets = materialise(texts.select("cid", _sets(self.size)(F.col("text")).alias("s")).select("cid", "s.*").dropDuplicates(["cid"]), "sets")
         tokens = sets.select("cid", F.explode("hashes").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cid").alias("cid"))
         own = tokens.where("df = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
         share = self.share
-        facts = sets.select("cid", "bits", F.size("hashes").cast("bigint").alias("n")).join(own, "cid", "left").fillna(0, ["own"])
+        facts = sets.select("cid", "bits", F.size("hashes").cast("bigint").alias("n")).join(shuffled(own), "cid", "left").fillna(0, ["own"])
         facts = materialise(facts.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * share), "facts")
-        rows = self.label(facts.join(self.classes, "cid"), "cid", "label").withColumn("key", F.explode("a")).drop("a")
+        rows = self.label(facts.join(shuffled(self.classes), "cid"), "cid", "label").withColumn("key", F.explode("a")).drop("a")
         rows = materialise(self._mixed(rows), "mixed")
         rows = rows.withColumn("spare", (F.col("n") - F.col("own")) * 100 - F.col("n") * share)
         kinds = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.max("spare").alias("spare"), F.min("own").alias("own"),
                                                  F.max("n").alias("n"), F.first("bits").alias("bits"), F.max("cid").alias("cid"), F.first("b").alias("b"))
         kind = lambda p: kinds.select("key", F.col("label").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("c", "spare", "own", "n", "bits", "cid", "b")))
         alone = (F.col("x_c") == 1) & (F.col("y_c") == 1)
-        both = kind("x").alias("x").join(kind("y").alias("y"), (F.col("x.key") == F.col("y.key"))
+        both = kind("x").alias("x").join(shuffled(kind("y")).alias("y"), (F.col("x.key") == F.col("y.key"))
                                          & ((F.col("x_c") < F.col("y_c")) | ((F.col("x_c") == F.col("y_c")) & (F.col("x") < F.col("y"))))
                                          & (F.col("x_spare") >= F.col("y_own") * share) & (F.col("y_spare") >= F.col("x_own") * share)
                                          & (~alone | (F.arrays_overlap("x_b", "y_b") & self._near("x_", "y_")))).select(F.col("x.key").alias("key"), "x", "y", "x_cid", "y_cid", alone.alias("alone"))
         both = materialise(both, "kinds")
         side = lambda label, p: rows.select("key", F.col("label").alias(label), *(F.col(c).alias(p + c) for c in ("cid", "n", "own", "spare", "bits", "b")))
-        near, far = both.where("not alone").select("key", "x", "y").join(side("x", "i_"), ["key", "x"]).alias("near"), side("y", "j_").alias("far")
+        several = sized(both.where("not alone").select("key", "x", "y"))
+        near, far = several.join(side("x", "i_"), ["key", "x"]).alias("near"), shuffled(side("y", "j_")).alias("far")
         met = near.join(far, (F.col("near.key") == F.col("far.key")) & (F.col("near.y") == F.col("far.y"))
                         & (F.col("i_spare") >= F.col("j_own") * share) & (F.col("j_spare") >= F.col("i_own") * share) & F.arrays_overlap("i_b", "j_b") & self._near("i_", "j_"))
         met = met.select("i_cid", "j_cid").unionByName(both.where("alone").select(F.col("x_cid").alias("i_cid"), F.col("y_cid").alias("j_cid")))
@@ -206,7 +208,7 @@ class _Rounds:
     def _mixed(self, rows: DataFrame) -> DataFrame:
         """The rows of tables in which several components meet."""
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        return rows.join(mixed, "key", "left_semi")
+        return rows.join(shuffled(mixed), "key", "left_semi")
 
 
 SET = T.StructType().add("hashes", T.ArrayType(T.LongType())).add("bits", T.ArrayType(T.LongType()))
@@ -263,7 +265,8 @@ def grouped(docs: DataFrame, text: str = "text", size: int = 5, share: int = 80,
     keyed = classes.select("cid", F.explode(keys).alias("key"))
     tables = materialise(keyed.groupBy("key").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("c")).where("c > 1"), "tables")
     buckets = materialise(met(keyed, tables, ["key"], classes.count() * bands * bands), "buckets")
-    involved = buckets.select("cid").distinct().join(classes.select("cid", F.col("doc_id").alias("own_id"), F.col("text_id").alias("own_text")), "cid")
+    named = classes.select("cid", F.col("doc_id").alias("own_id"), F.col("text_id").alias("own_text"))
+    involved = buckets.select("cid").distinct().join(shuffled(named), "cid")
     involved = sized(materialise(involved, "involved"))
     texts = docs.join(involved, docs.doc_id.eqNullSafe(F.col("own_id")) & (docs.text_id == F.col("own_text")))
     rounds = _Rounds(classes.select("cid", "a", "b"), buckets, materialise(texts.select("cid", "text"), "texts"), size, share)
@@ -271,9 +274,9 @@ def grouped(docs: DataFrame, text: str = "text", size: int = 5, share: int = 80,
     rounds.compare(rounds.table_heads())
     rounds.compare(rounds.remaining())
     heads = classes.select("cid", "doc_id")
-    roots = rounds.labels.groupBy("component").agg(F.count(F.lit(1)).alias("c")).join(heads.select(F.col("cid").alias("component"), F.col("doc_id").alias("root")), "component")
+    roots = rounds.labels.groupBy("component").agg(F.count(F.lit(1)).alias("c")).join(shuffled(heads.select(F.col("cid").alias("component"), F.col("doc_id").alias("root"))), "component")
     linked = met(rounds.labels, materialise(roots, "roots"), ["component"], rounds.labels.count()).withColumnRenamed("id", "cid")
-    known = classes.select("cid", "d", "c", F.col("doc_id").alias("head_id"), F.col("text_id").alias("head_text")).join(linked, "cid", "left")
+    known = classes.select("cid", "d", "c", F.col("doc_id").alias("head_id"), F.col("text_id").alias("head_text")).join(shuffled(linked), "cid", "left")
     leads = F.coalesce(F.col("component") == F.col("cid"), F.lit(True))
     known = known.select("d", "c", F.when(F.col("component").isNull(), F.col("head_id")).otherwise(F.col("root")).alias("component_id"), "head_id", "head_text", leads.alias("leads"))
     judged = met(marks.where("n > 0").select("doc_id", "text_id", "n", "d"), materialise(known, "judged"), ["d"], marks.count())
@@ -281,7 +284,7 @@ def grouped(docs: DataFrame, text: str = "text", size: int = 5, share: int = 80,
     judged = judged.select("doc_id", "n", "component_id", "text_id", stays.alias("stays"))
     empty = marks.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_id", F.lit(True).alias("stays"))
     out = judged.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), "stays"))
-    named = lambda x: heads.select(F.col("cid").alias(x), F.col("doc_id").alias(f"{x}_id"))
+    named = lambda x: shuffled(heads.select(F.col("cid").alias(x), F.col("doc_id").alias(f"{x}_id")))
     links = rounds.links.join(named("a"), "a").join(named("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept", "text_id", "stays"), links
 
